@@ -1,0 +1 @@
+"""Intentionally empty: no query of this domain is a stream (see README, "Scope")."""
