@@ -70,7 +70,7 @@ def smote_samples(
 
     Every row is the base of equally many points; what is left over goes to the
     first rows in hash order. Which neighbour, and where on the segment, come from
-    the hash of (seed, row, copy). Returns ``(base_id, copy, neighbor_id, lambda, x)``.
+    the hash of (seed, row, copy). Returns ``(base_id, copy, neighbor_id, fraction, x)``.
     """
     points = materialize(points.select(F.col(row_id).alias("row_id"), F.col(vector).cast("array<double>").alias("x")))
     n = points.count()
@@ -102,10 +102,10 @@ def smote_samples(
         "copy",
         "x",
         F.col("near")[hash_slot(digest, F.size("near")).cast("int")].alias("to"),
-        hash_unit(F.substring(digest, 9, 8)).alias("lambda"),
+        hash_unit(F.substring(digest, 9, 8)).alias("fraction"),
     )
-    moved = F.zip_with("x", "to.end", lambda a, b: a + F.col("lambda") * (b - a))
-    return drawn.select("base_id", "copy", F.col("to.neighbor_id").alias("neighbor_id"), "lambda", moved.alias("x"))
+    moved = F.zip_with("x", "to.end", lambda a, b: a + F.col("fraction") * (b - a))
+    return drawn.select("base_id", "copy", F.col("to.neighbor_id").alias("neighbor_id"), "fraction", moved.alias("x"))
 
 
 def smote(

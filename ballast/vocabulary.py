@@ -67,8 +67,10 @@ def ordinal(column: str | Column, kind: str) -> Column:
 def label_table(spark: SparkSession, kind: str) -> DataFrame:
     """The label dimension of one kind of code: ``(code, label, ord)``."""
     ranks = {code: i + 1 for i, code in enumerate(ORDERED[kind])}
-    rows = [(code, label, ranks.get(code, len(ranks) + 1)) for code, label in LABELS[kind].items()]
-    return spark.createDataFrame(rows, "code string, label string, ord int")
+    rows = ", ".join(
+        f"('{code}', '{label}', {ranks.get(code, len(ranks) + 1)})" for code, label in LABELS[kind].items()
+    )
+    return spark.sql(f"select * from values {rows} as labels(code, label, ord)")
 
 
 def is_valid_pair(model_type: str | Column, technique: str | Column) -> Column:
