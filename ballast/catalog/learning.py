@@ -1 +1,144 @@
-"""Placeholder."""
+"""Model training, tuning, scoring and the experiment, on the given embeddings.
+
+Fitted models differ from engine to engine, so these have no SQL; the tests hold
+them to bounds instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ballast.catalog.bindings import embeddings
+from ballast.catalog.registry import query, rounded
+from ballast.models.classifiers import build_estimator
+from ballast.models.tuning import feature_columns, grid_search, predict, predict_proba, train_default
+from ballast.operators.metrics import metrics_per_seed
+from ballast.operators.splitting import stratified_split
+from ballast.plans.experiment import run_experiment, score_test_set
+from ballast.session import scratch_path
+from ballast.sources.models import ModelStore
+from ballast.sources.predictions import PredictionStore
+
+SEED = 7
+DIMENSIONS = 64
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    """All embeddings as ``(row_id, f1..f64, target)``."""
+    columns = [F.col("x")[i].alias(f"f{i + 1}") for i in range(DIMENSIONS)]
+    return embeddings(spark, sf_dir).select("row_id", *columns, "target")
+
+
+def parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    split = stratified_split(vectors(spark, sf_dir), SEED)
+    return split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+
+
+def scored(model, test, **tags) -> DataFrame:
+    result = metrics_per_seed(predict(model, test), keys=[])
+    return rounded(result.select(*[F.lit(v).alias(k) for k, v in tags.items()], *result.columns))
+
+
+def trained(spark, sf_dir, model_type, technique) -> DataFrame:
+    train, test = parts(spark, sf_dir)
+    model = train_default(train, model_type, technique, SEED).model
+    return scored(model, test, model_type=model_type, technique=technique)
+
+
+@query("train_linear")
+def _(spark, sf_dir):
+    return trained(spark, sf_dir, "svm", "baseline")
+
+
+@query("train_cost_sensitive")
+def _(spark, sf_dir):
+    return trained(spark, sf_dir, "svm", "cs_svm")
+
+
+@query("train_forest")
+def _(spark, sf_dir):
+    return trained(spark, sf_dir, "random_forest", "random_under_sampling")
+
+
+@query("train_boosted")
+def _(spark, sf_dir):
+    return trained(spark, sf_dir, "xgboost", "random_under_sampling")
+
+
+@query("train_mlp")
+def _(spark, sf_dir):
+    return trained(spark, sf_dir, "mlp", "smote")
+
+
+@query("train_default")
+def _(spark, sf_dir):
+    return trained(spark, sf_dir, "svm", "smote_tomek")
+
+
+@query("grid_search")
+def _(spark, sf_dir):
+    train, test = parts(spark, sf_dir)
+    grid = [{"regParam": r, "classWeight": w} for r in (1e-4, 1e-2) for w in ("balanced", {0: 1, 1: 5})]
+    found = grid_search(train, "svm", "cs_svm", SEED, grid=grid, cv_folds=3)
+    return scored(found.model, test, regParam=found.params["regParam"], candidates=len(found.scores))
+
+
+@query("technique_adjust")
+def _(spark, sf_dir):
+    # The perceptron has no early stop to switch off, so under-sampling changes nothing else.
+    plain, adjusted = (
+        build_estimator("mlp", t, feature_columns(vectors(spark, sf_dir)), SEED) for t in ("baseline", "random_under_sampling")
+    )
+    same = plain.classifier.getLayers() == adjusted.classifier.getLayers()
+    train, _ = parts(spark, sf_dir)
+    return train.agg(F.count("*").alias("n")).withColumn("same_parameters", F.lit(same))
+
+
+@query("predict")
+def _(spark, sf_dir):
+    train, test = parts(spark, sf_dir)
+    return predict(train_default(train, "svm", "random_under_sampling", SEED).model, test)
+
+
+@query("predict_proba")
+def _(spark, sf_dir):
+    train, test = parts(spark, sf_dir)
+    return rounded(predict_proba(train_default(train, "svm", "baseline", SEED).model, test))
+
+
+def stored_models(spark, sf_dir) -> ModelStore:
+    train, _ = parts(spark, sf_dir)
+    models = ModelStore(spark, scratch_path(spark, "models"))
+    for technique in ("baseline", "cs_svm"):
+        models.save(train_default(train, "svm", technique, SEED), "test", "svm", technique)
+    return models
+
+
+@query("save_model")
+def _(spark, sf_dir):
+    return stored_models(spark, sf_dir).registry().groupBy("dataset", "model_type", "technique", "seed").count()
+
+
+@query("model_versions")
+def _(spark, sf_dir):
+    return stored_models(spark, sf_dir).versions("test", "svm", "cs_svm").select("dataset", "model_type", "technique", "seed")
+
+
+@query("latest_model")
+def _(spark, sf_dir):
+    _, test = parts(spark, sf_dir)
+    return scored(stored_models(spark, sf_dir).latest("test").model, test)
+
+
+@query("score_test_set")
+def _(spark, sf_dir):
+    return score_test_set(vectors(spark, sf_dir), stored_models(spark, sf_dir), "test")
+
+
+@query("run_experiment")
+def _(spark, sf_dir):
+    store = PredictionStore(spark, scratch_path(spark, "experiment"))
+    excluded = ["random_forest", "xgboost", "mlp"]
+    run_experiment(spark, {"test": vectors(spark, sf_dir)}, store, 1, excluded, parallelism=3)
+    return rounded(metrics_per_seed(store.read()))

@@ -188,8 +188,7 @@ def _(spark, sf_dir):
 def stored_predictions(spark, sf_dir):
     """All predictions of the view in a store of their own."""
     store = P.PredictionStore(spark, scratch_path(spark, "store"))
-    # One run is one partition: rows of a run meet in few tasks, and few files, before the write.
-    store.save(predictions(spark, sf_dir).repartition(*P.RUN_KEYS))
+    store.save(predictions(spark, sf_dir))
     return store
 
 

@@ -50,8 +50,12 @@ class PredictionStore:
         """Write the predictions of one run, or of many that carry their own keys.
 
         Only the partitions being written are replaced, so a run that is repeated
-        after a failure leaves no duplicates.
+        after a failure leaves no duplicates. Where rows carry their own keys, each
+        run is first brought together so that it becomes few files; a run too large
+        for one task is split again by adaptive execution.
         """
+        if not run:
+            predictions = predictions.hint("rebalance", *RUN_KEYS)
         keyed = predictions.withColumns({k: F.lit(v) for k, v in run.items()})
         keyed.select("target", "prediction", *RUN_KEYS).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
