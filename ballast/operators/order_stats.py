@@ -21,6 +21,7 @@ from ballast.operators.columns import quoted
 PREFIX = 3  # hex digits per round of the hash search: 4096 buckets
 FETCH = 4096  # a bucket this small is read out instead of split further
 BUCKETS = 1024  # buckets per round of the value search
+SMALL = 2_000_000  # values up to which the built-in percentile may hold them all
 
 
 def hash_thresholds(
@@ -90,12 +91,25 @@ def _any_of(pairs: set[tuple], depth: int) -> Column:
     return condition
 
 
+def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(c, v)``: position of the column and value, NULL where missing (NULL or NaN).
+
+    One narrow plan serves any number of columns, where an aggregate per column
+    would outgrow generated code; partial aggregation keeps the shuffle at one row
+    per column and task.
+    """
+    cells = [
+        F.struct(F.lit(i).alias("c"), missing_to_null(quoted(c).cast("double")).alias("v")) for i, c in enumerate(columns)
+    ]
+    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.c", "cell.v")
+
+
 def order_statistics(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
     interpolation: str = "linear",
-    small: int = 1_000_000,
+    small: int = SMALL,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of numeric columns, missing values (NULL and NaN) ignored.
 
@@ -103,22 +117,23 @@ def order_statistics(
     that its buffer of distinct values would grow with the table, so the search over
     bucket counts takes over, with all columns in the same round.
     """
-    values = df.select(*[missing_to_null(quoted(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
-    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
-    sizes = [counts[i] for i in range(len(columns))]
-    if interpolation == "linear" and sum(sizes) <= small:
-        row = values.agg(
-            *[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in values.columns]
-        ).first()
-        return {c: list(row[i] or [None] * len(probabilities)) for i, c in enumerate(columns)}
-    wanted: dict[int, set[int]] = {}
-    for i, n in enumerate(sizes):
-        ranks = {r for p in probabilities for r in _ranks(p, n, interpolation)} if n else set()
-        wanted[i] = ranks
-    found = _values_at(values, wanted)
+    values = long_values(df, columns)
+    if interpolation == "linear" and df.count() * len(columns) <= small:
+        wanted = F.array(*map(F.lit, probabilities))
+        rows = {r.c: r.q for r in values.groupBy("c").agg(F.percentile("v", wanted).alias("q")).collect()}
+        return {c: list(rows.get(i) or [None] * len(probabilities)) for i, c in enumerate(columns)}
+    ends = {
+        r.c: (r.n, r.low, r.high)
+        for r in values.groupBy("c").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    }
+    wanted = {
+        i: {rank for p in probabilities for rank in _ranks(p, n, interpolation)} for i, (n, _, _) in ends.items() if n
+    }
+    found = _values_at(values, wanted, {i: ends[i][1:] for i in wanted})
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
-        out[c] = [_blend(found[i], p, sizes[i], interpolation) if sizes[i] else None for p in probabilities]
+        n = ends[i][0] if i in ends else 0
+        out[c] = [_blend(found[i], p, n, interpolation) if n else None for p in probabilities]
     return out
 
 
@@ -137,58 +152,57 @@ def _blend(found: dict[int, float], p: float, n: int, interpolation: str) -> flo
     return found[ranks[0]] * (1 - share) + found[ranks[1]] * share
 
 
-def _values_at(values: DataFrame, wanted: Mapping[int, set[int]]) -> dict[int, dict[int, float]]:
+def _values_at(
+    values: DataFrame, wanted: Mapping[int, set[int]], ends: Mapping[int, tuple[float, float]]
+) -> dict[int, dict[int, float]]:
     """The value at each rank (from 1) of each column, by narrowing value ranges."""
     found: dict[int, dict[int, float]] = {i: {} for i in wanted}
-    ends = values.agg(*[f(f"c{i}").alias(f"{f.__name__}{i}") for i in wanted for f in (F.min, F.max)]).first()
     # (column, low, high) -> [(rank, rank within the range)]
-    ranges: dict[tuple, list[tuple[int, int]]] = {}
-    for i, ranks in wanted.items():
-        if ranks:
-            ranges[(i, ends[f"min{i}"], ends[f"max{i}"])] = [(r, r) for r in sorted(ranks)]
+    ranges = {(i, *ends[i]): [(r, r) for r in sorted(ranks)] for i, ranks in wanted.items()}
     while ranges:
         for (i, low, high), searches in list(ranges.items()):
             if low == high:
-                for rank, _ in searches:
-                    found[i][rank] = low
+                found[i].update((rank, low) for rank, _ in searches)
                 del ranges[(i, low, high)]
         if not ranges:
             break
-        keys = list(ranges)
-        tagged = F.array(
-            *[
-                F.when(
-                    F.col(f"c{i}").between(low, high),
-                    F.struct(F.lit(slot).alias("s"), _bucket(F.col(f"c{i}"), low, high).alias("b"), F.col(f"c{i}").alias("v")),
-                )
-                for slot, (i, low, high) in enumerate(keys)
-            ]
-        )
-        counts = (
-            values.select(F.explode(tagged).alias("t"))
-            .where("t is not null")
-            .groupBy("t.s", "t.b")
-            .agg(F.count("*").alias("n"), F.min("t.v").alias("low"), F.max("t.v").alias("high"))
-            .collect()
-        )
-        nxt: dict[tuple, list[tuple[int, int]]] = {}
-        for slot, key in enumerate(keys):
-            buckets = sorted((r.b, r.n, r.low, r.high) for r in counts if r.s == slot)
-            for rank, within in ranges[key]:
-                left = within
-                for _, n, low, high in buckets:
+        counts = _bucket_counts(values, list(ranges))
+        narrowed: dict[tuple, list[tuple[int, int]]] = {}
+        for key, searches in ranges.items():
+            for rank, left in searches:
+                for _, n, low, high in counts[key]:
                     if left <= n:
-                        nxt.setdefault((key[0], low, high), []).append((rank, left))
+                        narrowed.setdefault((key[0], low, high), []).append((rank, left))
                         break
                     left -= n
-        ranges = nxt
+        ranges = narrowed
     return found
 
 
-def _bucket(value: Column, low: float, high: float) -> Column:
+def _bucket_counts(values: DataFrame, keys: list[tuple]) -> dict[tuple, list[tuple]]:
+    """Per range its non-empty buckets in order: (bucket, rows, lowest, highest)."""
+    table = values.sparkSession.sql(
+        "select * from values "
+        + ", ".join(f"({i}, {slot}, double('{low!r}'), double('{high!r}'))" for slot, (i, low, high) in enumerate(keys))
+        + " as ranges(c, slot, low, high)"
+    )
+    # One row per open range: at most two ranks per column and probability.
+    inside = values.join(F.broadcast(table), "c").where(F.col("v").between(F.col("low"), F.col("high")))
+    rows = (
+        inside.groupBy("slot", _bucket(F.col("v"), F.col("low"), F.col("high")).alias("b"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .collect()
+    )
+    out: dict[tuple, list[tuple]] = {key: [] for key in keys}
+    for r in rows:
+        out[keys[r.slot]].append((r.b, r.n, r.low, r.high))
+    for buckets in out.values():
+        buckets.sort()
+    return out
+
+
+def _bucket(value: Column, low: Column, high: Column) -> Column:
     """Monotone bucket number in which ``low`` and ``high`` differ."""
-    if math.isinf(high - low):  # the spread itself overflows
-        share = (value / 2 - low / 2) / (high / 2 - low / 2)
-    else:
-        share = (value - low) / (high - low)
-    return F.when(value == high, BUCKETS).otherwise(F.floor(share * BUCKETS)).cast("int")
+    # Halves, because the difference of two large values of opposite sign overflows.
+    share = (value / 2 - low / 2) / (high / 2 - low / 2)
+    return F.when(value == high, BUCKETS).when(high / 2 == low / 2, 0).otherwise(F.floor(share * BUCKETS)).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.numeric import missing_to_null
 from ballast.operators.columns import quoted
-from ballast.operators.order_stats import order_statistics
+from ballast.operators.order_stats import SMALL, long_values, order_statistics
 
 
 @dataclass(frozen=True)
@@ -58,18 +59,41 @@ def _literal(x: float) -> str:
 
 
 def fit_preparation(train: DataFrame, columns: Sequence[str]) -> Preparation:
-    """Medians, then mean and deviation of the filled columns; a column without values fills with 0."""
-    medians = [q[0] if q[0] is not None else 0.0 for q in order_statistics(train, columns, [0.5]).values()]
-    blank = Preparation(tuple(columns), tuple(medians), (), ())
-    filled = blank.impute(train.select(*map(quoted, columns)))
-    row = filled.agg(
-        *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    n = len(columns)
-    means = tuple(row[i] if row[i] is not None else 0.0 for i in range(n))
-    deviations = tuple(row[n + i] or 0.0 for i in range(n))
-    return Preparation(tuple(columns), tuple(medians), means, deviations)
+    """Medians, then mean and deviation of the filled columns; a column without values fills with 0.
+
+    The moments of a filled column follow from those of its observed values, so one
+    pass over the values gives them all.
+    """
+    small = train.count() * len(columns) <= SMALL
+    median = F.percentile("v", 0.5) if small else F.lit(None).cast("double")
+    rows = {
+        r.c: r
+        for r in long_values(train, columns)
+        .groupBy("c")
+        .agg(
+            F.count("v").alias("n"),
+            F.count("*").alias("total"),
+            F.avg("v").alias("mean"),
+            F.var_pop("v").alias("variance"),
+            median.alias("median"),
+        )
+        .collect()
+    }
+    searched = {} if small else order_statistics(train, columns, [0.5])
+    medians, means, deviations = [], [], []
+    for i, c in enumerate(columns):
+        row = rows.get(i)
+        if row is None or not row.n:
+            fill, mean, variance = 0.0, 0.0, 0.0
+        else:
+            fill = row.median if small else searched[c][0]
+            filled = (row.total - row.n) / row.total
+            mean = row.mean + filled * (fill - row.mean)
+            variance = (1 - filled) * (row.variance + (row.mean - mean) ** 2) + filled * (fill - mean) ** 2
+        medians.append(fill)
+        means.append(mean)
+        deviations.append(math.sqrt(variance))
+    return Preparation(tuple(columns), tuple(medians), tuple(means), tuple(deviations))
 
 
 def median_impute(df: DataFrame, columns: Sequence[str], train: DataFrame | None = None) -> DataFrame:
