@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -103,7 +104,8 @@ def run_experiment(
 
     The driver only submits jobs, a few at a time so the cluster stays busy between
     the stages of one fit. A run counts as done when its partition is written, so
-    an interrupted experiment continues where it stopped.
+    an interrupted experiment continues where it stopped; after a failure no
+    further run is started.
     """
     chosen = resume_execution(store.read(), list(data), num_seeds, excluded_models, execution_id, skip_resume)
     if chosen.finished:
@@ -112,7 +114,18 @@ def run_experiment(
     pending = pending_combinations(grid, store.completed(chosen.execution_id))
     rows = pending.orderBy(*COMBINATION).collect()
 
+    stop = threading.Event()
+
     def run(row) -> None:
+        if stop.is_set():
+            return
+        try:
+            train_and_store(row)
+        except BaseException:
+            stop.set()
+            raise
+
+    def train_and_store(row) -> None:
         split = stratified_split(data[row.dataset], row.seed, cv_folds=cv_folds)
         columns = feature_columns(data[row.dataset])
         train = split.where("split = 'train'").drop("split")
