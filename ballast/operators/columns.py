@@ -45,10 +45,20 @@ def rename_target(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[quoted(c).alias("target" if c == name else c) for c in df.columns])
 
 
-def cast_by_class(df: DataFrame) -> DataFrame:
-    """Floats to 32-bit float, integers to 32-bit integer; overflow raises."""
-    narrow = {**dict.fromkeys(columns_of(df, *FLOATS), "float"), **dict.fromkeys(columns_of(df, *INTEGERS), "int")}
-    return df.select(*[quoted(c).cast(narrow[c]).alias(c) if c in narrow else quoted(c) for c in df.columns])
+def cast_by_class(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Floats to 32-bit float, integers to 32-bit integer; overflow raises.
+
+    Columns named in ``keep`` stay as they are.
+    """
+    out = []
+    for field in df.schema.fields:
+        column = quoted(field.name)
+        if field.name not in keep and isinstance(field.dataType, FLOATS):
+            column = column.cast("float").alias(field.name)
+        elif field.name not in keep and isinstance(field.dataType, INTEGERS):
+            column = column.cast("int").alias(field.name)
+        out.append(column)
+    return df.select(*out)
 
 
 def category_levels(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:

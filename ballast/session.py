@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Methods above this many bytes of bytecode are never compiled by the JVM, so a wide
+# projection runs faster outside whole-stage code than in one huge method of it.
+SQL_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def apply_sql_settings(spark: SparkSession) -> None:
+    """Set this package's SQL settings on a session built elsewhere."""
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def build_session(app: str = "ballast", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on; the cluster's own settings win elsewhere."""
     builder = SparkSession.builder.appName(app)
@@ -20,6 +31,7 @@ def build_session(app: str = "ballast", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **SQL_SETTINGS,
     }
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})
     for key, value in settings.items():
