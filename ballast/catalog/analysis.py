@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ballast.catalog.bindings import SQL_PREDICTIONS, predictions
 from ballast.catalog.registry import query, r6, rounded
 from ballast.operators import metrics as M
-from ballast.operators.profile import imbalance_ratio
 from ballast.plans import analysis as A
 from ballast.vocabulary import LABELS, METRIC_LABELS, METRICS, ORDERED, REAL_DATASETS
 
@@ -282,8 +281,8 @@ RATIO = """, classes as (select dataset, target, count(*) as n from predictions
     " from metrics join ratios using (dataset)",
 )
 def _(spark, sf_dir):
-    ratios = imbalance_ratio(predictions(spark, sf_dir), keys=["dataset"])
-    return rounded(A.imbalance_points(metrics(spark, sf_dir), ratios))
+    runs = per_seed(spark, sf_dir)
+    return rounded(A.imbalance_points(M.metrics_mean_std(runs), A.imbalance_ratios(runs)))
 
 
 APPROACH = """, averaged as (select dataset, model_type, technique, avg(g_mean) as g_mean, avg(f1_score) as f1_score,
@@ -400,9 +399,7 @@ def _(spark, sf_dir):
     union all select 'cross_dataset', count(distinct (technique, model_type)) from metrics""",
 )
 def _(spark, sf_dir):
-    stored = predictions(spark, sf_dir)
-    ratios = imbalance_ratio(stored, keys=["dataset"])
-    tables = A.run_all(stored, ratios)
+    tables = A.run_all(predictions(spark, sf_dir))
     out = None
     for name, table in tables.items():
         counted = table.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("analysis"), "row_count")

@@ -17,7 +17,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,16 +102,15 @@ def assign_cells(distinct: DataFrame, n: int, block_rows: int) -> "Cells":
     else:
         sent = distinct.sparkSession.sparkContext.broadcast(pivots)
 
-        def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
-                x = stack(batch["x"])
+                x = matrix(batch["x"])
                 cell = squared_distances(x, sent.value).argmin(axis=1)
-                yield batch.assign(
-                    cell=cell.astype("int32"), radius=np.sqrt(((x - sent.value[cell]) ** 2).sum(axis=1))
-                )
+                radius = np.sqrt(((x - sent.value[cell]) ** 2).sum(axis=1))
+                yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("radius", pa.array(radius))
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema.fields)
-        located = distinct.mapInPandas(locate, f"{fields}, cell int, radius double")
+        located = distinct.mapInArrow(locate, f"{fields}, cell int, radius double")
         located = materialize(located)
     return Cells(located, pivots, block_rows)
 
@@ -132,23 +132,31 @@ class Cells:
         per_cell = F.element_at(F.array(*map(F.lit, map(int, self.blocks))), F.col("cell") + 1)
         self.vectors = located.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rep"), per_cell).cast("int"))
 
+    def shape(self) -> tuple[np.ndarray, ...]:
+        """Pivots, rows and radius range per cell: at most one row of each per pivot."""
+        return self.pivots, self.rows, self.low, self.high
+
 
 def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
     """Meet the own block, then every block that may still hold a nearer row."""
     vectors, id_type = cells.vectors, cells.vectors.schema["rep"].dataType.simpleString()
     found = f"rep {id_type}, id {id_type}, d double"
 
-    def own_block(group: pd.DataFrame) -> pd.DataFrame:
-        x = stack(group["x"])
-        return best_of_block(group["rep"], x, x, group["ids"], k + 1)
+    def own_block(group: pa.Table) -> pa.Table:
+        x = matrix(group["x"])
+        row, place, d = best_of_block(x, x, group["ids"], k + 1)
+        return candidates(group, group, row, place, d)
 
-    home = vectors.groupBy("cell", "block").applyInPandas(own_block, found)
-    if cells.blocks.sum() <= 1:
+    groups = int(cells.blocks.sum())
+    spread = vectors.repartition(tasks_for(vectors, groups), "cell", "block")
+    home = spread.groupBy("cell", "block").applyInArrow(own_block, found)
+    if groups <= 1:
         return keep_best(home, k + 1)
     home = materialize(home)
     reach = home.groupBy("rep").agg(F.count("*").alias("n"), F.max("d").alias("reach"))
     reach = reach.select("rep", F.when(F.col("n") > k, F.col("reach")).otherwise(F.lit(math.inf)).alias("reach"))
-    askers = materialize(vectors.select("rep", "x", "cell", "block").join(reach, "rep"))
+    askers = vectors.select("rep", "x", "cell", "block").join(reach, "rep")
+    askers = materialize(askers.repartition(tasks_for(askers, groups), "rep"))
     visits = visit_counts(askers, cells)
     # A cell with many askers is copied so that each task meets a bounded number of them.
     copies = np.maximum(np.ceil(visits / (4 * block_rows)), 1).astype(int)
@@ -158,41 +166,55 @@ def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
         "cell", "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "rep", "x", "ids"
     )
 
-    def other_block(guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
+    def other_block(guests: pa.Table, residents: pa.Table) -> pa.Table:
         if not len(guests) or not len(residents):
-            return pd.DataFrame({"rep": guests["rep"][:0], "id": guests["rep"][:0], "d": pd.Series([], dtype=float)})
-        near = best_of_block(guests["rep"], stack(guests["x"]), stack(residents["x"]), residents["ids"], k + 1)
-        limit = near["rep"].map(dict(zip(guests["rep"], guests["reach"])))
-        return near[near["d"] <= limit]
-
-    keys = ["cell", "block", "part"]
-    met = away.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(other_block, found)
+            nothing = np.empty(0, dtype=np.int64)
+            return candidates(guests, residents, nothing, nothing, np.empty(0))
+        row, place, d = best_of_block(matrix(guests["x"]), matrix(residents["x"]), residents["ids"], k + 1)
+        near = d <= guests["reach"].to_numpy()[row]
+        return candidates(guests, residents, row[near], place[near], d[near])
+
+    keys, tasks = ["cell", "block", "part"], tasks_for(vectors, int((cells.blocks * copies).sum()))
+    away, hosts = away.repartition(tasks, *keys), hosts.repartition(tasks, *keys)
+    met = away.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(other_block, found)
     return keep_best(home.unionByName(met), k + 1)
 
 
-def keep_best(candidates: DataFrame, k: int) -> DataFrame:
+def tasks_for(df: DataFrame, groups: int) -> int:
+    """Tasks for groups that are small in bytes but heavy in work.
+
+    Adaptive execution would merge them by their bytes into few tasks, so the
+    number is set: a few per core, never more than there are groups.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(groups, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def keep_best(met: DataFrame, k: int) -> DataFrame:
     """The k best candidates of each vector as one sorted list."""
     order = Window.partitionBy("rep").orderBy("d", "id")
-    ranked = candidates.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
+    ranked = met.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
     return ranked.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
 
 
 class Geometry:
     """What tasks need to know of the cells; its size is bounded by the number of pivots."""
 
-    def __init__(self, cells: Cells):
-        self.pivots, self.rows, self.low, self.high = cells.pivots, cells.rows, cells.low, cells.high
+    def __init__(self, pivots: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.rows, self.low, self.high = pivots, rows, low, high
         center = self.pivots.mean(axis=0)
         widest = (np.sqrt(((self.pivots - center) ** 2).sum(axis=1)) + self.high).max()
         # Far above the rounding error of a squared distance by matrix product.
         self.error = ROUNDING * (1 + self.pivots.shape[1]) * widest**2
         self.between = np.sqrt(np.maximum(squared_distances(self.pivots, self.pivots), 0.0)) + np.sqrt(self.error)
 
-    def may_hold_nearer(self, x: np.ndarray, cell: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Which cells could hold a row within ``reach`` of each vector: (rows, cells) flags.
+    def may_hold_nearer(self, askers: pa.RecordBatch) -> np.ndarray:
+        """Which cells could hold a row within reach of each vector: (rows, cells) flags.
 
         Rounding only ever adds cells: every bound is lowered by the error it may carry.
         """
+        x, cell, reach = matrix(askers["x"]), askers["cell"].to_numpy(), askers["reach"].to_numpy()
         square = squared_distances(x, self.pivots)
         home = square[np.arange(len(x)), cell][:, None]
         nearest = np.sqrt(np.maximum(square - self.error, 0.0)) - self.high
@@ -204,19 +226,17 @@ class Geometry:
 
 def visit_counts(askers: DataFrame, cells: Cells) -> np.ndarray:
     """How many vectors will visit each cell."""
-    sent = askers.sparkSession.sparkContext.broadcast(Geometry(cells))
+    sent = askers.sparkSession.sparkContext.broadcast(cells.shape())
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(sent.value.rows), dtype="int64")
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        geometry = Geometry(*sent.value)
+        total = np.zeros(len(geometry.rows), dtype="int64")
         for batch in pieces(batches):
-            flags = sent.value.may_hold_nearer(
-                stack(batch["x"]), batch["cell"].to_numpy(), batch["reach"].to_numpy()
-            )
-            total += flags.sum(axis=0)
+            total += geometry.may_hold_nearer(batch).sum(axis=0)
         hit = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": hit.astype("int32"), "n": total[hit]})
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit])], ["cell", "n"])
 
-    totals = askers.mapInPandas(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    totals = askers.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     visits = np.zeros(cells.count, dtype=np.int64)
     for row in totals:
         visits[row.cell] = row.n
@@ -225,23 +245,24 @@ def visit_counts(askers: DataFrame, cells: Cells) -> np.ndarray:
 
 def travel(askers: DataFrame, cells: Cells, copies: np.ndarray, id_type: str) -> DataFrame:
     """Send each vector to every block it has to visit, its own block excepted."""
-    sent = askers.sparkSession.sparkContext.broadcast(Geometry(cells))
+    sent = askers.sparkSession.sparkContext.broadcast(cells.shape())
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        geometry = Geometry(*sent.value)
         for batch in pieces(batches):
-            flags = sent.value.may_hold_nearer(
-                stack(batch["x"]), batch["cell"].to_numpy(), batch["reach"].to_numpy()
+            row, cell = np.nonzero(geometry.may_hold_nearer(batch))
+            part = batch["salt"].to_numpy()[row] % copies[cell]
+            trips = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [trips[c] for c in ("rep", "x", "reach", "cell", "block")]
+                + [pa.array(cell, pa.int32()), pa.array(part, pa.int32())],
+                ["rep", "x", "reach", "home_cell", "home_block", "cell", "part"],
             )
-            row, cell = np.nonzero(flags)
-            trips = batch.iloc[row].rename(columns={"cell": "home_cell", "block": "home_block"})
-            trips["cell"] = cell.astype("int32")
-            trips["part"] = (trips.pop("salt").to_numpy() % copies[cell]).astype("int32")
-            yield trips
 
     salted = askers.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)))
-    trips = salted.mapInPandas(
+    trips = salted.mapInArrow(
         send,
-        f"rep {id_type}, x array<double>, home_cell int, home_block int, reach double, cell int, part int",
+        f"rep {id_type}, x array<double>, reach double, home_cell int, home_block int, cell int, part int",
     )
     blocks = F.element_at(F.array(*map(F.lit, map(int, cells.blocks))), F.col("cell") + 1)
     every_block = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
@@ -252,15 +273,21 @@ def travel(askers: DataFrame, cells: Cells, copies: np.ndarray, id_type: str) ->
     )
 
 
-def pieces(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut small enough for a (rows, pivots) matrix."""
     for batch in batches:
         for start in range(0, len(batch), rows):
-            yield batch.iloc[start : start + rows]
+            yield batch.slice(start, rows)
+
+
+def whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as the rows of a matrix."""
+    column = whole(column)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -279,39 +306,56 @@ def measured(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) ->
     return out
 
 
-def best_of_block(askers: pd.Series, x: np.ndarray, y: np.ndarray, ids: pd.Series, k: int) -> pd.DataFrame:
+def best_of_block(
+    x: np.ndarray, y: np.ndarray, ids: pa.Array | pa.ChunkedArray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest rows of ``y`` for each row of ``x``; each ``y`` stands for all its ids.
 
-    Matrix products shortlist candidates within their rounding error, and only the
-    shortlist is measured exactly.
+    Returns row of ``x``, place in the flattened ids, and distance. Matrix products
+    shortlist candidates within their rounding error, and only the shortlist is
+    measured exactly.
     """
-    names, lists = askers.to_numpy(), ids.to_numpy()
-    lengths = np.array([len(i) for i in lists])
+    ids = whole(ids)
+    lengths = pc.list_value_length(ids).to_numpy()
+    first = np.cumsum(lengths) - lengths
+    # Equal distances rank by id, whatever the type of the id.
+    id_order = pc.rank(ids.flatten(), tiebreaker="dense").to_numpy()
     center = y.mean(axis=0)
     widest = max(((x - center) ** 2).sum(axis=1).max(), ((y - center) ** 2).sum(axis=1).max())
     error = ROUNDING * (1 + x.shape[1]) * widest
     out = []
     for start in range(0, len(x), 512):
-        rough = squared_distances(x[start : start + 512], y)
+        part = x[start : start + 512]
+        rough = squared_distances(part, y)
         if len(y) > k:
             cut = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error
             row, col = np.nonzero(rough <= cut[:, None])
         else:
             row, col = np.indices(rough.shape).reshape(2, -1)
-        near = pd.DataFrame({"row": row, "col": col, "d": measured(x[start : start + 512], y, row, col)})
+        d = measured(part, y, row, col)
         # The k-th distance decides before ids are laid out, ties included.
-        near = near[near["d"] <= near["row"].map(near.groupby("row")["d"].apply(lambda d: kth(d.to_numpy(), k)))]
-        repeat = lengths[near["col"].to_numpy()]
-        flat = near.loc[near.index.repeat(repeat), ["row", "d"]].reset_index(drop=True)
-        flat["id"] = np.concatenate([lists[c] for c in near["col"]])
-        flat = flat.sort_values(["row", "d", "id"], kind="stable")
-        flat = flat[flat.groupby("row").cumcount() < k]
-        out.append(pd.DataFrame({"rep": names[start + flat["row"].to_numpy()], "id": flat["id"], "d": flat["d"]}))
-    return pd.concat(out, ignore_index=True)
-
-
-def kth(values: np.ndarray, k: int) -> float:
-    return np.partition(values, k - 1)[k - 1] if len(values) > k else values.max()
+        order = np.lexsort((d, row))
+        row, col, d = row[order], col[order], d[order]
+        count = np.bincount(row, minlength=len(part))
+        begin = np.cumsum(count) - count
+        keep = d <= d[begin + np.minimum(count, k) - 1][row]
+        row, col, d = row[keep], col[keep], d[keep]
+        times = lengths[col]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, d, place = np.repeat(row, times), np.repeat(d, times), np.repeat(first[col], times) + within
+        order = np.lexsort((id_order[place], d, row))
+        row, d, place = row[order], d[order], place[order]
+        count = np.bincount(row, minlength=len(part))
+        begin = np.cumsum(count) - count
+        keep = np.arange(len(row)) - begin[row] < k
+        out.append((start + row[keep], place[keep], d[keep]))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+def candidates(askers: pa.Table, hosts: pa.Table, row: np.ndarray, place: np.ndarray, d: np.ndarray) -> pa.Table:
+    """Candidate rows ``(rep, id, d)`` out of positions in the askers and in the hosts' ids."""
+    ids = whole(hosts["ids"]).flatten()
+    return pa.table({"rep": askers["rep"].take(pa.array(row)), "id": ids.take(pa.array(place)), "d": pa.array(d)})
 
 
 def tomek_links(

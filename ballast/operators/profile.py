@@ -36,12 +36,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """Count and share of the whole for each value.
 
-    The total is an aggregate of the counts, joined back as its single row, so
-    many-valued columns are not drawn into one window partition.
+    The total is a scalar subquery over the counts, so columns with very many
+    values are not drawn into one window partition.
     """
     counts = value_counts(df, column)
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("total")).alias("share"))
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.select(column, "n", (F.col("n") / total).alias("share"))
 
 
 def default_rate(df: DataFrame, condition: Column) -> DataFrame:

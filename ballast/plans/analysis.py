@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ballast.functions.text import concat_label, format_mean_std, format_plus_minus
 from ballast.operators.columns import map_labels
 from ballast.operators.metrics import metrics_mean_std, metrics_per_seed
+from ballast.session import materialize
 from ballast.vocabulary import (
     COST_SENSITIVE,
     METRIC_LABELS,
@@ -113,14 +114,27 @@ def best_technique(metrics: DataFrame) -> DataFrame:
 
 
 def baseline_vs_best(metrics: DataFrame) -> DataFrame:
-    """Each model's untreated row beside its best treatment, if it has one."""
-    untreated = metrics.where(F.col("technique") == "baseline").select(
-        "dataset",
-        "model_type",
-        F.col("g_mean_mean").alias("baseline_g_mean"),
-        F.col("balanced_accuracy_mean").alias("baseline_balanced_acc"),
+    """Each model's untreated row beside its best treatment, if it has one.
+
+    Both sides come out of one aggregation per model, so the predictions beneath are
+    not scanned once for each side.
+    """
+    untreated = F.col("technique") == "baseline"
+    row = F.struct(
+        F.col("technique").alias("best_technique"),
+        F.col("g_mean_mean").alias("best_g_mean"),
+        F.col("balanced_accuracy_mean").alias("best_balanced_acc"),
+    )
+    place = F.when(~untreated, F.struct(-F.col("g_mean_mean"), "technique"))
+    sides = metrics.groupBy("dataset", "model_type").agg(
+        F.count_if(untreated).alias("_untreated"),
+        F.max(F.when(untreated, F.col("g_mean_mean"))).alias("baseline_g_mean"),
+        F.max(F.when(untreated, F.col("balanced_accuracy_mean"))).alias("baseline_balanced_acc"),
+        F.min_by(row, place).alias("best"),
+    )
+    return sides.where("_untreated > 0").select(
+        "dataset", "model_type", "baseline_g_mean", "baseline_balanced_acc", "best.*"
     )
-    return untreated.join(best_technique(metrics), ["dataset", "model_type"], "left")
 
 
 def imbalance_impact(metrics: DataFrame) -> DataFrame:
@@ -227,19 +241,28 @@ def cross_dataset(metrics: DataFrame, technique: str | None = None) -> DataFrame
     ).orderBy("technique", "model")
 
 
-def run_all(predictions: DataFrame, ratios: DataFrame) -> dict[str, DataFrame]:
+def imbalance_ratios(per_seed: DataFrame) -> DataFrame:
+    """Majority over minority of each dataset, from the confusion counts of its runs."""
+    classes = per_seed.groupBy("dataset").agg(
+        F.sum(F.col("TP") + F.col("FN")).alias("positive"), F.sum(F.col("TN") + F.col("FP")).alias("negative")
+    )
+    larger, smaller = F.greatest("positive", "negative"), F.least("positive", "negative")
+    return classes.select("dataset", (larger / F.when(smaller > 0, smaller).otherwise(larger)).alias("imbalance_ratio"))
+
+
+def run_all(predictions: DataFrame) -> dict[str, DataFrame]:
     """Every analysis over one shared metrics table.
 
-    The predictions are scanned once; the cached table has a row per training run.
+    The predictions are scanned once; what is stored has a row per training run.
     """
-    per_seed = metrics_per_seed(predictions).persist()
+    per_seed = materialize(metrics_per_seed(predictions))
     metrics = metrics_mean_std(per_seed)
     return {
         "summary_table": summary_table(metrics),
         "tradeoff_points": tradeoff_points(metrics),
         "stability_boxplot": stability_boxplot(per_seed),
         "imbalance_impact": imbalance_impact(metrics),
-        "imbalance_points": imbalance_points(metrics, ratios),
+        "imbalance_points": imbalance_points(metrics, imbalance_ratios(per_seed)),
         "cs_vs_resampling": cs_vs_resampling(per_seed),
         "cs_vs_resampling_bars": cs_vs_resampling_bars(per_seed),
         "metrics_heatmap": metrics_heatmap(metrics),

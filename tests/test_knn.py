@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -76,3 +80,20 @@ def test_tomek_links(spark, block_rows):
     )
     got = {(r.low_id, r.high_id) for r in tomek_links(table, block_rows=block_rows).collect()}
     assert got == want and want
+
+
+def test_tasks_need_no_package_on_executors(tmp_path):
+    """From another working directory the workers cannot import this package."""
+    script = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import functions as F
+from ballast.operators.knn import knn_join
+from ballast.session import build_session
+spark = build_session("apart", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
+points = spark.range(60).select(F.col("id").alias("row_id"), F.array((F.col("id") * F.col("id")).cast("double")).alias("x"))
+assert knn_join(points, 2, block_rows=15).count() == 120
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", script, root], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
