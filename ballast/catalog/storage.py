@@ -25,7 +25,7 @@ from ballast.operators.profile import class_counts
 from ballast.plans.experiment import (
     combination_grid,
     completed_combinations,
-    execution_complete,
+    executions_complete,
     pending_combinations,
     resume_execution,
 )
@@ -124,6 +124,15 @@ def _(spark, sf_dir):
     return S.scan_parquet(spark, repository.final_path("test"))
 
 
+@query("object_store", over(SQL_EVENTS, "select row_id, value, target from raw"))
+def _(spark, sf_dir):
+    # Any filesystem Hadoop has a connector for is named by its URI alone.
+    root = scratch_path(spark, "objects")
+    repository = S.DataRepository(spark, root if "://" in root else f"file://{root}")
+    repository.save_interim("test", events(spark, sf_dir).select("row_id", "value", "target"))
+    return repository.interim("test")
+
+
 @query("training_data_cache", over(SQL_EVENTS, "select target, count(*) as n, 1 as read from raw group by target union all select target, count(*), 2 from raw group by target"))
 def _(spark, sf_dir):
     repository = S.DataRepository(spark, scratch_path(spark, "repository"))
@@ -274,14 +283,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    stored = predictions(spark, sf_dir)
-    grid = combination_grid(spark, SOURCES, 7)
-    ids = [r.execution_id for r in stored.select("execution_id").distinct().orderBy("execution_id").limit(100).collect()]
-    flags = [
-        F.struct(F.lit(i).alias("execution_id"), F.lit(execution_complete(grid, completed_combinations(stored, i))).alias("complete"))
-        for i in ids
-    ]
-    return spark.range(1).select(F.inline(F.array(*flags)))
+    return executions_complete(combination_grid(spark, SOURCES, 7), predictions(spark, sf_dir))
 
 
 @query(

@@ -28,6 +28,10 @@ from ballast.operators.sampling import (
 )
 
 
+PARTITION_BYTES = 128 << 20
+LEAST_BYTES = 1 << 20
+
+
 class RebalancedClassifier(Estimator):
     """Fits ``classifier`` on the prepared and rebalanced rows of a training table.
 
@@ -80,21 +84,35 @@ class RebalancedClassifier(Estimator):
         stages, rows = self.prepare(dataset)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return self._train(stages, rows)
+            return self._train(stages, fewer_tasks(rows, len(self.columns)))
         finally:
             rows.unpersist()
 
     def fitMultiple(self, dataset: DataFrame, paramMaps) -> Iterator[tuple[int, PipelineModel]]:
         """Fit all candidates on one prepared and rebalanced table."""
         stages, rows = self.prepare(dataset)
-        return _SharedFits(self, stages, rows.persist(StorageLevel.MEMORY_AND_DISK), list(paramMaps))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        return _SharedFits(self, stages, rows, fewer_tasks(rows, len(self.columns)), list(paramMaps))
+
+
+def fewer_tasks(stored: DataFrame, width: int) -> DataFrame:
+    """Merge small partitions of a stored training table.
+
+    Iterative algorithms start a task per partition in every one of hundreds of
+    rounds, so a small table gets at most a partition per core and none below
+    ``LEAST_BYTES``; a large one keeps partitions of about ``PARTITION_BYTES``.
+    """
+    size = stored.count() * (width + 2) * 8
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    wanted = max(1, min(cores, size // LEAST_BYTES), -(-size // PARTITION_BYTES))
+    return stored.coalesce(wanted) if stored.rdd.getNumPartitions() > wanted else stored
 
 
 class _SharedFits:
     """Iterator over candidate fits that threads may share; frees the table after the last one."""
 
-    def __init__(self, estimator: RebalancedClassifier, stages: list, rows: DataFrame, maps: list):
-        self.estimator, self.stages, self.rows, self.maps = estimator, stages, rows, maps
+    def __init__(self, estimator: RebalancedClassifier, stages: list, stored: DataFrame, rows: DataFrame, maps: list):
+        self.estimator, self.stages, self.stored, self.rows, self.maps = estimator, stages, stored, rows, maps
         self.lock, self.started, self.running = threading.Lock(), 0, len(maps)
 
     def __iter__(self):
@@ -112,4 +130,4 @@ class _SharedFits:
             with self.lock:
                 self.running -= 1
                 if not self.running:
-                    self.rows.unpersist()
+                    self.stored.unpersist()

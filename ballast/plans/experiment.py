@@ -46,6 +46,16 @@ def execution_complete(grid: DataFrame, completed: DataFrame) -> bool:
     return pending_combinations(grid, completed).isEmpty()
 
 
+def executions_complete(grid: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``(execution_id, complete)`` for every stored execution, in one pass."""
+    runs = predictions.select("execution_id", *COMBINATION).distinct()
+    expected = grid.agg(F.count("*").alias("n")).scalar()
+    done = runs.join(grid.withColumn("expected", F.lit(True)), COMBINATION, "left")
+    return done.groupBy("execution_id").agg((F.count_if("expected")).alias("n")).select(
+        "execution_id", (F.col("n") == expected).alias("complete")
+    )
+
+
 @dataclass(frozen=True)
 class Resolution:
     """Which execution to work on, and why."""
