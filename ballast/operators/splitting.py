@@ -26,6 +26,8 @@ def count_classes(df: DataFrame, target: str = "target") -> dict[object, int]:
     rows = class_counts(df, target).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    if any(row[target] is None for row in rows):
+        raise ValueError(f"{target} is missing in some rows")
     return {row[target]: row["n"] for row in rows}
 
 

@@ -70,7 +70,7 @@ class Resolution:
 
 
 def resume_execution(
-    predictions: DataFrame,
+    predictions: DataFrame,  # or only their run keys
     datasets: Sequence[str],
     num_seeds: int,
     excluded_models: Sequence[str] = (),
@@ -117,7 +117,7 @@ def run_experiment(
     an interrupted experiment continues where it stopped; after a failure no
     further run is started.
     """
-    chosen = resume_execution(store.read(), list(data), num_seeds, excluded_models, execution_id, skip_resume)
+    chosen = resume_execution(store.runs(), list(data), num_seeds, excluded_models, execution_id, skip_resume)
     if chosen.finished:
         return chosen
     grid = combination_grid(spark, list(data), num_seeds, excluded_models)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ RUN_KEYS = ["execution_id", "dataset", "model_type", "technique", "seed"]
 SCHEMA = (
     "target int, prediction int, execution_id string, dataset string, model_type string, technique string, seed int"
 )
+RUN_SCHEMA = "execution_id string, dataset string, model_type string, technique string, seed int"
+STORED_PATH = re.compile("/".join(f"{key}=([^/]+)" for key in RUN_KEYS) + "/")
 # Fixed value: how a run is named where its keys are part of a file path.
 LEGACY_PATH = r"predictions/([^/]+)/([^/]+)/([^/]+)/([^/]+)/seed_(\d+)\.parquet$"
 
@@ -62,8 +66,16 @@ class PredictionStore:
         ).partitionBy(*RUN_KEYS).parquet(self.path)
 
     def runs(self) -> DataFrame:
-        """Keys of the stored runs with known codes; reads no prediction columns."""
-        return valid_runs(self.read().select(*RUN_KEYS).distinct())
+        """Keys of the stored runs with known codes, from the listing of files alone."""
+        found = {STORED_PATH.search(path) for path in self.read().inputFiles()}
+        keys = {tuple(map(unquote, match.groups())) for match in found if match}
+        rows = [(*key[:-1], int(key[-1])) for key in sorted(keys)]
+        return valid_runs(self.spark.createDataFrame(rows, RUN_SCHEMA))
+
+    def latest(self, dataset: str) -> DataFrame:
+        """Predictions of the newest execution with the dataset; reads its partitions only."""
+        newest = latest_execution_id(self.runs(), [dataset]).first()[0]
+        return predictions_for_execution(self.read(), dataset, newest)
 
     def for_execution(self, dataset: str, execution_id: str) -> DataFrame:
         """Predictions of one execution on one dataset.

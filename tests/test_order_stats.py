@@ -92,6 +92,12 @@ def test_split_errors(spark):
         stratified_split(labelled(spark, 6, 30), 1)
 
 
+def test_missing_targets_raise(spark):
+    df = labelled(spark, 10, 30).withColumn("target", F.when(F.col("row_id") != 3, F.col("target")))
+    with pytest.raises(ValueError, match="missing"):
+        stratified_split(df, 1)
+
+
 def test_kfold_is_even_and_disjoint(spark):
     df = stratified_kfold(labelled(spark, 23, 104), 2)
     for target, n in ((1, 23), (0, 104)):

@@ -33,7 +33,8 @@ def test_store_and_catalogue(spark, tmp_path):
     assert P.latest_execution_id(store.read()).first()[0] == "e2"
     assert P.latest_execution_id(store.read(), ["taiwan_credit"]).first()[0] == "e1"
     assert P.latest_execution_id(store.read(), ["test"]).first()[0] is None
-    assert P.latest_predictions(store.read(), "lending_club").count() == 3
+    assert P.latest_predictions(store.read(), "lending_club").count() == store.latest("lending_club").count() == 3
+    assert store.latest("taiwan_credit").count() == 14 and store.latest("test").count() == 0
 
 
 def test_execution_filter_prunes_partitions(spark, tmp_path):
