@@ -26,7 +26,10 @@ from ballast.functions.hashing import hash_order
 from ballast.operators.skew import HOT_FLOOR, HOT_SHARE
 from ballast.session import materialize
 
-BLOCK_ROWS = 2048
+# Rows of a block: larger blocks mean fewer trips for each row where nothing can be
+# pruned, smaller ones less to measure where much can.
+BLOCK_ROWS = 8192
+GROUPS_PER_TASK = 64
 MAX_PIVOTS = 2048
 ROUNDING = 1e-12  # relative; thousands of times the rounding error of a sum of squares
 
@@ -184,11 +187,13 @@ def tasks_for(df: DataFrame, groups: int) -> int:
     """Tasks for groups that are small in bytes but heavy in work.
 
     Adaptive execution would merge them by their bytes into few tasks, so the
-    number is set: a few per core, never more than there are groups.
+    number is set: a few per core or a task per ``GROUPS_PER_TASK``, never more than
+    there are groups.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    return max(1, min(groups, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    several = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), groups // GROUPS_PER_TASK)
+    return max(1, min(groups, several))
 
 
 def keep_best(met: DataFrame, k: int) -> DataFrame:
