@@ -28,7 +28,7 @@ from ballast.session import materialize
 
 # Rows of a block: larger blocks mean fewer trips for each row where nothing can be
 # pruned, smaller ones less to measure where much can.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 GROUPS_PER_TASK = 64
 MAX_PIVOTS = 2048
 ROUNDING = 1e-12  # relative; thousands of times the rounding error of a sum of squares
