@@ -13,8 +13,6 @@ from ballast.catalog.bindings import (
 from ballast.catalog.columns import INCOME, NEW_DTI, REVOLVING, over
 from ballast.catalog.registry import query, rounded
 from ballast.plans.features import (
-    LENDING_CATEGORIES,
-    LENDING_DERIVED,
     LENDING_RAW_NUMERIC,
     get_transformer,
     registered_datasets,
