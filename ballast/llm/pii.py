@@ -25,16 +25,13 @@ LABELERS = ["pattern", "gazetteer", "context", "form"]
 # The first four patterns are part of the contract. Possessive runs match the same
 # strings as plain ones, without trying every start inside a run or recursing.
 PATTERNS = {
-    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
-    "card": (r"[0-9](?:[\x20-]?+[0-9]){12,}+", None),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    "loose_email": (
-        r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++",
-        "at",
-    ),
-    "loose_phone": (r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None),
-    "id_number": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?+[0-9]){12,}+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "loose_email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++",
+    "loose_phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 WORDS_FOR = {
     "email": "mail|e-mail|contact|write",
@@ -99,9 +96,14 @@ def gazetteer(kind: str, value: Column) -> Column:
     return vote(known, ~known)
 
 
-def spans_of(text: Column, kind: str) -> Column:
+def spans_of(text: Column, kind: str, has_digit: Column) -> Column:
     """Proposed spans of one kind with their votes and shape."""
-    pattern, hint = PATTERNS[kind]
+    if kind == "email":
+        possible = F.contains(text, F.lit("@"))
+    elif kind == "loose_email":
+        possible = F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))
+    else:
+        possible = has_digit
 
     def describe(s: Column) -> Column:
         value = s["value"]
@@ -120,7 +122,7 @@ def spans_of(text: Column, kind: str) -> Column:
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"), base.alias("base"), votes.alias("votes"), size.alias("size")
         )
 
-    return F.transform(regex_spans(text, pattern, hint), describe)
+    return F.transform(regex_spans(text, PATTERNS[kind], possible), describe)
 
 
 def propose(documents: DataFrame, text: str, out: str) -> DataFrame:
@@ -129,7 +131,9 @@ def propose(documents: DataFrame, text: str, out: str) -> DataFrame:
     The steps are columns of their own, so that no expression is evaluated twice.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    every = documents.withColumn(out, F.concat(*[spans_of(body, k) for k in KINDS]))
+    digit = fresh(documents, f"{out}_digit")
+    tested = documents.withColumn(digit, body.rlike("[0-9]"))
+    every = tested.withColumn(out, F.concat(*[spans_of(body, k, F.col(digit)) for k in KINDS])).drop(digit)
     base = fresh(every, f"{out}_base")
     split = every.withColumn(base, F.filter(out, lambda s: s["base"]))
     loose = F.filter(out, lambda s: ~s["base"])
@@ -182,15 +186,18 @@ def train_span_model(documents: DataFrame, text: str = "text") -> SpanModel:
     model rejects every looser span.
     """
     proposed = propose(documents.select(F.col(f"`{text}`").alias("text")), "text", "spans")
-    rows = (
-        proposed.select(F.explode("spans").alias("s"))
-        .groupBy("s.kind", "s.size", *[F.col(f"s.votes.{n}").alias(n) for n in LABELERS])
-        .count()
-        .collect()
-    )
+
+    # One text per span: exploded structs would be taken apart and proposed again for each field.
+    def shape(s: Column) -> Column:
+        return F.concat_ws(" ", s["kind"], s["size"].cast("string"), *[s["votes"][n].cast("string") for n in LABELERS])
+
+    counted = proposed.select(F.explode(F.transform("spans", shape)).alias("shape")).groupBy("shape").count().collect()
+    rows = []
+    for row in sorted(counted, key=lambda r: r["shape"]):
+        kind, *numbers = row["shape"].split(" ")
+        rows.append(dict(zip(["size", *LABELERS], map(int, numbers), strict=True), kind=kind, count=row["count"]))
     if not rows:
         return SpanModel({"bias": -1.0})
-    rows = sorted(rows, key=lambda r: tuple(r))
     votes = np.array([[r[n] for n in LABELERS] for r in rows])
     counts = np.array([r["count"] for r in rows], float)
     posterior, rates = estimate_reliability(votes, counts)

@@ -41,8 +41,9 @@ class MarkovModel:
 
 def base_spans(text: Column) -> Column:
     """Spans of the fixed patterns as ``array<struct<kind, start, end, value>>``."""
-    assign = F.filter(regex_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 8)
-    access, hexes = regex_spans(text, ACCESS, "AKIA"), regex_spans(text, HEX)
+    assign = F.filter(regex_spans(text, ASSIGN, text.rlike("[:=]")), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 8)
+    access = regex_spans(text, ACCESS, F.contains(text, F.lit("AKIA")))
+    hexes = regex_spans(text, HEX, text.rlike("[0-9a-f]{32}"))
     return F.concat(tagged(assign, "assign"), tagged(access, "access"), tagged(hexes, "hex"))
 
 
@@ -52,20 +53,19 @@ def character_pairs(token: Column) -> Column:
     return F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.size(codes)), lambda a, b: a * CODES + b)
 
 
-def train_markov(documents: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 20_000) -> MarkovModel:
-    """Fit both models on a sample of at most ``sample_rows`` documents, chosen by a hash of ``key``.
+def train_markov(documents: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 5_000) -> MarkovModel:
+    """Fit both models on a sample of about ``sample_rows`` documents, chosen by a hash of ``key``.
 
     Labels come from the fixed patterns: the distinct values they find are random strings, the
-    distinct words outside them (taken from a tenth of the sample) ordinary ones. At most
+    distinct words outside them (taken from about 1,000 documents) ordinary ones. At most
     2 x 128 x 128 counts reach the driver.
     """
     rows = documents.count()
-    share = min(1.0, 1.2 * sample_rows / max(rows, 1))
+    share = min(1.0, sample_rows / max(rows, 1))
     draw = hash_fraction(F.col(f"`{key}`"))
     sample = (
         documents.where(draw <= share)
-        .select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), (hash_fraction(F.lit("words"), F.col(f"`{key}`")) < max(0.1, min(1.0, 2000 / max(rows, 1)))).alias("few"))
-        .limit(sample_rows)
+        .select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), (hash_fraction(F.lit("words"), F.col(f"`{key}`")) < 0.2).alias("few"))
     )
     found = sample.select(F.explode(base_spans(F.col("t"))).alias("s"))
     value = F.when(F.col("s.kind") == "assign", F.regexp_extract("s.value", ASSIGN, 1)).otherwise(F.col("s.value"))

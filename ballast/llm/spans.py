@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,value:string>"
 
 
-def regex_spans(text: Column, pattern: str, hint: str | None = None) -> Column:
+def regex_spans(text: Column, pattern: str, possible: Column | None = None) -> Column:
     """All leftmost non-overlapping matches as ``array<struct<start, end, value>>``.
 
     Positions count code points, the end is exclusive. The pieces between matches and the
-    matches themselves alternate, so their lengths add up to the positions. ``hint`` is a
-    literal without which nothing can match; texts that lack it skip the expression.
+    matches themselves alternate, so their lengths add up to the positions. ``possible`` is a cheaper
+    test that every text with a match passes; texts that fail it skip the pattern.
     """
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -29,8 +29,8 @@ def regex_spans(text: Column, pattern: str, hint: str | None = None) -> Column:
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
     located = F.aggregate(pairs, start, step, lambda state: state["spans"])
-    possible = text.rlike(pattern) if hint is None else F.contains(text, F.lit(hint)) & text.rlike(pattern)
-    return F.when(possible, located).otherwise(F.array().cast(f"array<{SPAN}>"))
+    matching = text.rlike(pattern) if possible is None else possible & text.rlike(pattern)
+    return F.when(matching, located).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def tagged(spans: Column, kind: str) -> Column:
