@@ -29,8 +29,8 @@ from ballast.session import scratch_path
 
 COORDINATES = 64
 MISS = 1e-6  # accepted chance that a pair at the threshold falls short of the match threshold
-LEADER_ROUNDS = 3
 SHORT_LIST = 8  # members of a posting list that are paired at once
+BLOCK_ROWS, CELLS_ROWS = 512, 1024  # rows of a block of a long list, and of a group of cells
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -128,27 +128,108 @@ def sign(documents: DataFrame, settings: Settings, key: str, text: str) -> DataF
     return wanted.mapInArrow(run, f"id {kind}, n_shingles bigint, set_key binary, signature array<int>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+def set_table(documents: DataFrame, classes: DataFrame, lists: DataFrame, settings: Settings, key: str, text: str, repeats: bool) -> DataFrame:
+    """``(id, signature, shingles)`` of the documents that are in some list; shingles are packed 64-bit hashes."""
+    texts = documents.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(lists.select("id").distinct(), "id", "left_semi")
+    if repeats:
+        texts = texts.distinct()
+    kind, words = texts.schema["id"].dataType.simpleString(), settings.shingle_words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "shingles"])
+
+    sets = texts.mapInArrow(run, f"id {kind}, shingles binary")
+    return sets.join(classes.select(F.col("rep").alias("id"), "signature"), "id").select("id", "signature", "shingles")
+
+
+def similar(one: np.ndarray, other: np.ndarray, top: int, bottom: int) -> bool:
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return shared > 0 and bottom * shared >= top * (len(one) + len(other) - shared)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    words, (top, bottom) = settings.shingle_words, settings.similarity
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    top, bottom = settings.similarity
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str | None, np.ndarray] = (None, np.array([], np.uint64))
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                one = left.as_py()
-                if one != held[0]:
-                    held = (one, shingle_set(one, words))
-                other = shingle_set(right.as_py(), words)
-                shared = len(np.intersect1d(held[1], other, assume_unique=True))
-                keep.append(shared > 0 and bottom * shared >= top * (len(held[1]) + len(other) - shared))
+            keep = [
+                similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), top, bottom)
+                for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def link_cell(ids: list, component: list, side: np.ndarray, signature: np.ndarray, sets: list[np.ndarray], settings: Settings) -> list[tuple]:
+    """Links that join the components of one cell as far as similar sets reach: at most one fewer than components.
+
+    ``side`` names the block of each row; a cell of one block compares its rows with each other.
+    """
+    names = {c: n for n, c in enumerate(dict.fromkeys(component))}
+    own = np.array([names[c] for c in component])
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    top, bottom = settings.similarity
+    shingles, spot = np.unique(np.concatenate([sets[r] for r in right]), return_inverse=True)
+    size = np.array([len(sets[r]) for r in right])
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    links = []
+    for row in left:
+        if not (own[right] != own[row]).any():
+            continue
+        agree = (signature[right] == signature[row]).sum(1) >= settings.required
+        if not (agree & (own[right] != own[row])).any():
+            continue
+        mark = np.zeros(len(shingles), np.int64)
+        at = np.searchsorted(shingles, sets[row])
+        inside = at < len(shingles)
+        at, values = at[inside], sets[row][inside]
+        mark[at[shingles[at] == values]] = 1
+        shared = np.add.reduceat(mark[spot], starts)
+        good = agree & (shared > 0) & (bottom * shared >= top * (size + len(sets[row]) - shared))
+        for k in np.flatnonzero(good):
+            other = right[k]
+            if own[other] != own[row]:
+                links.append((ids[row], ids[other]))
+                own[own == own[other]] = own[row]
+    return links
+
+
+def link_rest(apart: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links between members of one list that are still apart, without laying out their pairs.
+
+    A list is dealt into blocks, each two blocks are a cell, and a cell returns only what connects
+    components. ``apart`` has ``posting``, ``id`` and ``component``.
+    """
+    blocks = apart.groupBy("posting").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", "posting"), "blocks").cast("int")
+    dealt = apart.join(blocks, "posting").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = stored(dealt.select("id", "component", "i", F.xxhash64("posting", F.least("i", "j"), F.greatest("i", "j")).alias("cell")), "cells")
+    groups = max(1, cells.count() // CELLS_ROWS)
+    work = cells.join(sets, "id").withColumn("group", F.pmod("cell", F.lit(groups)))
+    kind = apart.schema["id"].dataType.simpleString()
+
+    def measure(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("cell").to_numpy(), kind="stable")
+        cell = table.column("cell").to_numpy()[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        found = []
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            part = table.take(pa.array(order[start:stop]))
+            sides = part.column("i").to_numpy()
+            found += link_cell(
+                part.column("id").to_pylist(), part.column("component").to_pylist(), sides, np.array(part.column("signature").to_pylist(), np.int32),
+                [np.frombuffer(b, np.uint64) for b in part.column("shingles").to_pylist()], settings,
+            )
+        return pa.table({"a": pa.array([a for a, _ in found], table.schema.field("id").type), "b": pa.array([b for _, b in found], table.schema.field("id").type)})
+
+    return work.groupBy("group").applyInArrow(measure, f"a {kind}, b {kind}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -178,11 +259,8 @@ def near_duplicates(documents: DataFrame, settings: Settings | None = None, key:
     bridges = several.join(classes.select("set_key", "rep"), "set_key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     lists = rare_postings(classes, settings)
-    texts = documents.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    texts = texts.join(lists.select("id").distinct(), "id", "left_semi")
-    if not repeated.isEmpty():
-        texts = texts.distinct()
-    roots = link_lists(lists, stored(texts, "texts"), classes, bridges, settings)
+    sets = stored(set_table(documents, classes, lists, settings, key, text, not repeated.isEmpty()), "sets")
+    roots = link_lists(lists, sets, classes, bridges, settings)
     whole = classes.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     whole = stored(whole, "components")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -207,43 +285,35 @@ def rare_postings(classes: DataFrame, settings: Settings) -> DataFrame:
     return stored(prefixes.select("id", "p.posting", "p.n"), "postings")
 
 
-def link_lists(lists: DataFrame, texts: DataFrame, classes: DataFrame, bridges: DataFrame, settings: Settings) -> DataFrame:
+def link_lists(lists: DataFrame, sets: DataFrame, classes: DataFrame, bridges: DataFrame, settings: Settings) -> DataFrame:
     """Components ``(node, root)`` over all links between members of one list.
 
-    Short lists give all their pairs at once. A long list is first linked to leaders, another one
-    in each list and round; then only members that are still apart are compared with each other.
+    Short lists give all their pairs at once, long ones the pairs with a leader, another document in
+    each list. Members of long lists that are then still apart are compared in cells.
     """
     ids = classes.select(F.col("rep").alias("id"), "signature")
     short = lists.where(F.col("n") <= SHORT_LIST)
     left, right = short.select("posting", F.col("id").alias("a")), short.select("posting", F.col("id").alias("b"))
     long = lists.where(F.col("n") > SHORT_LIST).select("posting", "id")
-    first = left.join(right, "posting").where(F.col("a") < F.col("b")).select("a", "b").unionByName(led(long.withColumn("component", F.col("id")), 0))
-    links, tried = bridges.unionByName(bridges.limit(0)), None
-    for step in range(1, LEADER_ROUNDS + 2):
-        pairs = first.distinct() if tried is None else first.distinct().join(tried, ["a", "b"], "left_anti")
-        counted = stored(enough_collisions(pairs, ids, settings), "pairs")
-        links = links.unionByName(stored(confirm(counted, texts, settings), "links"))
-        tried = counted if tried is None else tried.unionByName(counted)
-        roots = connected_components(links)
-        placed = long.join(roots, F.col("id") == F.col("node"), "left").select("posting", "id", F.coalesce("root", "id").alias("component"))
-        mixed = placed.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high"))
-        apart = stored(placed.join(mixed.select("posting"), "posting", "left_semi"), "open")
-        if step == LEADER_ROUNDS + 1 or apart.isEmpty():
-            break
-        if step < LEADER_ROUNDS:
-            first = led(apart, step)
-        else:  # members of one list that nothing has connected yet
-            one = apart.select("posting", F.col("id").alias("x"), F.col("component").alias("cx"))
-            two = apart.select("posting", F.col("id").alias("y"), F.col("component").alias("cy"))
-            first = one.join(two, "posting").where(F.col("cx") < F.col("cy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return roots
-
-
-def led(lists: DataFrame, step: int) -> DataFrame:
-    """Pairs of each member with the leader of its list, where both are still apart."""
-    leader = lists.groupBy("posting").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "posting", F.lit(step))).alias("l"))
-    met = lists.join(leader, "posting").where(F.col("component") != F.col("l.component"))
-    return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+    pairs = left.join(right, "posting").where(F.col("a") < F.col("b")).select("a", "b").unionByName(led(long)).distinct()
+    counted = stored(enough_collisions(pairs, ids, settings), "pairs")
+    links = bridges.unionByName(stored(confirm(counted, sets, settings), "links"))
+    roots = connected_components(links)
+    placed = long.join(roots, F.col("id") == F.col("node"), "left").select("posting", "id", F.coalesce("root", "id").alias("component"))
+    mixed = placed.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high"))
+    apart = stored(placed.join(mixed.select("posting"), "posting", "left_semi"), "apart")
+    if apart.isEmpty():
+        return roots
+    more = stored(link_rest(apart, sets, settings), "links")
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return connected_components(stars.unionByName(more))
+
+
+def led(lists: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of each member with the leader of its list."""
+    leader = lists.groupBy("posting").agg(F.min_by("id", F.xxhash64("id", "posting")).alias("leader"))
+    met = lists.join(leader, "posting").where(F.col("id") != F.col("leader"))
+    return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
 def enough_collisions(pairs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
