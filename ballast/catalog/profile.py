@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ballast.catalog.bindings import (
+    LENDING,
     SQL_CORPORATE,
     SQL_EVENTS,
     SQL_LENDING,
@@ -57,8 +58,6 @@ def _(spark, sf_dir):
     return rounded(O.default_rate(corporate_raw(spark, sf_dir), F.col("Rating").isin(DEFAULT_RATINGS)))
 
 
-NULLABLE = ["annual_inc", "percent_bc_gt_75", "loan_amnt"]
-
 
 @query(
     "null_profile",
@@ -66,15 +65,15 @@ NULLABLE = ["annual_inc", "percent_bc_gt_75", "loan_amnt"]
         SQL_LENDING,
         " union all ".join(
             f"select '{c}' as column_name, count(*) - count({c}) as missing, round((count(*) - count({c})) * 100 / count(*), 6) as missing_pct from raw"
-            for c in NULLABLE
+            for c in LENDING
         ),
     ),
 )
 def _(spark, sf_dir):
-    return rounded(O.null_profile(lending_raw(spark, sf_dir).select(*NULLABLE)))
+    return rounded(O.null_profile(lending_raw(spark, sf_dir)))
 
 
-DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount"]
+DESCRIBED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def nearest_sql(q: float) -> str:
@@ -83,14 +82,14 @@ def nearest_sql(q: float) -> str:
 
 @query(
     "describe",
-    "with long as (unpivot (select l_quantity, l_extendedprice, l_discount from lineitem) on l_quantity, l_extendedprice, l_discount"
+    f"with long as (unpivot (select {', '.join(f'cast({c} as double) as {c}' for c in DESCRIBED)} from lineitem) on {', '.join(DESCRIBED)}"
     " into name column_name value v), ranked as (select *, row_number() over (partition by column_name order by v) as rn,"
     " count(*) over (partition by column_name) as n from long) select column_name, count(v) as n, 0 as missing,"
-    f" {r6('avg(v)', 'mean')}, {r6('stddev_samp(v)', 'std')}, {r6('min(v)', '\"min\"')}, {r6('max(v)', '\"max\"')},"
-    f" {r6(nearest_sql(0.25), 'q25')}, {r6(nearest_sql(0.5), 'q50')}, {r6(nearest_sql(0.75), 'q75')} from ranked group by column_name",
+    ' avg(v) as mean, stddev_samp(v) as std, min(v) as "min", max(v) as "max",'
+    f" {nearest_sql(0.25)} as q25, {nearest_sql(0.5)} as q50, {nearest_sql(0.75)} as q75 from ranked group by column_name",
 )
 def _(spark, sf_dir):
-    return rounded(O.describe(table(spark, sf_dir, "lineitem").select(*DESCRIBED)))
+    return O.describe(table(spark, sf_dir, "lineitem"))
 
 
 @query(

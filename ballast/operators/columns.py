@@ -61,18 +61,18 @@ def cast_by_class(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*out)
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:
+def category_levels(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, list[str]]:
     """Sorted distinct values of each column, found in one pass.
 
-    Each level becomes a column of the result, so the number of levels is bounded
-    by what a table can hold; beyond ``limit`` this raises.
+    Each level becomes a column of the result, so the levels are as many as a table
+    can have columns. With ``limit`` a column that has more levels raises.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), quoted(c).cast("string").alias("v")) for c in columns]))
-    found = df.select(pairs.alias("p")).select("p.*").where("v is not null").distinct()
-    rows = found.limit(limit * len(columns) + 1).collect()
-    if len(rows) > limit * len(columns):
-        raise ValueError(f"more than {limit} levels per category column in {list(columns)}")
-    return {c: sorted(r.v for r in rows if r.c == c) for c in columns}
+    found = df.agg(*[F.collect_set(quoted(c).cast("string")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    levels = {c: sorted(found[i]) for i, c in enumerate(columns)}
+    large = [c for c, values in levels.items() if limit is not None and len(values) > limit]
+    if large:
+        raise ValueError(f"more than {limit} levels in {large}")
+    return levels
 
 
 def one_hot_drop_first(

@@ -21,7 +21,7 @@ from ballast.operators.columns import quoted
 PREFIX = 3  # hex digits per round of the hash search: 4096 buckets
 FETCH = 4096  # a bucket this small is read out instead of split further
 BUCKETS = 1024  # buckets per round of the value search
-SMALL = 2_000_000  # values up to which the built-in percentile may hold them all
+DIGEST = 32  # hex digits of a digest
 
 
 def hash_thresholds(
@@ -31,7 +31,8 @@ def hash_thresholds(
 
     ``digest`` is a hex text, distinct per row. A row belongs to the first ``r`` of
     its group exactly if its digest is not above the threshold of ``r``, so callers
-    select with a filter and need no shuffle.
+    select with a filter and need no shuffle. Raises if rows share the digest at a
+    threshold, because no threshold could then select exactly ``r`` of them.
     """
     hashed = df.select(quoted(group).alias("g"), digest.alias("h"))
     found: dict[object, dict[int, str]] = {g: {} for g in ranks}
@@ -59,6 +60,8 @@ def hash_thresholds(
             left = within
             for p, n in table.get((g, prefix), []):
                 if left <= n:
+                    if n > FETCH and len(p) >= DIGEST:
+                        raise ValueError(f"{n} rows of group {g!r} share one id: ids must be unique")
                     (small if n <= FETCH else split).append((g, rank, p, left))
                     break
                 left -= n
@@ -72,7 +75,10 @@ def hash_thresholds(
             for digests in members.values():
                 digests.sort()
             for g, rank, p, left in small:
-                found[g][rank] = members[(g, p)][left - 1]
+                digests = members[(g, p)]
+                if left < len(digests) and digests[left] == digests[left - 1]:
+                    raise ValueError(f"rows of group {g!r} share an id at rank {rank}: ids must be unique")
+                found[g][rank] = digests[left - 1]
         open_searches = split
     return found
 
@@ -105,34 +111,45 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def order_statistics(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    interpolation: str = "linear",
-    small: int = SMALL,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], interpolation: str = "linear"
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of numeric columns, missing values (NULL and NaN) ignored.
 
-    Up to ``small`` values the built-in exact percentile does it in one pass; above
-    that its buffer of distinct values would grow with the table, so the search over
-    bucket counts takes over, with all columns in the same round.
+    The search over bucket counts serves all columns in the same round and holds no
+    values, whatever the size of the table. Infinities are counted beforehand and
+    stay out of the search, because no bucket width reaches them.
     """
     values = long_values(df, columns)
-    if interpolation == "linear" and df.count() * len(columns) <= small:
-        wanted = F.array(*map(F.lit, probabilities))
-        rows = {r.c: r.q for r in values.groupBy("c").agg(F.percentile("v", wanted).alias("q")).collect()}
-        return {c: list(rows.get(i) or [None] * len(probabilities)) for i, c in enumerate(columns)}
+    v = F.col("v")
+    finite = F.abs(v) < float("inf")
     ends = {
-        r.c: (r.n, r.low, r.high)
-        for r in values.groupBy("c").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
-    }
-    wanted = {
-        i: {rank for p in probabilities for rank in _ranks(p, n, interpolation)} for i, (n, _, _) in ends.items() if n
+        r.c: r
+        for r in values.groupBy("c")
+        .agg(
+            F.count("v").alias("n"),
+            F.count_if(v == float("-inf")).alias("below"),
+            F.count_if(v == float("inf")).alias("above"),
+            F.min(F.when(finite, v)).alias("low"),
+            F.max(F.when(finite, v)).alias("high"),
+        )
+        .collect()
     }
-    found = _values_at(values, wanted, {i: ends[i][1:] for i in wanted})
+    wanted: dict[int, set[int]] = {}
+    found: dict[int, dict[int, float]] = {i: {} for i in ends}
+    for i, e in ends.items():
+        for rank in {rank for p in probabilities for rank in _ranks(p, e.n, interpolation)} if e.n else ():
+            if rank <= e.below:
+                found[i][rank] = float("-inf")
+            elif rank > e.n - e.above:
+                found[i][rank] = float("inf")
+            else:
+                wanted.setdefault(i, set()).add(rank - e.below)
+    searched = _values_at(values.where(finite), wanted, {i: (ends[i].low, ends[i].high) for i in wanted})
+    for i, by_rank in searched.items():
+        found[i].update((rank + ends[i].below, value) for rank, value in by_rank.items())
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
-        n = ends[i][0] if i in ends else 0
+        n = ends[i].n if i in ends else 0
         out[c] = [_blend(found[i], p, n, interpolation) if n else None for p in probabilities]
     return out
 
@@ -146,7 +163,7 @@ def _ranks(p: float, n: int, interpolation: str) -> list[int]:
 
 def _blend(found: dict[int, float], p: float, n: int, interpolation: str) -> float:
     ranks = _ranks(p, n, interpolation)
-    if len(ranks) == 1 or ranks[0] == ranks[1]:
+    if len(ranks) == 1 or found[ranks[0]] == found[ranks[1]]:
         return found[ranks[0]]
     share = p * (n - 1) - math.floor(p * (n - 1))
     return found[ranks[0]] * (1 - share) + found[ranks[1]] * share

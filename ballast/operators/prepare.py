@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.numeric import missing_to_null
 from ballast.operators.columns import quoted
-from ballast.operators.order_stats import SMALL, long_values, order_statistics
+from ballast.operators.order_stats import long_values, order_statistics
 
 
 @dataclass(frozen=True)
@@ -62,10 +62,8 @@ def fit_preparation(train: DataFrame, columns: Sequence[str]) -> Preparation:
     """Medians, then mean and deviation of the filled columns; a column without values fills with 0.
 
     The moments of a filled column follow from those of its observed values, so one
-    pass over the values gives them all.
+    pass over the values gives them; the medians are searched for by counting.
     """
-    small = train.count() * len(columns) <= SMALL
-    median = F.percentile("v", 0.5) if small else F.lit(None).cast("double")
     rows = {
         r.c: r
         for r in long_values(train, columns)
@@ -75,18 +73,17 @@ def fit_preparation(train: DataFrame, columns: Sequence[str]) -> Preparation:
             F.count("*").alias("total"),
             F.avg("v").alias("mean"),
             F.var_pop("v").alias("variance"),
-            median.alias("median"),
         )
         .collect()
     }
-    searched = {} if small else order_statistics(train, columns, [0.5])
+    searched = order_statistics(train, columns, [0.5])
     medians, means, deviations = [], [], []
     for i, c in enumerate(columns):
         row = rows.get(i)
         if row is None or not row.n:
             fill, mean, variance = 0.0, 0.0, 0.0
         else:
-            fill = row.median if small else searched[c][0]
+            fill = searched[c][0]
             filled = (row.total - row.n) / row.total
             mean = row.mean + filled * (fill - row.mean)
             variance = (1 - filled) * (row.variance + (row.mean - mean) ** 2) + filled * (fill - mean) ** 2

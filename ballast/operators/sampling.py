@@ -15,7 +15,7 @@ from ballast.operators.splitting import count_classes, first_ranks
 from ballast.session import materialize
 
 NEIGHBORS = 3
-CHUNK = 10_000  # synthetic rows made from one base row by one task at a time
+CHUNK = 1_000  # synthetic rows made from one base row by one task at a time
 # The weight rules a cost-sensitive model is tuned over.
 COST_GRID = [None, "balanced", {0: 1, 1: 5}, {0: 1, 1: 10}]
 
@@ -30,6 +30,9 @@ def weight_expression(
         total = sum(counts.values())
         weights = {g: total / (len(counts) * n) for g, n in counts.items()}
     else:
+        unknown = [g for g in rule if g not in counts]
+        if unknown and not any(g in counts for g in rule):
+            raise ValueError(f"the weights name {unknown}, but the classes are {sorted(counts, key=str)}")
         weights = {g: float(rule.get(g, 1.0)) for g in counts}
     weight = F.lit(1.0)
     for g, w in weights.items():
@@ -91,9 +94,8 @@ def smote_samples(
     bases = points.withColumn("_one", F.lit(1)).withColumn("copies", F.lit(each) + extra).where("copies > 0")
     bases = bases.drop("_one").join(lists, "row_id")
     start = F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(CHUNK))).alias("start")
-    chunks = bases.select("row_id", "x", "near", "copies", start)
-    if each >= CHUNK:  # few bases make many points: spread the chunks over tasks
-        chunks = chunks.repartition("row_id", "start")
+    # Few bases may make many points: the chunks are spread, not the bases.
+    chunks = bases.select("row_id", "x", "near", "copies", start).repartition("row_id", "start")
     stop = F.least(F.col("start") + CHUNK, F.col("copies")) - 1
     copies = chunks.select("row_id", "x", "near", F.explode(F.sequence("start", stop)).alias("copy"))
     digest = hash_order(seed, F.col("row_id"), F.col("copy"))

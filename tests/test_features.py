@@ -140,3 +140,11 @@ def test_profile(spark):
     assert [tuple(r) for r in O.null_profile(df).collect()] == [("v", 1, 25.0), ("k", 0, 0.0)]
     row = O.describe(df).first()
     assert (row.n, row.missing, row.mean, row.q25, row.q75) == (2, 2, 2.5, 1.0, 4.0)
+
+
+def test_five_thousand_levels(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("one"))
+    levels = C.category_levels(df, ["k", "one"])
+    assert len(levels["k"]) == 5000 and levels["one"] == ["x"]
+    with pytest.raises(ValueError, match="levels"):
+        C.category_levels(df, ["k", "one"], 4999)

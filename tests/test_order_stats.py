@@ -28,10 +28,9 @@ def numbers(spark):
     return df.persist(), rows
 
 
-@pytest.mark.parametrize("small", [10**9, 0])
-def test_quantiles_match_numpy(numbers, small):
+def test_quantiles_match_numpy(numbers):
     df, rows = numbers
-    got = O.order_statistics(df, ["hot", "wide", "gap", "empty"], [0.1, 0.5, 0.77], small=small)
+    got = O.order_statistics(df, ["hot", "wide", "gap", "empty"], [0.1, 0.5, 0.77])
     for j, c in enumerate(["hot", "wide", "gap"], start=1):
         values = np.array([r[j] for r in rows if r[j] is not None and not math.isnan(r[j])])
         assert got[c] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.77])), rel=1e-12), c
@@ -47,10 +46,32 @@ def test_nearest_rank(numbers):
 
 def test_extreme_ends(spark):
     df = spark.createDataFrame([(-1.7e308,), (1.7e308,), (0.0,), (5e-324,)], "v double")
-    assert O.order_statistics(df, ["v"], [0.0, 1.0], small=0)["v"] == [-1.7e308, 1.7e308]
+    assert O.order_statistics(df, ["v"], [0.0, 1.0])["v"] == [-1.7e308, 1.7e308]
     assert O.order_statistics(df, ["v"], [1 / 3], interpolation="nearest")["v"] == [0.0]
 
 
+def test_infinities_stay_out_of_the_search(spark):
+    inf = float("inf")
+    rows = [(float(i),) for i in range(200)] + [(-inf,)] * 3 + [(inf,)] * 2 + [(float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "v double")
+    got = O.order_statistics(df, ["v"], [0.0, 0.01, 0.5, 1.0], interpolation="nearest")["v"]
+    assert got == [-inf, -inf, 99.0, inf]
+    assert O.order_statistics(df.where("v = double('inf')"), ["v"], [0.5])["v"] == [inf]
+
+
+@pytest.mark.parametrize("copies", [20_000, 700])
+def test_repeated_ids_raise(spark, copies):
+    df = spark.range(2 * copies).select((F.col("id") % 2).alias("row_id"), F.lit(1).alias("g"))
+    digest = F.md5(F.concat(F.lit("9:"), F.col("row_id").cast("string")))
+    with pytest.raises(ValueError, match="unique"):
+        O.hash_thresholds(df, "g", digest, {1: [copies // 2]})
+
+
+def test_many_classes_are_split(spark):
+    df = spark.range(150 * 10).select(F.col("id").alias("row_id"), (F.col("id") % 150).alias("target"))
+    assert stratified_split(df, 3).where("split = 'test'").count() == 150 * 3
+
+
 @pytest.mark.parametrize("fetch", [4096, 1])
 def test_hash_thresholds(spark, monkeypatch, fetch):
     monkeypatch.setattr(O, "FETCH", fetch)
@@ -106,11 +127,7 @@ def test_kfold_is_even_and_disjoint(spark):
     assert stratified_kfold(labelled(spark, 3, 40), 2).agg(F.max("fold")).first()[0] == 2
 
 
-@pytest.mark.parametrize("small", [10**9, 0])
-def test_preparation(spark, numbers, monkeypatch, small):
-    import ballast.operators.prepare as prepare
-
-    monkeypatch.setattr(prepare, "SMALL", small)
+def test_preparation(numbers):
     df, rows = numbers
     got = fit_preparation(df, ["hot", "gap", "empty"])
     gap = np.array([np.nan if r[3] is None else r[3] for r in rows])

@@ -102,3 +102,19 @@ def test_latest_is_by_creation(spark, tmp_path):
     assert latest_model(df).first().id == "a"
     with pytest.raises(ModelNotFound):
         ModelStore(spark, str(tmp_path)).latest("test")
+
+
+def test_parameters_keep_the_types_of_their_keys():
+    from ballast.sources.models import read_params, write_params
+
+    params = {"weight": {0: 1, 1: 5}, "depths": [1, None, {"a": {2: 3}}], "name": "svm"}
+    assert read_params(write_params(params)) == params
+
+
+def test_weights_of_unknown_classes_raise(spark):
+    import pytest
+
+    from ballast.operators.sampling import weight_expression
+
+    with pytest.raises(ValueError, match="classes"):
+        weight_expression({0: 10, 1: 2}, {"0": 1, "1": 5})
