@@ -26,6 +26,7 @@ TOKEN = r"(?:(?<![A-Za-z0-9+/_=-])|\G)[A-Za-z0-9+/_=-]{20,}+"
 WORD = r"[A-Za-z0-9_]{6,}+"
 CODES = 128
 SYMBOLS = 68  # letters, digits and + / _ . = -
+BACKOFF = 5.0  # weight of single characters against pairs, in observations
 
 
 @dataclass(frozen=True)
@@ -81,13 +82,20 @@ def train_markov(documents: DataFrame, text: str = "text", key: str = "doc_id",
         .collect()
     )
     tables = [[0.0] * (CODES * CODES) for _ in range(2)]
-    totals = [[0.0] * CODES for _ in range(2)]
+    before = [[0.0] * CODES for _ in range(2)]
+    after = [[0.0] * CODES for _ in range(2)]
     for row in counts:
+        first, second = divmod(row["pair"], CODES)
         tables[row["random"]][row["pair"]] += row["count"]
-        totals[row["random"]][row["pair"] // CODES] += row["count"]
+        before[row["random"]][first] += row["count"]
+        after[row["random"]][second] += row["count"]
+    sums = [sum(a) for a in after]
 
     def log_likelihood(kind: int, pair: int) -> float:
-        return math.log((tables[kind][pair] + 0.5) / (totals[kind][pair // CODES] + 0.5 * SYMBOLS))
+        first, second = divmod(pair, CODES)
+        # What rarely or never follows a character backs off to how frequent it is at all.
+        alone = (after[kind][second] + 0.5) / (sums[kind] + 0.5 * SYMBOLS)
+        return math.log((tables[kind][pair] + BACKOFF * alone) / (before[kind][first] + BACKOFF))
 
     return MarkovModel(tuple(log_likelihood(1, p) - log_likelihood(0, p) for p in range(CODES * CODES)))
 
