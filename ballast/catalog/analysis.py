@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ballast.catalog.bindings import SQL_PREDICTIONS, predictions
+from ballast.catalog.bindings import SQL_OVERLAPPING, SQL_PREDICTIONS, overlapping_predictions, predictions
 from ballast.catalog.registry import query, r6, rounded
 from ballast.operators import metrics as M
 from ballast.plans import analysis as A
@@ -43,6 +43,15 @@ MEANS = ", ".join(f'avg("{m}") as {m}_mean, stddev_samp("{m}") as {m}_std' for m
 MEAN = ("metrics", f"select dataset, model_type, technique, {MEANS} from per_seed group by dataset, model_type, technique")
 PER_SEED = cte(P, CONFUSION, BASE, SEED)
 METRICS_SQL = cte(P, CONFUSION, BASE, SEED, MEAN)
+# Seeds occur in several executions; the newest of each dataset counts.
+NEWEST_METRICS_SQL = cte(
+    ("every", SQL_OVERLAPPING),
+    ("predictions", "select * from every where (dataset, execution_id) in (select (dataset, max(execution_id)) from every group by dataset)"),
+    CONFUSION,
+    BASE,
+    SEED,
+    MEAN,
+)
 ROUND_METRICS = ", ".join(r6(f'"{m}"', f'"{m}"') for m in METRICS)
 ROUND_MEANS = ", ".join(f"{r6(f'{m}_mean', f'{m}_mean')}, {r6(f'{m}_std', f'{m}_std')}" for m in METRICS)
 
@@ -385,7 +394,7 @@ def _(spark, sf_dir):
 
 @query(
     "run_all",
-    METRICS_SQL.rstrip()
+    NEWEST_METRICS_SQL.rstrip()
     + RATIO
     + """ select 'summary_table' as analysis, count(*) as row_count from metrics
     union all select 'tradeoff_points', count(*) from metrics
@@ -399,7 +408,7 @@ def _(spark, sf_dir):
     union all select 'cross_dataset', count(distinct (technique, model_type)) from metrics""",
 )
 def _(spark, sf_dir):
-    tables = A.run_all(predictions(spark, sf_dir))
+    tables = A.run_all(overlapping_predictions(spark, sf_dir))
     out = None
     for name, table in tables.items():
         counted = table.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("analysis"), "row_count")
@@ -407,6 +416,12 @@ def _(spark, sf_dir):
     return out
 
 
+@query("newest_metrics", NEWEST_METRICS_SQL + f"select dataset, model_type, technique, {ROUND_MEANS} from metrics")
+def _(spark, sf_dir):
+    newest = A.of_execution(overlapping_predictions(spark, sf_dir))
+    return rounded(M.metrics_mean_std(M.metrics_per_seed(newest)))
+
+
 @query("filter_eq", cte(P) + "select dataset, model_type, seed, target, prediction from predictions where technique = 'baseline'")
 def _(spark, sf_dir):
     stored = predictions(spark, sf_dir).where(F.col("technique") == "baseline")

@@ -30,6 +30,11 @@ PREDICTIONS = {
     "prediction": "case when l_discount > 0.05 then 1 else 0 end",
 }
 
+# The same runs, but with every seed in several executions.
+OVERLAPPING = PREDICTIONS | {
+    "execution_id": "concat('0190', cast(1995 + cast(l_quantity as int) % 3 as string), '-0000-7000-8000-000000000000')"
+}
+
 ORDERS_CUSTOMER = "orders join customer on o_custkey = c_custkey"
 # Incomes, instalments and balances include zeros, negatives and NULL so that every
 # kind of ratio occurs: finite, infinite, 0/0 and missing.
@@ -143,6 +148,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(table(spark, sf_dir, "lineitem"), PREDICTIONS)
 
 
+def overlapping_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored predictions of three executions that share their seeds."""
+    return _view(table(spark, sf_dir, "lineitem"), OVERLAPPING)
+
+
 def orders_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -178,6 +188,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_PREDICTIONS = select_sql(PREDICTIONS, "lineitem")
+SQL_OVERLAPPING = select_sql(OVERLAPPING, "lineitem")
 SQL_LENDING = select_sql(LENDING, ORDERS_CUSTOMER)
 SQL_TAIWAN = select_sql(TAIWAN, ORDERS_CUSTOMER)
 SQL_CORPORATE = select_sql(CORPORATE, LINEITEM_PART)

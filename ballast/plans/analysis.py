@@ -250,12 +250,26 @@ def imbalance_ratios(per_seed: DataFrame) -> DataFrame:
     return classes.select("dataset", (larger / F.when(smaller > 0, smaller).otherwise(larger)).alias("imbalance_ratio"))
 
 
-def run_all(predictions: DataFrame) -> dict[str, DataFrame]:
-    """Every analysis over one shared metrics table.
+def of_execution(predictions: DataFrame, execution_id: str | None = None) -> DataFrame:
+    """Predictions of one execution; without an id, of the newest execution of each dataset.
 
-    The predictions are scanned once; what is stored has a row per training run.
+    Seeds repeat between executions, so metrics of several must not be pooled.
     """
-    per_seed = materialize(metrics_per_seed(predictions))
+    if execution_id is not None:
+        return predictions.where(F.col("execution_id") == execution_id)
+    newest = predictions.groupBy("dataset").agg(F.max("execution_id").alias("execution_id"))
+    return predictions.join(newest, ["dataset", "execution_id"], "left_semi")
+
+
+def run_all(predictions: DataFrame, dataset: str | None = None, execution_id: str | None = None) -> dict[str, DataFrame]:
+    """Every analysis of one execution over one shared metrics table.
+
+    Of all datasets or one; of the named execution, else of the newest of each dataset.
+    What is stored has a row per training run.
+    """
+    if dataset is not None:
+        predictions = predictions.where(F.col("dataset") == dataset)
+    per_seed = materialize(metrics_per_seed(of_execution(predictions, execution_id)))
     metrics = metrics_mean_std(per_seed)
     return {
         "summary_table": summary_table(metrics),

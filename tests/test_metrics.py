@@ -116,3 +116,15 @@ def test_summary_filter_and_position(spark):
     metrics = M.metrics_mean_std(M.metrics_per_seed(runs(spark, rows)))
     got = A.summary_table(metrics, "smote").orderBy("position").collect()
     assert [(r.position, r.model_type) for r in got] == [(1, "svm"), (2, "mlp")]
+
+
+def test_executions_are_not_pooled(spark):
+    from ballast.plans.analysis import of_execution, run_all
+
+    keys = ("lending_club", "svm", "baseline", 1)
+    rows = [("a", *keys, t, t) for t in (0, 1)] * 2 + [("b", *keys, t, 1 - t) for t in (0, 1)] * 2
+    schema = "execution_id string, dataset string, model_type string, technique string, seed int, target int, prediction int"
+    stored = spark.createDataFrame(rows, schema)
+    assert of_execution(stored).select("execution_id").distinct().collect() == [("b",)]
+    assert run_all(stored, execution_id="a")["tradeoff_points"].first()["precision_mean"] == 1.0
+    assert run_all(stored, "lending_club")["tradeoff_points"].first()["precision_mean"] == 0.0
