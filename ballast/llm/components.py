@@ -1,11 +1,11 @@
-"""Connected components of a link table by alternating stars, with lineage cut by checkpoints."""
+"""Connected components of a link table by alternating stars, each round written to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.session import materialize
+from ballast.llm.columns import stored
 
 MAX_ROUNDS = 60
 
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     number of rounds grows with the logarithm of the longest chain. NULL ends and loops are ignored.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = materialize(edges.distinct())
+    edges = stored(edges.distinct(), "stars")
     before = digest(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = large.where(F.col("u") != F.col("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.where(F.col("u") != F.col("v")).distinct())
+        edges = stored(small.where(F.col("u") != F.col("v")).distinct(), "stars")
         now = digest(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.columns import hash_fraction
+from ballast.llm.columns import hash_fraction, stored
 from ballast.llm.components import connected_components
-from ballast.llm.minhash import stored
 
 TABLES, RADIUS = 4, 1
 FIT_ROWS = 20_000

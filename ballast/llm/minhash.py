@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballast.llm.columns import stored
 from ballast.llm.components import connected_components
-from ballast.session import scratch_path
 
 COORDINATES = 64
 MISS = 1e-6  # accepted chance that a pair at the threshold falls short of the match threshold
@@ -232,13 +232,6 @@ def link_rest(apart: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return work.groupBy("group").applyInArrow(measure, f"a {kind}, b {kind}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage in columnar form."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def near_duplicates(documents: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_shingles, component_id, kept)``, one row per input row.
 
