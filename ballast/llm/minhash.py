@@ -209,7 +209,7 @@ def link_rest(apart: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     """
     blocks = apart.groupBy("posting").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id", "posting"), "blocks").cast("int")
-    dealt = apart.join(blocks, "posting").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = by_posting(apart, blocks).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = stored(dealt.select("id", "component", "i", F.xxhash64("posting", F.least("i", "j"), F.greatest("i", "j")).alias("cell")), "cells")
     groups = max(1, cells.count() // CELLS_ROWS)
     work = cells.join(sets, "id").withColumn("group", F.pmod("cell", F.lit(groups)))
@@ -294,7 +294,7 @@ def link_lists(lists: DataFrame, sets: DataFrame, classes: DataFrame, bridges: D
     roots = connected_components(links)
     placed = long.join(roots, F.col("id") == F.col("node"), "left").select("posting", "id", F.coalesce("root", "id").alias("component"))
     mixed = placed.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high"))
-    apart = stored(placed.join(mixed.select("posting"), "posting", "left_semi"), "apart")
+    apart = stored(by_posting(placed, mixed.select("posting"), "left_semi"), "apart")
     if apart.isEmpty():
         return roots
     more = stored(link_rest(apart, sets, settings), "links")
@@ -302,10 +302,20 @@ def link_lists(lists: DataFrame, sets: DataFrame, classes: DataFrame, bridges: D
     return connected_components(stars.unionByName(more))
 
 
+def by_posting(members: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """Join members to one row per list.
+
+    ``lists`` was grouped by posting. The hash beside the key makes both sides exchange anew, so
+    that adaptive execution can split a list that holds many members.
+    """
+    spread = F.xxhash64("posting").alias("spread")
+    return members.select("*", spread).join(lists.select("*", spread), ["spread", "posting"], how).drop("spread")
+
+
 def led(lists: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of each member with the leader of its list."""
     leader = lists.groupBy("posting").agg(F.min_by("id", F.xxhash64("id", "posting")).alias("leader"))
-    met = lists.join(leader, "posting").where(F.col("id") != F.col("leader"))
+    met = by_posting(lists, leader).where(F.col("id") != F.col("leader"))
     return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
