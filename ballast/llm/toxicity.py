@@ -25,13 +25,14 @@ TABLE = bytes(
 )
 PREFIXES = (4, 5, 6)  # characters
 MIN_TEXTS = 3  # a feature in fewer training texts is not used
+NEVER = -30.0  # bias of a model that finds nothing: a sentence scores 1e-13, a million of them 1e-7
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Feature weights and the bias of the sentence model."""
+    """Feature weights and the bias of the sentence model; without any it calls nothing toxic."""
 
-    bias: float = -3.0
+    bias: float = NEVER
     weights: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: bytes) -> float:
@@ -54,11 +55,12 @@ def train_noisy_or(texts: list[str | None], labels: list[int], epochs: int = 120
 
     An L1 penalty (``sparsity``, per document) keeps chance words out. Features at zero after the
     first third of the epochs are given up, and with them the words they leave without weight.
+    Without both classes there is nothing to tell apart: the model then scores every text near 0,
+    however many sentences it has.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1.0)
-        return ToxicityModel(bias=math.log(share / (1 - share)))
+        return ToxicityModel()
     vocabulary: dict[bytes, int] = {}
     words: list[int] = []
     sizes: list[int] = []
@@ -134,7 +136,8 @@ def train_toxicity(
 
     Rows whose CRC-32 fold is ``held_out_fold`` are never used. The rows are chosen by a hash of
     their key; the training runs in one task, whose memory these two bounds limit, and its
-    weights, fewer than the distinct words of the sample, come back to the driver.
+    weights, fewer than the distinct words of the sample, come back to the driver. If the usable
+    labels are of one class, or there are none, the model scores every document near 0.
     """
     known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).dropna()
     if held_out_fold is not None:
@@ -166,7 +169,7 @@ def train_toxicity(
 
     fitted = sample.coalesce(1).mapInArrow(fit, "feature string, weight double").collect()
     weights = {r["feature"]: r["weight"] for r in fitted}
-    return ToxicityModel(weights.pop("", -3.0), weights)
+    return ToxicityModel(weights.pop("", NEVER), weights)
 
 
 class WordWeights(dict):

@@ -16,7 +16,7 @@ from ballast.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below one half."""
+    """Documents with a toxicity score below one half; all of them if the usable labels lack a class."""
     model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = fresh(docs, "score")
     return toxicity.score_documents(docs, model).where(F.col(f"`{score}`") < 0.5).select(*quoted(docs))

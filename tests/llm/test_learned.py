@@ -2,7 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from ballast.llm import language, toxicity
+from ballast.llm.columns import bucket_of
 
 NASTY = ["grumpf", "blarg", "zonkish"]
 CLEAN = ["river", "stone", "walks", "green", "house", "under", "bright", "seven", "paper", "cloud"]
@@ -42,6 +47,24 @@ def test_toxicity_odd_inputs(spark):
     assert toxicity.train_noisy_or(["x"], [1]).weights == {}
 
 
+@pytest.mark.parametrize("case", ["empty", "others", "held out", "clean", "toxic"])
+def test_toxicity_without_both_classes_keeps_all_documents(spark, tmp_path, case):
+    docs = spark.createDataFrame([(i, "a clean sentence. " * n) for i, n in enumerate((1, 15, 140, 5000) * 30)] + [(900, None)], "doc_id bigint, text string")
+    keys = docs.select("doc_id").where("doc_id < 100")
+    held_out = bucket_of(F.col("doc_id"), 5) == 0
+    labels = {
+        "empty": keys.limit(0).withColumn("toxic", F.lit(0)),
+        "others": keys.select(F.col("doc_id") + 5000, (F.col("doc_id") % 2).cast("int")),
+        "held out": keys.where(held_out).select("doc_id", (F.col("doc_id") % 2).cast("int")),
+        "clean": keys.withColumn("toxic", F.lit(0)),
+        "toxic": keys.withColumn("toxic", F.lit(1)),
+    }[case]
+    labels.toDF("doc_id", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    scored = toxicity.score_documents(docs, toxicity.train_toxicity(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    assert scored.agg(F.max("score")).first()[0] < 1e-6
+
+
 LANGUAGES = {
     "aa": "kalu mira tonda pelu sarima velo kanti".split(),
     "bb": "schrunk fleg wotter brandt khulm stropf zwerg".split(),
