@@ -2,12 +2,16 @@
 
 For each language a raw-content dictionary is cut from a bounded sample of its texts. A text is
 normalised (lower case, no digits or ASCII punctuation) and compressed in blocks under every
-dictionary; the language with the fewest bytes in total wins. Where the margin to the second is
-narrow the decision is marked as rejected.
+dictionary. Dictionaries differ in size, and a larger one helps any text more by chance, so two
+languages are compared at the size of the smaller one: a language leads by the bytes that it saves
+over its strongest rival, rivals cut to its own size. The largest lead wins; with equal sizes this is
+the language with the fewest bytes in total. Where the lead is narrow the decision is marked as
+rejected.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import unicodedata
 from dataclasses import dataclass
@@ -23,13 +27,15 @@ from ballast.llm.columns import append_columns, fresh
 UNDETERMINED = "und"
 BLOCK = 4096  # bytes; short enough for the dictionary to matter in every block
 LEVEL = 6
+FILL = 64  # bytes; shorter dictionaries are repeated up to it, as zstandard does not index the last 8
+CUTS = 512  # compressors with a cut dictionary held by a task
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha() and chr(b) not in " ")
 SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Raw-content dictionaries of equal size, by language in sorted order."""
+    """Raw-content dictionaries, each of its own size, by language in sorted order."""
 
     dictionaries: tuple[tuple[str, bytes], ...]
 
@@ -57,7 +63,8 @@ def train_dictionaries(
 
     Texts are drawn by a hash of their content, so copies of a text count once. From each drawn
     text comes one piece of ``piece_chars`` characters; these bounds make the dictionary a
-    classifier fitted on a bounded sample. All dictionaries are cut to the size of the smallest.
+    classifier fitted on a bounded sample. Each dictionary keeps its own size up to
+    ``dictionary_bytes``; only a language without any normalised byte is not learned.
     """
     labelled = documents.where(F.col(f"`{language}`").isNotNull() & (F.length(text) > 0)).select(
         F.col(f"`{language}`").cast("string").alias("language"), F.xxhash64(text).alias("h"), F.col(f"`{text}`").alias("text")
@@ -75,23 +82,24 @@ def train_dictionaries(
     for row in sorted(rows, key=lambda r: r["h"]):
         content[row["language"]].append(normalised(row["piece"]))
     joined = {name: b" ".join(pieces)[:dictionary_bytes] for name, pieces in content.items()}
-    joined = {name: data for name, data in joined.items() if len(data) >= 8}
-    size = min((len(data) for data in joined.values()), default=0)
-    return LanguageModel(tuple((name, joined[name][:size]) for name in sorted(joined)))
+    return LanguageModel(tuple((name, joined[name]) for name in sorted(joined) if joined[name].strip()))
+
+
+def compressor(data: bytes) -> zstandard.ZstdCompressor:
+    filled = data if len(data) >= FILL else (data + b" ") * -(-FILL // (len(data) + 1))
+    dictionary = zstandard.ZstdCompressionDict(filled, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Compressors:
-    """One compressor per language, built once per task."""
+    """One compressor per language, built once per task, and those of cut dictionaries as they are needed."""
 
     def __init__(self, model: LanguageModel):
         self.names = [name for name, _ in model.dictionaries]
-        self.parts = []
-        for _, data in model.dictionaries:
-            dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(level=LEVEL)
-            self.parts.append(
-                zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
-            )
+        self.lengths = [len(data) for _, data in model.dictionaries]
+        self.parts = [compressor(data) for _, data in model.dictionaries]
+        self.cut = functools.lru_cache(CUTS)(lambda i, size: compressor(model.dictionaries[i][1][:size]))
 
     def judge(self, text: str | None, narrow: float) -> tuple[str, float, bool]:
         """Language, score and whether the decision is rejected for its narrow margin."""
@@ -100,12 +108,27 @@ class Compressors:
             return UNDETERMINED, 0.0, True
         blocks = [plain[i : i + BLOCK] for i in range(0, len(plain), BLOCK)]
         sizes = [sum(len(part.compress(block)) for block in blocks) for part in self.parts]
-        best = min(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
+
+        def rival(i: int, size: int) -> int:
+            """Bytes under dictionary ``i``, cut to at most ``size``."""
+            return sizes[i] if self.lengths[i] <= size else sum(len(self.cut(i, size).compress(block)) for block in blocks)
+
+        best, lead = order[0], -math.inf
+        for i in order:
+            least = math.inf
+            for j in order:  # the strongest rivals first, so that most candidates fall at once
+                if j != i:
+                    least = min(least, rival(j, self.lengths[i]))
+                    if least - sizes[i] <= lead:
+                        break
+            else:
+                best, lead = i, least - sizes[i]
+        rivals = [s if i == best else rival(i, self.lengths[best]) for i, s in enumerate(sizes)]
         # Bits per byte saved over the mean of the others decide how sure the choice is.
         scale = 24.0 / math.sqrt(len(plain))
-        weights = [math.exp(max(-60.0, (sizes[best] - s) / max(scale, 1.0))) for s in sizes]
-        others = sorted(s for i, s in enumerate(sizes) if i != best)
-        margin = (others[0] - sizes[best]) / len(plain) if others else 1.0
+        weights = [math.exp(min(60.0, max(-60.0, (sizes[best] - s) / max(scale, 1.0)))) for s in rivals]
+        margin = lead / len(plain) if len(sizes) > 1 else 1.0
         return self.names[best], 1.0 / sum(weights), margin < narrow
 
 

@@ -84,6 +84,26 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+@pytest.mark.parametrize("rare_words", [1, 12, 60])
+def test_one_rare_language_beside_frequent_ones(spark, rare_words):
+    rng = random.Random(6)
+    syllables = {"aa": "ka lu mi ra ton da pe sa ri ve".split(), "bb": "schru fleg wo brandt khu stro zwe tzig mpf gr".split()}
+    words = {lang: ["".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(400)] for lang, parts in syllables.items()}
+    words["rare"] = ["".join(rng.choices("hoy jin qex wub fyd".split(), k=2)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(12, 60))), lang) for i in range(600) for lang in [("aa", "bb")[i % 2]]]
+    seen = words["rare"][0][:6] if rare_words == 1 else " ".join(rng.choices(words["rare"], k=rare_words))
+    rare = [(1000 + i, " ".join(rng.choices(words["rare"], k=30)), "rare") for i in range(40)]
+    schema = "doc_id bigint, text string, lang string"
+    model = language.train_dictionaries(spark.createDataFrame([r for r in rows if r[0] % 3] + [(999, seen, "rare")], schema))
+    assert [name for name, _ in model.dictionaries] == ["aa", "bb", "rare"]
+    got = {r["doc_id"]: r for r in language.identify_language(spark.createDataFrame(rows + rare, schema), model).collect()}
+    held_out = [got[i]["lang_pred"] == lang for i, _, lang in rows if i % 3 == 0]
+    assert sum(held_out) >= 0.98 * len(held_out)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    if rare_words > 1:
+        assert sum(got[i]["lang_pred"] == "rare" for i, _, _ in rare) >= 0.9 * len(rare)
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     row = language.identify_language(docs, language.train_dictionaries(docs)).first()
