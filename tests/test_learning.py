@@ -1,7 +1,10 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ballast.catalog import QUERIES, learning
 from ballast.models import tuning as M
 from ballast.models.classifiers import build_estimator, parameter_grid
 from ballast.operators.metrics import metrics_per_seed
@@ -139,3 +142,24 @@ def test_resolution(spark):
     with pytest.raises(ValueError):
         E.resume_execution(one, ["test"], 1, execution_id="x", skip_resume=True)
     assert E.combination_grid(spark, ["test", "lending_club"], 5).count() == 17 * 5 * 2
+
+
+@pytest.mark.parametrize(("name", "operator"), [("grid_search", M.grid_search), ("run_experiment", E.run_experiment)])
+def test_queries_ask_for_the_whole_job(spark, credit, monkeypatch, name, operator):
+    class Asked(Exception):
+        pass
+
+    def ask(*args, **options):
+        bound = inspect.signature(operator).bind(*args, **options)
+        bound.apply_defaults()
+        raise Asked(bound.arguments)
+
+    monkeypatch.setattr(learning, "vectors", lambda spark, sf_dir: credit)
+    monkeypatch.setattr(learning, name, ask)
+    with pytest.raises(Asked) as caught:
+        QUERIES[name](spark, "unused")
+    asked = caught.value.args[0]
+    if name == "grid_search":
+        assert asked["grid"] is None and asked["cv_folds"] == 5
+    else:
+        assert E.combination_grid(spark, list(asked["data"]), asked["num_seeds"], asked["excluded_models"]).count() == 17 * 5
