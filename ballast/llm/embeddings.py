@@ -3,8 +3,10 @@
 A rotation of the principal axes is learned so that the signs of the rotated coordinates make
 balanced binary codes that lose little (ITQ). Codes are cut into substrings, one hash table each;
 a vector is stored under its own substring and probes all substrings within ``radius`` bits. What
-meets is compared by cosine on the original vectors. With t tables every pair whose codes differ in
-at most ``t * (radius + 1) - 1`` bits meets for certain.
+meets is compared by cosine on the original vectors. How many tables there are and how wide they are
+is measured for each vector length: partners at the threshold are planted beside sampled vectors, and
+tables, from further rotations if one does not do, are added or narrowed until ``RECALL`` of the
+partners meet. If nothing narrower does, or a length was not sampled, all vectors of it meet.
 
 A crowded table entry is cut into blocks, and each pair of blocks is a cell of its own, so no task
 gets more than two blocks; cells return counts and a spanning set of links, never all pairs.
@@ -12,6 +14,7 @@ gets more than two blocks; cells return counts and a spanning set of links, neve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,11 @@ from pyspark.sql import functions as F
 from ballast.llm.columns import hash_fraction, stored
 from ballast.llm.components import connected_components
 
-TABLES, RADIUS = 4, 1
+TABLES, RADIUS = 4, 1  # tables of the first rotation up to 64 coordinates
+TABLE_BITS = (16, 12, 8, 6, 4, 2)
+MOST_TABLES = 32  # beyond it narrower tables are tried
+RECALL = 0.96  # of planted partners at the threshold
+PLANTED_ROWS = 4_000
 FIT_ROWS = 20_000
 BLOCK_ROWS = 512
 CELLS_ROWS = 4_000  # rows a group of cells is meant to hold
@@ -50,27 +57,68 @@ def fit_rotation(sample: np.ndarray, rounds: int = ITQ_ROUNDS) -> tuple[np.ndarr
     return mean, axes.T @ rotation
 
 
-def substrings(bits: np.ndarray, tables: int) -> list[np.ndarray]:
-    """Per table one integer for each row of bits; at most 62 bits a table."""
-    out = []
-    for part in np.array_split(bits, tables, axis=1):
-        part = part[:, :62]
-        out.append(part.astype(np.int64) @ (np.int64(1) << np.arange(part.shape[1], dtype=np.int64)))
-    return out
+def planted_partners(unit: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at exactly ``cosine``: moved in any direction, and towards another vector of the sample."""
+    rng = np.random.default_rng(11)
+    own = unit[rng.permutation(len(unit))[:PLANTED_ROWS]]
+    own = np.tile(own, (-(-PLANTED_ROWS // len(own)), 1))[:PLANTED_ROWS]
+    pairs = []
+    for away in (rng.normal(size=own.shape), unit[rng.integers(0, len(unit), len(own))]):
+        away = away - (away * own).sum(1, keepdims=True) * own
+        size = np.linalg.norm(away, axis=1)
+        some = size > 1e-6
+        if some.any():
+            pairs.append((own[some], cosine * own[some] + math.sqrt(max(1 - cosine**2, 0.0)) * away[some] / size[some, None]))
+    return pairs
 
 
-def encode(valid: DataFrame, fit_rows: int, tables: int) -> DataFrame:
+def fit_code(sample: np.ndarray, cosine: float, radius: int, tables: int = TABLES) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Mean, and per table the projection whose signs are its bits, so that ``RECALL`` holds at ``cosine``."""
+    mean, axes = fit_rotation(sample)
+    n = sample.shape[1]
+    pairs = planted_partners(unit_rows(sample), cosine)
+    rng = np.random.default_rng(13)
+    spins = [axes]
+    widest = min(TABLE_BITS[0], -(-n // tables))
+    for bits in sorted({widest, *(b for b in TABLE_BITS if b < widest)}, reverse=True):
+        chosen: list[np.ndarray] = []
+        met = [np.zeros(len(u), bool) for u, _ in pairs]
+        while len(chosen) < MOST_TABLES:
+            at = len(chosen) // -(-n // bits)
+            if at == len(spins):
+                spins.append(axes @ np.linalg.qr(rng.normal(size=(n, n)))[0])
+            part = np.array_split(np.arange(n), -(-n // bits))[len(chosen) % -(-n // bits)]
+            chosen.append(spins[at][:, part])
+            for kind, (u, v) in enumerate(pairs):
+                apart = ((u - mean) @ chosen[-1] >= 0) != ((v - mean) @ chosen[-1] >= 0)
+                met[kind] |= apart.sum(1) <= radius
+            if len(chosen) >= min(tables, -(-n // bits)) and all(m.mean() >= RECALL for m in met):
+                return mean, chosen
+    return everything(n)
+
+
+def everything(n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A code that is the same for all vectors, so that all of them meet."""
+    return np.zeros(n), [np.zeros((n, 1))]
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """One integer for each row of bits."""
+    return bits.astype(np.int64) @ (np.int64(1) << np.arange(bits.shape[1], dtype=np.int64))
+
+
+def encode(valid: DataFrame, fit_rows: int, tables: int, radius: int, cosine: float) -> DataFrame:
     """``valid`` with ``codes array<bigint>`` and ``widths array<int>`` by table.
 
-    One rotation per vector length, fitted on at most ``fit_rows`` vectors drawn by a hash of their
-    content. Lengths that the sample lacks get the signs of their coordinates as codes.
+    One code per vector length, fitted on at most ``fit_rows`` vectors drawn by a hash of their
+    content. Vectors of a length that the sample lacks all share one code.
     """
     rows = valid.count()
     drawn = valid.where(hash_fraction(F.col("vector")) <= min(1.0, 1.2 * fit_rows / max(rows, 1))).select("vector").limit(fit_rows)
     by_size: dict[int, list] = {}
     for row in drawn.toLocalIterator():
         by_size.setdefault(len(row["vector"]), []).append(row["vector"])
-    fitted = {n: fit_rotation(np.array(v, float)) for n, v in by_size.items() if len(v) > 1}
+    fitted = {n: fit_code(np.array(v, float), cosine, radius, tables) for n, v in by_size.items() if len(v) > 1}
     spread = valid.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +130,9 @@ def encode(valid: DataFrame, fit_rows: int, tables: int) -> DataFrame:
             for n in np.unique(sizes):
                 where = np.flatnonzero(sizes == n)
                 own = unit_rows(np.array([vectors[i] for i in where], float))
-                mean, axes = spread.value.get(int(n), (0.0, None))
-                bits = (own if axes is None else (own - mean) @ axes) >= 0
-                parts = substrings(bits, tables)
-                width = [min(p.shape[1], 62) for p in np.array_split(bits, tables, axis=1)]
+                mean, axes = spread.value.get(int(n)) or everything(int(n))
+                parts = [packed((own - mean) @ a >= 0) for a in axes]
+                width = [a.shape[1] for a in axes]
                 for j, i in enumerate(where):
                     codes[i] = [int(p[j]) for p in parts]
                     widths[i] = width
@@ -158,7 +205,7 @@ def link_embeddings(
         "vectors",
     )
     valid = given.where(F.col("label").isNotNull()).select("row", "label", "vector")
-    coded = stored(encode(valid, fit_rows, tables), "codes")
+    coded = stored(encode(valid, fit_rows, tables, radius, cosine), "codes")
 
     def posting(code) -> F.Column:
         return F.xxhash64("label", F.size("vector"), "table", code)

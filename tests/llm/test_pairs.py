@@ -117,3 +117,22 @@ def test_embeddings_match_brute_force(spark, block_rows):
     assert len(exact) >= 0.98 * len(rows) and all(got[i]["n_links"] == 0 for i in range(n, len(rows)))
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(rows)))
     assert embeddings.link_embeddings(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("size", "common"), [(64, 0.0), (64, 0.7), (256, 0.0)])
+def test_recall_of_pairs_planted_at_the_threshold(spark, size, common):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    direction = unit(rng.normal(size=size))
+    base = np.sqrt(common) * direction + np.sqrt(1 - common) * unit(rng.normal(size=(900, size)))
+    base = unit(base)
+    own = base[:300]
+    away = rng.normal(size=own.shape)
+    away = unit(away - (away * own).sum(1, keepdims=True) * own)
+    cosine = rng.uniform(0.931, 0.95, (300, 1))
+    partner = cosine * own + np.sqrt(1 - cosine**2) * away
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(np.concatenate([base, partner]))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embeddings.link_embeddings(frame).collect()}
+    found = [got[900 + i]["component_id"] == got[i]["component_id"] for i in range(300)]
+    assert sum(found) >= 0.94 * len(found)
