@@ -5,7 +5,8 @@ blank). If an item of m characters occurs in a text with at most e edits, the tw
 m + 1 - q - q * e q-grams whose diagonals (position in the text minus position in the item) lie
 within a band of width e. Shared q-grams are counted in overlapping diagonal bands; bands that meet
 the bound are verified by a banded alignment, so that nothing within the edit budget is missed and
-nothing beyond it reported.
+nothing beyond it reported. Items longer than a window are also indexed as overlapping windows, so
+that a part of an item, or an item with replaced words, is found as well.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from ballast.llm.columns import append_columns
 
 Q = 12
 EDIT_RATE = 0.05
+WINDOW = 200  # normalised characters, 30 to 40 words
+WINDOW_STEP = 50
+WINDOW_RATE = 0.075  # three replaced words of about five characters in a window
 PART_CHARS = 20_000_000  # characters of benchmark text in one index
 BATCH_CHARS = 1_000_000  # characters of documents hashed at a time
 TABLE_BITS = 22
@@ -76,7 +80,7 @@ def slot(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """All q-grams of the items, sorted by hash, with a bit table in front."""
+    """All q-grams of the items and then of their windows, sorted by hash, with a bit table in front."""
 
     ids: list
     items: list[np.ndarray]
@@ -84,6 +88,10 @@ class Index:
     rate: float
 
     def __post_init__(self) -> None:
+        whole = len(self.items)
+        cuts = [(i, start) for i, codes in enumerate(self.items) for start in window_starts(len(codes))]
+        self.owner = [*range(whole), *[i for i, _ in cuts]]
+        self.items = [*self.items, *[self.items[i][start : start + WINDOW] for i, start in cuts]]
         hashes = [gram_hashes(codes, self.q) for codes in self.items]
         flat = np.concatenate([*hashes, np.array([], np.uint64)])
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
@@ -96,11 +104,15 @@ class Index:
         self.table[slot(self.grams)] = True
         lengths = np.array([len(c) for c in self.items], np.int64)
         most = np.maximum((lengths - self.q) // self.q, 0)  # beyond it the bound says nothing
-        self.edits = np.minimum((self.rate * lengths).astype(np.int64), most)
+        rates = np.where(np.arange(len(lengths)) < whole, self.rate, max(self.rate, WINDOW_RATE))
+        self.edits = np.minimum((rates * lengths).astype(np.int64), most)
         self.bound = lengths + 1 - self.q - self.q * self.edits
 
     def find(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """``(item, start, end, edits)`` of the items in one normalised text: the best place of each."""
+        """``(item, start, end, edits)`` of the items in one normalised text: the best place of each.
+
+        Where an item is not found whole, its best window stands for it.
+        """
         if not len(self.grams):
             return []
         hashes = gram_hashes(codes, self.q)
@@ -128,15 +140,27 @@ class Index:
         owner = bands >> 42
         bands = bands[counts >= self.bound[owner]]
         best: dict[int, tuple[int, int, int, int]] = {}
+        found_whole: set[int] = set()
         for band in bands.tolist():
-            which = band >> 42
+            which = band >> 42  # whole items come before windows
+            item = self.owner[which]
+            if which != item and item in found_whole:
+                continue
             first = (band & ((1 << 42) - 1)) * int(self.edits[which] + 1) - (1 << 40)
             got = align(self.items[which], codes, first, int(self.edits[which]))
-            if got and (which not in best or (got[2], got[0]) < (best[which][3], best[which][1])):
-                best[which] = (which, *got)
+            if got and which == item:
+                found_whole.add(item)
+            if got and (item not in best or (got[2], got[0]) < (best[item][3], best[item][1])):
+                best[item] = (item, *got)
         return [best[i] for i in sorted(best)]
 
 
+def window_starts(length: int) -> list[int]:
+    """Starts of the windows of an item; none if it is no longer than one window."""
+    last = length - WINDOW
+    return [*range(0, last, WINDOW_STEP), last] if last > 0 else []
+
+
 def align(item: np.ndarray, codes: np.ndarray, first: int, edits: int) -> tuple[int, int, int] | None:
     """The cheapest occurrence of ``item`` that starts on one of the diagonals of a band.
 
@@ -209,7 +233,10 @@ def find_contamination(
     """``documents`` with ``out``: per benchmark item in the text its best place and its edits.
 
     An item counts as contained if it occurs with at most ``edit_rate`` of its characters edited,
-    after normalisation. Items with fewer than ``q`` normalised characters are too short to tell and
+    after normalisation, or if a window of ``WINDOW`` of its characters does with at most
+    ``WINDOW_RATE`` edited; place and edits are then those of the best window. So a contiguous part of
+    ``WINDOW + WINDOW_STEP`` characters is always found, from the start or end of an item ``WINDOW``
+    characters. Items no longer than a window are found whole only. Items with fewer than ``q`` normalised characters are too short to tell and
     never reported; NULL texts and NULL items match nothing. Positions are code points, the end
     exclusive. The benchmark is indexed in parts of bounded size, each broadcast and searched in
     turn, so its size does not matter.

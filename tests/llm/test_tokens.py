@@ -85,3 +85,20 @@ def test_decontamination_against_brute_force(spark):
                 assert got[i][k]["edits"] == edits
     assert not got[90] and not got[91] and not got[92]
     assert all(not r["contamination"] for r in decontaminate.find_contamination(frame, benchmark.limit(0)).collect())
+
+
+def test_parts_of_items_and_replaced_words_are_found(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 7))) for _ in range(3000)]
+    item = rng.choices(words, k=59)
+    short = rng.choices(words, k=37)
+    filler = lambda: rng.choices(words, k=80)
+    replaced = ["zzzz" if i in (5, 17, 30) else w for i, w in enumerate(short)]
+    parts = [item, item[:50], item[9:], item[5:55], item[:38], replaced]
+    docs = [(i, " ".join([*filler(), *part, *filler()])) for i, part in enumerate(parts)]
+    docs += [(20 + i, " ".join([*filler(), *filler()])) for i in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id bigint, text string")
+    got = {r["doc_id"]: r["contamination"] for r in decontaminate.find_contamination(frame, benchmark).collect()}
+    assert {i: [m["item_id"] for m in got[i]] for i in got} == {**{i: [1] for i in range(5)}, 5: [2], **{20 + i: [] for i in range(5)}}
+    assert got[0][0]["edits"] == 0 and docs[0][1][got[0][0]["start"] : got[0][0]["end"]] == " ".join(item)
