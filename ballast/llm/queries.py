@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import bpe, chat, decontaminate, embeddings, language, minhash, pii, secrets, toxicity, urls
+from ballast.llm import bpe, chat, decontaminate, embeddings, language, minhash, phrases, pii, quality, secrets, toxicity, urls, whitening
 from ballast.llm.columns import bucket_of
 from ballast.llm.spans import written
 
@@ -190,3 +190,122 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op11_quality_rules",
+    r"""
+with docs as (
+  select doc_id, source, coalesce(text, '') as text, row_number() over () as row from documents
+), lines as (
+  select row, source, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as pos from docs
+), plain as (
+  select *, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+                                '[\x20\t\x0b\f\r]+', ' ', 'g')) as line,
+         len(list_filter(string_split_regex(raw, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words
+  from lines
+), frequent as (
+  select p.source, p.line from plain p
+  join (select source, count(distinct text) as texts from plain where line <> '' group by source) h on h.source is not distinct from p.source
+  where line <> '' group by p.source, p.line, h.texts
+  having count(distinct text) > 10 and count(distinct text) * 2000 > h.texts
+), lost as (
+  select p.row, sum(p.words) as lost from plain p join frequent f on f.source is not distinct from p.source and f.line = p.line group by p.row
+), dup as (
+  select row, sum(n - 1) as n_dup_lines from (select row, raw, count(*) as n from plain where line <> '' group by row, raw) group by row
+), tokens as (
+  select row, unnest(w) as word, generate_subscripts(w, 1) as idx
+  from (select row, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from docs)
+), windows as (
+  select row, idx, word as a, lead(word, 1) over o as b, lead(word, 2) over o as c from tokens window o as (partition by row order by idx)
+), twice as (
+  select row, idx from (select row, idx, count(*) over (partition by row, a, b, c) as n from windows where c is not null) where n > 1
+), repeated as (
+  select row, count(distinct idx + k) as n_repeat_words from twice, range(3) r(k) group by row
+), measured as (
+  select d.doc_id, d.text, coalesce(t.n, 0) as n_words, coalesce(t.chars, 0) as word_chars,
+         length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n_dup_lines, 0) as n_dup_lines,
+         coalesce(r.n_repeat_words, 0) as n_repeat_words, coalesce(l.lost, 0) as lost
+  from docs d left join (select row, count(*) as n, sum(length(word)) as chars from tokens group by row) t using (row)
+  left join dup using (row) left join repeated r using (row) left join lost l using (row)
+)
+select doc_id, n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+       n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not lost * 100 > n_words * 50 as kept
+from measured
+""",
+)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.quality_rules(documents).select("doc_id", *[f"quality.{f}" for f in fields])
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors, components=4)
+    explained = F.array(*[F.lit(v) for v in model.explained]).cast("array<double>")
+    return whitening.whiten(vectors, model).select(
+        "vec_id", F.posexplode("whitened").alias("position", "whitened"), "deviation"
+    ).select(
+        "vec_id",
+        (F.col("position") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("position")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+@query(
+    "op13_phrase_collocations",
+    r"""
+with docs as (
+  select row_number() over () as row, coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), pieces as (
+  select row, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece,
+         generate_subscripts(string_split_regex(text, '[.,;:!?\x0A-\x0D]'), 1) as p from docs
+), tokens as (
+  select row, p, lang, unnest(w) as word, generate_subscripts(w, 1) as idx
+  from (select row, p, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces)
+), starts as (
+  select lang, word as w1, lead(word, 1) over o as w2, lead(word, 2) over o as w3, lead(word, 3) over o as w4, lead(word, 4) over o as w5
+  from tokens window o as (partition by row, p order by idx)
+), totals as (
+  select lang, count(*) as n from tokens group by lang
+), grams as (
+  select lang, [w1] as words, count(*) as a from starts group by all
+  union all select lang, [w1, w2], count(*) from starts where w2 is not null group by all
+  union all select lang, [w1, w2, w3], count(*) from starts where w3 is not null group by all
+  union all select lang, [w1, w2, w3, w4], count(*) from starts where w4 is not null group by all
+  union all select lang, [w1, w2, w3, w4, w5], count(*) from starts where w5 is not null group by all
+), often as (
+  select * from grams where a >= 100
+), candidates as (
+  select *, len(words) as size from often where len(words) >= 2
+), inner_parts as (
+  select lang, list_slice(words, i, j) as words, max(a) as longer
+  from candidates, range(1, 6) x(i), range(1, 6) y(j) where j <= size and j > i and j - i + 1 < size group by 1, 2
+), kept as (
+  select c.* from candidates c left join inner_parts i using (lang, words) where i.longer is null or 100 * i.longer < 100 * c.a
+), cuts as (
+  select c.lang, c.words, c.a, l.a as l, r.a as r, t.n, k, (1000::hugeint * c.a * t.n) // (l.a::hugeint * r.a) as score
+  from kept c cross join range(1, 5) x(k) join totals t using (lang)
+  join often l on l.lang = c.lang and l.words = list_slice(c.words, 1, k)
+  join often r on r.lang = c.lang and r.words = list_slice(c.words, k + 1, size)
+  where k < size
+), weakest as (
+  select * from cuts qualify row_number() over (partition by lang, words order by score, k) = 1
+), ranked as (
+  select lang, array_to_string(words, ' ') as phrase, a, l, r, n, score::bigint as score from weakest
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from ranked qualify rank <= 2000
+""",
+)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+    return phrases.top_phrases(scored.drop("words"), 2000).select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
