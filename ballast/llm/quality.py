@@ -100,20 +100,18 @@ def quality_rules(
     documents: DataFrame,
     text: str = "text",
     host: str = "source",
-    out: str = "quality",
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_documents: int = 10,
     one_in: int = 2000,
     max_removed_percent: int = 50,
 ) -> DataFrame:
-    """``documents`` with a struct ``out`` (a suffix is added if the name is taken).
+    """``documents`` with the counts of ``text_measures`` and these columns (taken names get a suffix):
 
-    Its fields: the counts of ``text_measures``; ``base_failed`` (under ``min_words`` words, or more than
-    ``max_repeat_percent`` of them in repeated windows); ``removed`` (positions from 0 of lines found in
-    more than ``max_documents`` distinct texts of the host and in more than one of ``one_in`` of its texts);
-    ``words_left``; ``clean_text`` (the lines that stay); and ``kept``: not failed, and not more than
-    ``max_removed_percent`` of its words removed.
+    ``base_failed`` (under ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated
+    windows); ``removed`` (positions from 0 of lines found in more than ``max_documents`` distinct texts of
+    the host and in more than one of ``one_in`` of its texts); ``words_left``; ``clean_text`` (the lines that
+    stay); and ``kept``: not failed, and not more than ``max_removed_percent`` of its words removed.
 
     A document is a distinct text of a host, so copies and repeated rows count once. NULL is a host of its
     own. NULL and empty texts have no words and fail; an empty table gives an empty one.
@@ -145,12 +143,12 @@ def quality_rules(
         F.split(F.col(body), "\n"),
         lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"),
     )
-    verdict = F.struct(
-        *[measured[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        failed.alias("base_failed"),
-        gone.alias("removed"),
-        (measured["n_words"] - lost).alias("words_left"),
-        F.when(F.size(gone) == 0, F.col(body)).otherwise(cleaned).alias("clean_text"),
-        (~failed & ~depleted).alias("kept"),
-    )
-    return joined.select(*own, verdict.alias(fresh(documents, out)))
+    made = {
+        **{n: measured[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
+        "base_failed": failed,
+        "removed": gone,
+        "words_left": measured["n_words"] - lost,
+        "clean_text": F.when(F.size(gone) == 0, F.col(body)).otherwise(cleaned),
+        "kept": ~failed & ~depleted,
+    }
+    return joined.select(*own, *[column.alias(fresh(documents, name)) for name, column in made.items()])

@@ -238,7 +238,7 @@ from measured
 def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return quality.quality_rules(documents).select("doc_id", *[f"quality.{f}" for f in fields])
+    return quality.quality_rules(documents).select("doc_id", *fields)
 
 
 @query("op12_embedding_whitening")
