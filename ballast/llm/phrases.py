@@ -24,14 +24,14 @@ from ballast.llm.columns import stored
 PLAIN = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = 1  # id of the end of a piece; 0 is no word, words follow from 2
 BLOCK_BYTES = 1 << 20  # of a text, read at once
-FLUSH_WORDS = 1 << 20
+FLUSH_WORDS = 1 << 22
 FLUSH_VOCABULARY = 1 << 19
 CHUNK = 1 << 14  # buckets in one row of the filter
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``filter_bits``: the filter holds 2^bits buckets, one bit each once it is broadcast."""
+    """``filter_bits``: each of the two filters holds 2^bits buckets, one bit each once it is broadcast."""
 
     max_words: int = 5
     min_count: int = 100
@@ -50,6 +50,9 @@ class Words:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def table(self) -> np.ndarray:
+        return np.array(self.hashes, np.uint64)
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         known = self.ids
         for word in set(words).difference(known):
@@ -113,32 +116,65 @@ def word_streams(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tu
     yield from flush()
 
 
-def buckets(words: Words, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word, and of each word with the next one; those with ``END`` are meaningless."""
-    hashes = np.array(words.hashes, np.uint64)[ids]
-    shift = np.uint64(64 - bits)
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of their beginnings and of the word that follows."""
     with np.errstate(over="ignore"):
-        pair = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
-        pair = pair * np.uint64(0xFF51AFD7ED558CCD)
-    return (hashes >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+        mixed = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+        return mixed * np.uint64(0xFF51AFD7ED558CCD)
+
+
+def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.uint32)
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
 
-def frequency_filter(documents: DataFrame, settings: Settings) -> np.ndarray:
-    """One bit a bucket of words and word pairs: whether all that fall into it occur ``min_count`` times.
+def links(ids: np.ndarray, own: np.ndarray, frequent: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words may be frequent, and which of them together with the next one."""
+    good = (ids != END) & frequent[bucket(own, bits)]
+    link = np.zeros(len(ids), bool)
+    link[:-1] = good[:-1] & good[1:]
+    at = np.flatnonzero(link)
+    link[at] = frequent[bucket(joined(own[at], own[at + 1]), bits)]
+    return good, link
 
-    The size is fixed by ``filter_bits``. A clear bit is proof that a word or pair is rarer; a set bit proves
-    nothing, so the filter only saves work.
+
+def frequency_filter(documents: DataFrame, settings: Settings, pairs: bytes | None = None) -> bytes:
+    """One bit a bucket of hashed phrases: whether all that fall into it occur ``min_count`` times.
+
+    Without ``pairs`` the phrases are all words and pairs of words; with it (their filter) they are the
+    longer ones whose pairs all pass. The size is fixed by ``filter_bits``. A clear bit is proof that a
+    phrase is rarer; a set bit proves nothing, so the filters only save work.
     """
-    bits, least = settings.filter_bits, min(settings.min_count, 255)
+    bits, longest, least = settings.filter_bits, settings.max_words, min(settings.min_count, 255)
+    spread = documents.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint8)
-        for _, words, ids, fresh in word_streams(batches, 1):
-            single, pair = buckets(words, ids, bits)
-            real = ids != END
-            for where in (single[:fresh][real[:fresh]], pair[:fresh][(real[:-1] & real[1:])[:fresh]]):
-                found, times = np.unique(where, return_counts=True)
-                total[found] = np.minimum(total[found] + np.minimum(times, 255).astype(np.int64), 255)
+        frequent = None if spread.value is None else unpacked(spread.value)
+
+        def add(hashes: np.ndarray) -> None:
+            found, times = np.unique(bucket(hashes, bits), return_counts=True)
+            total[found] = np.minimum(total[found] + np.minimum(times, 255), 255)
+
+        for _, words, ids, fresh in word_streams(batches, 1 if frequent is None else longest - 1):
+            own, last = words.table()[ids], len(ids) - 1
+            if frequent is None:
+                at = np.flatnonzero(ids[:fresh] != END)
+                add(own[at])
+                at = at[(at < last) & (ids[np.minimum(at + 1, last)] != END)]
+                add(joined(own[at], own[np.minimum(at + 1, last)]))
+                continue
+            _, link = links(ids, own, frequent, bits)
+            at = np.flatnonzero(link[:fresh])
+            hashes = joined(own[at], own[at + 1])
+            for k in range(2, longest):
+                going = link[np.minimum(at + k - 1, last)]
+                at = at[going]
+                hashes = joined(hashes[going], own[at + k])
+                add(hashes)
         width = min(CHUNK, 1 << bits)
         for i in range(0, 1 << bits, width):
             part = total[i : i + width]
@@ -158,49 +194,53 @@ def frequency_filter(documents: DataFrame, settings: Settings) -> np.ndarray:
     width = min(CHUNK, 1 << bits)
     out = np.zeros(1 << bits, bool)
     for row in parts:
-        out[row["chunk"] * width : (row["chunk"] + 1) * width] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[:width].astype(bool)
-    return np.packbits(out)
+        out[row["chunk"] * width : (row["chunk"] + 1) * width] = unpacked(bytes(row["bits"]))[:width]
+    return np.packbits(out).tobytes()
 
 
 def windows(documents: DataFrame, settings: Settings) -> DataFrame:
     """``(lang, words, a)``: one window for every word, of the words from it on, counted by part.
 
-    A window ends after ``max_words`` words, at the end of its piece, or before a pair that is too rare to
-    be in any candidate. Words too rare are left out. A row without words counts all words of the language.
+    A window ends after ``max_words`` words, at the end of its piece, or before it becomes too rare to be in
+    any candidate. Words too rare are left out. A row without words counts all words of the language.
     """
     bits, longest = settings.filter_bits, settings.max_words
-    spread = documents.sparkSession.sparkContext.broadcast(frequency_filter(documents, settings).tobytes())
+    pairs = frequency_filter(documents, settings)
+    spread = documents.sparkSession.sparkContext.broadcast((pairs, frequency_filter(documents, settings, pairs)))
+
+    def rows(lang: str, names: pa.Array, grams: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(grams), 1 << 17):
+            part = grams[i : i + (1 << 17)]
+            ends = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(part.ravel())))
+            counts = pa.array(times[i : i + (1 << 17)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), lists, counts], names=["lang", "words", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(spread.value, np.uint8)).astype(bool)
+        short, long = map(unpacked, spread.value)
         for lang, words, ids, fresh in word_streams(batches, longest - 1):
             if not len(ids):
                 continue
-            single, pair = buckets(words, ids, bits)
-            real = ids != END
-            good = real & frequent[single]
-            link = np.zeros(len(ids), bool)
-            link[:-1] = good[:-1] & good[1:] & frequent[pair]
-            start = np.flatnonzero(good[:fresh])
-            table = np.zeros((len(start), longest), np.int64)
-            table[:, 0] = ids[start]
-            going = np.ones(len(start), bool)
-            for k in range(1, longest):
-                at = start + k
-                going &= link[np.minimum(at - 1, len(ids) - 1)] & (at < len(ids))
-                table[going, k] = ids[at[going]]
-            # Number the windows column by column: equal numbers are equal windows.
-            number = table[:, 0]
-            for k in range(1, longest):
-                number = np.unique(number * len(words) + table[:, k], return_inverse=True)[1]
-            _, first, times = np.unique(number, return_index=True, return_counts=True)
-            chosen = table[first]
-            sizes = (chosen > 0).sum(axis=1)
+            own, last, size = words.table()[ids], len(ids) - 1, len(words)
             names = pa.array(list(words.ids), pa.binary()).cast(pa.string())
-            flat = names.take(pa.array(chosen[chosen > 0]))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes), [sizes.sum()]]), pa.int32()), flat)
-            counts = pa.array(np.append(times, int(real[:fresh].sum())), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(lists)), lists, counts], names=["lang", "words", "a"])
+            good, link = links(ids, own, short, bits)
+            yield from rows(lang, names, np.zeros((1, 0), np.int64), np.array([(ids[:fresh] != END).sum()]))
+            at = np.flatnonzero(good[:fresh])
+            # The windows of k words that begin at ``at`` are numbered; ``grams`` holds the words of a number.
+            number, grams, hashes = ids[at].astype(np.int64), np.arange(size)[:, None], own[at]
+            for k in range(1, longest + 1):
+                going = link[np.minimum(at + k - 1, last)] if k < longest else np.zeros(len(at), bool)
+                if k >= 2:
+                    tried = np.flatnonzero(going)
+                    going[tried] = long[bucket(joined(hashes[tried], own[at[tried] + k]), bits)]
+                times = np.bincount(number[~going], minlength=len(grams))
+                yield from rows(lang, names, grams[times > 0], times[times > 0])
+                at = at[going]
+                if not len(at):
+                    break
+                hashes = joined(hashes[going], own[at + k])
+                codes, next_number = np.unique(number[going] * size + ids[at + k], return_inverse=True)
+                number, grams = next_number, np.column_stack([grams[codes // size], codes % size])
 
     return documents.mapInArrow(run, "lang string, words array<string>, a bigint")
 
