@@ -28,8 +28,7 @@ from ballast.operators.sampling import (
 )
 
 
-PARTITION_BYTES = 128 << 20
-LEAST_BYTES = 1 << 20
+TASK_BYTES = 4 << 20  # of a training table in one task
 
 
 class RebalancedClassifier(Estimator):
@@ -54,6 +53,11 @@ class RebalancedClassifier(Estimator):
 
     def prepare(self, train: DataFrame) -> tuple[list, DataFrame]:
         """Learn the preparation on ``train`` and return its stages and the rebalanced rows."""
+        stages, ready = self.prepare_features(train)
+        return stages, self.rebalance(ready)
+
+    def prepare_features(self, train: DataFrame) -> tuple[list, DataFrame]:
+        """Learn the preparation, which no technique changes: its stages and ``(row_id, features, target)``."""
         preparation = fit_preparation(train, self.columns)
         stages = [
             SQLTransformer(statement=preparation.sql()),
@@ -61,8 +65,7 @@ class RebalancedClassifier(Estimator):
                 inputCols=[preparation.prepared_name(c) for c in self.columns], outputCol="features"
             ),
         ]
-        ready = PipelineModel(stages).transform(train).select("row_id", "features", "target")
-        return stages, self.rebalance(ready)
+        return stages, PipelineModel(stages).transform(train).select("row_id", "features", "target")
 
     def rebalance(self, ready: DataFrame) -> DataFrame:
         if self.technique == "random_under_sampling":
@@ -74,7 +77,8 @@ class RebalancedClassifier(Estimator):
             return filled.select("row_id", array_to_vector("x").alias("features"), "target")
         return ready
 
-    def _train(self, stages: list, rows: DataFrame) -> PipelineModel:
+    def fit_rows(self, stages: list, rows: DataFrame) -> PipelineModel:
+        """Fit the classifier on prepared and rebalanced rows, best those of :func:`training_table`."""
         if self.technique == "cs_svm":
             rows = class_weights(rows, self.getOrDefault(self.classWeight))
         labelled = rows.withColumn("label", F.col("target").cast("double"))
@@ -82,37 +86,38 @@ class RebalancedClassifier(Estimator):
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         stages, rows = self.prepare(dataset)
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = training_table(rows, len(self.columns))
         try:
-            return self._train(stages, fewer_tasks(rows, len(self.columns)))
+            return self.fit_rows(stages, rows)
         finally:
             rows.unpersist()
 
     def fitMultiple(self, dataset: DataFrame, paramMaps) -> Iterator[tuple[int, PipelineModel]]:
         """Fit all candidates on one prepared and rebalanced table."""
         stages, rows = self.prepare(dataset)
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        return _SharedFits(self, stages, rows, fewer_tasks(rows, len(self.columns)), list(paramMaps))
+        return _SharedFits(self, stages, training_table(rows, len(self.columns)), list(paramMaps))
 
 
-def fewer_tasks(stored: DataFrame, width: int) -> DataFrame:
-    """Merge small partitions of a stored training table.
+def training_table(rows: DataFrame, width: int) -> DataFrame:
+    """The rows persisted in partitions that follow from their number and ids alone.
 
-    Iterative algorithms start a task per partition in every one of hundreds of
-    rounds, so a small table gets at most a partition per core and none below
-    ``LEAST_BYTES``; a large one keeps partitions of about ``PARTITION_BYTES``.
+    Iterative algorithms start a task per partition in every one of hundreds of rounds, so a partition
+    holds ``TASK_BYTES``. What a row is drawn or binned with depends on its place; by hash and order of
+    ``row_id`` the place is the same on every cluster, and so is the fitted model.
     """
-    size = stored.count() * (width + 2) * 8
-    cores = stored.sparkSession.sparkContext.defaultParallelism
-    wanted = max(1, min(cores, size // LEAST_BYTES), -(-size // PARTITION_BYTES))
-    return stored.coalesce(wanted) if stored.rdd.getNumPartitions() > wanted else stored
+    first = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = max(1, -(-first.count() * (width + 2) * 8 // TASK_BYTES))
+    placed = first.repartition(tasks, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    placed.count()
+    first.unpersist()
+    return placed
 
 
 class _SharedFits:
     """Iterator over candidate fits that threads may share; frees the table after the last one."""
 
-    def __init__(self, estimator: RebalancedClassifier, stages: list, stored: DataFrame, rows: DataFrame, maps: list):
-        self.estimator, self.stages, self.stored, self.rows, self.maps = estimator, stages, stored, rows, maps
+    def __init__(self, estimator: RebalancedClassifier, stages: list, rows: DataFrame, maps: list):
+        self.estimator, self.stages, self.rows, self.maps = estimator, stages, rows, maps
         self.lock, self.started, self.running = threading.Lock(), 0, len(maps)
 
     def __iter__(self):
@@ -125,9 +130,9 @@ class _SharedFits:
             index = self.started
             self.started += 1
         try:
-            return index, self.estimator.copy(self.maps[index])._train(self.stages, self.rows)
+            return index, self.estimator.copy(self.maps[index]).fit_rows(self.stages, self.rows)
         finally:
             with self.lock:
                 self.running -= 1
                 if not self.running:
-                    self.stored.unpersist()
+                    self.rows.unpersist()

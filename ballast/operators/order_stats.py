@@ -189,7 +189,10 @@ def _values_at(
             for rank, left in searches:
                 for _, n, low, high in counts[key]:
                     if left <= n:
-                        narrowed.setdefault((key[0], low, high), []).append((rank, left))
+                        if left in (1, n):  # the ends of a bucket are known
+                            found[key[0]][rank] = low if left == 1 else high
+                        else:
+                            narrowed.setdefault((key[0], low, high), []).append((rank, left))
                         break
                     left -= n
         ranges = narrowed

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import threading
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.models.tuning import TrainedModel, feature_columns, grid_search, predict, train_default
+from ballast.models.classifiers import build_estimator, check_pair
+from ballast.models.estimator import training_table
+from ballast.models.tuning import TrainedModel, feature_columns, grid_search, predict
 from ballast.operators.splitting import CV_FOLDS, stratified_split
 from ballast.sources.models import ModelStore, new_id
 from ballast.sources.predictions import PredictionStore, latest_execution_id, valid_runs
@@ -106,49 +111,108 @@ def run_experiment(
     excluded_models: Sequence[str] = (),
     execution_id: str | None = None,
     skip_resume: bool = False,
-    trainer: Trainer = train_default,
+    trainer: Trainer | None = None,
     parallelism: int = 2,
     cv_folds: int = CV_FOLDS,
 ) -> Resolution:
     """Train what is pending and store its test predictions, run by run.
 
-    The driver only submits jobs, a few at a time so the cluster stays busy between
-    the stages of one fit. A run counts as done when its partition is written, so
-    an interrupted experiment continues where it stopped; after a failure no
-    further run is started.
+    Runs of one dataset and seed share their split and preparation, and the models of one
+    technique share its rebalanced table; a ``trainer`` of one's own shares the split only. What is
+    shared is freed after the last run that needs it. The driver only submits jobs, of
+    ``parallelism`` runs at a time, so the cluster stays busy between the stages of one fit. A run
+    counts as done when its partition is written, so an interrupted experiment continues where it
+    stopped; after a failure no further run is started.
     """
     chosen = resume_execution(store.runs(), list(data), num_seeds, excluded_models, execution_id, skip_resume)
     if chosen.finished:
         return chosen
     grid = combination_grid(spark, list(data), num_seeds, excluded_models)
     pending = pending_combinations(grid, store.completed(chosen.execution_id))
-    rows = pending.orderBy(*COMBINATION).collect()
-
+    rows = pending.orderBy("dataset", "seed", "technique", "model_type").collect()
+    uses = Counter(key for row in rows for key in ((row.dataset, row.seed), (row.dataset, row.seed, row.technique)))
     stop = threading.Event()
 
+    def split_of(dataset: str, seed: int) -> tuple[DataFrame, Callable]:
+        split = stratified_split(data[dataset], seed, cv_folds=cv_folds).persist()
+        return split, split.unpersist
+
+    def features_of(split: Lease, dataset: str, seed: int) -> tuple[tuple[DataFrame, DataFrame], Callable]:
+        train, test = parts(split.value())
+        stages, ready = build_estimator("svm", TECHNIQUES[0], feature_columns(data[dataset]), seed).prepare_features(train)
+        held = ready.persist(), PipelineModel(stages).transform(test).select("features", "target").persist()
+        return held, lambda: [table.unpersist() for table in held]
+
+    def table_of(features: Lease, dataset: str, seed: int, technique: str) -> tuple[DataFrame, Callable]:
+        columns = feature_columns(data[dataset])
+        table = training_table(build_estimator("svm", technique, columns, seed).rebalance(features.value()[0]), len(columns))
+        return table, table.unpersist
+
+    splits = {key: Lease(partial(split_of, *key), n) for key, n in uses.items() if len(key) == 2}
+    features = {key: Lease(partial(features_of, splits[key], *key), splits[key].uses) for key in splits}
+    tables = {key: Lease(partial(table_of, features[key[:2]], *key), n) for key, n in uses.items() if len(key) == 3}
+
+    def scored(row) -> DataFrame:
+        columns = feature_columns(data[row.dataset])
+        if trainer is not None:
+            train, test = parts(splits[row.dataset, row.seed].value())
+            return predict(trainer(train, row.model_type, row.technique, row.seed, columns).model, test)
+        check_pair(row.model_type, row.technique)
+        estimator = build_estimator(row.model_type, row.technique, columns, row.seed)
+        model = estimator.fit_rows([], tables[row.dataset, row.seed, row.technique].value())
+        return predict(model, features[row.dataset, row.seed].value()[1])
+
     def run(row) -> None:
         if stop.is_set():
             return
         try:
-            train_and_store(row)
+            store.save(scored(row), execution_id=chosen.execution_id, **{k: row[k] for k in COMBINATION})
         except BaseException:
             stop.set()
             raise
-
-    def train_and_store(row) -> None:
-        split = stratified_split(data[row.dataset], row.seed, cv_folds=cv_folds)
-        columns = feature_columns(data[row.dataset])
-        train = split.where("split = 'train'").drop("split")
-        trained = trainer(train, row.model_type, row.technique, row.seed, columns)
-        scored = predict(trained.model, split.where("split = 'test'"))
-        store.save(scored, execution_id=chosen.execution_id, **{k: row[k] for k in COMBINATION})
-
-    with ThreadPool(max(1, min(parallelism, len(rows) or 1))) as pool:
-        for _ in pool.imap_unordered(run, rows):
-            pass
+        finally:
+            for lease in (tables[row.dataset, row.seed, row.technique], features[row.dataset, row.seed], splits[row.dataset, row.seed]):
+                lease.release()
+
+    try:
+        with ThreadPool(max(1, min(parallelism, len(rows) or 1))) as pool:
+            for _ in pool.imap_unordered(run, rows):
+                pass
+    finally:
+        for lease in (*tables.values(), *features.values(), *splits.values()):
+            lease.free()
     return chosen
 
 
+def parts(split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+
+
+class Lease:
+    """Something made at its first use and freed after the last of ``uses``; threads may share it."""
+
+    def __init__(self, make: Callable[[], tuple[object, Callable]], uses: int):
+        self.make, self.uses, self.held, self.lock = make, uses, None, threading.Lock()
+
+    def value(self):
+        with self.lock:
+            if self.held is None:
+                self.held = self.make()
+            return self.held[0]
+
+    def release(self) -> None:
+        with self.lock:
+            self.uses -= 1
+        if self.uses == 0:
+            self.free()
+
+    def free(self) -> None:
+        with self.lock:
+            if self.held is not None:
+                self.held[1]()
+                self.held = None
+
+
 def tuned(grid: list[dict] | None = None, **options) -> Trainer:
     """A trainer that searches a grid, for :func:`run_experiment`."""
 
