@@ -8,8 +8,10 @@ document labels alone; afterwards it points out the offending sentences.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,39 @@ def features(word: bytes) -> list[str]:
     return ["=" + plain, *[plain[:n] for n in PREFIXES if len(plain) >= n]]
 
 
-def train_noisy_or(texts: list[str | None], labels: list[int], epochs: int = 120, rate: float = 0.4, sparsity: float = 2e-4) -> ToxicityModel:
+class Sample:
+    """Labelled texts as numbers: words of sentences, sentences of texts. Equal texts count once, toxic if any copy is."""
+
+    def __init__(self):
+        self.vocabulary: dict[bytes, int] = {}
+        self.words, self.sizes, self.owner = array("i"), array("i"), array("i")
+        self.labels: list[int] = []
+        self.known: dict[bytes, int] = {}
+
+    def add(self, text: str | None, label: int) -> None:
+        digest = blake2b((text or "").encode("utf-8", "ignore"), digest_size=16).digest()
+        i = self.known.setdefault(digest, len(self.labels))
+        if i < len(self.labels):
+            self.labels[i] = max(self.labels[i], label)
+            return
+        self.labels.append(label)
+        for sentence in sentences(text):
+            own = dict.fromkeys(sentence.split())
+            if own:
+                self.words.extend([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own])
+                self.sizes.append(len(own))
+                self.owner.append(i)
+
+
+def train_noisy_or(texts: list[str | None], labels: list[int], **options) -> ToxicityModel:
+    """:func:`fit_noisy_or` on texts and their labels."""
+    sample = Sample()
+    for text, label in zip(texts, labels):
+        sample.add(text, label)
+    return fit_noisy_or(sample, **options)
+
+
+def fit_noisy_or(sample: Sample, epochs: int = 120, rate: float = 0.4, sparsity: float = 2e-4) -> ToxicityModel:
     """Maximise the likelihood of document labels under the noisy-or, by full-batch AdaGrad.
 
     An L1 penalty (``sparsity``, per document) keeps chance words out. Features at zero after the
@@ -58,32 +92,22 @@ def train_noisy_or(texts: list[str | None], labels: list[int], epochs: int = 120
     Without both classes there is nothing to tell apart: the model then scores every text near 0,
     however many sentences it has.
     """
-    y = np.array(labels, float)
+    y = np.array(sample.labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
-    vocabulary: dict[bytes, int] = {}
-    words: list[int] = []
-    sizes: list[int] = []
-    owner: list[int] = []
-    for i, text in enumerate(texts):
-        for sentence in sentences(text):
-            own = sentence.split()
-            if own:
-                words += [vocabulary.setdefault(w, len(vocabulary)) for w in set(own)]
-                sizes.append(len(set(own)))
-                owner.append(i)
-    word_of = np.array(words, np.int64)
-    sentence_of = np.repeat(np.arange(len(sizes)), sizes)
-    document_of = np.array(owner, np.int64)
+    vocabulary, sizes = sample.vocabulary, np.array(sample.sizes, np.int32)
+    word_of = np.array(sample.words, np.int32)
+    sentence_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    document_of = np.array(sample.owner, np.int32)
     # Features of each word, and the number of texts each feature is in.
     names: dict[str, int] = {}
-    pair_word, pair_feature = [], []
+    pair_word, pair_feature = array("i"), array("i")
     for word, w in vocabulary.items():
         for f in features(word):
             pair_word.append(w)
             pair_feature.append(names.setdefault(f, len(names)))
-    pw, pf = np.array(pair_word, np.int64), np.array(pair_feature, np.int64)
-    seen = np.unique(document_of[sentence_of] * len(vocabulary) + word_of)
+    pw, pf = np.array(pair_word, np.int32), np.array(pair_feature, np.int32)
+    seen = np.unique(document_of[sentence_of].astype(np.int64) * len(vocabulary) + word_of)
     texts_of_word = np.bincount(seen % len(vocabulary), minlength=len(vocabulary))
     used = np.bincount(pf, texts_of_word[pw], minlength=len(names)) >= MIN_TEXTS
     keep = used[pf]
@@ -128,46 +152,42 @@ def train_toxicity(
     text: str = "text",
     label: str = "toxic",
     training_rows: int = 8_000,
-    training_chars: int = 40_000_000,
+    training_chars: int = 20_000_000,
     held_out_fold: int | None = 0,
     folds: int = 5,
 ) -> ToxicityModel:
     """Train on at most ``training_rows`` labelled documents and ``training_chars`` of their text.
 
-    Rows whose CRC-32 fold is ``held_out_fold`` are never used. The rows are chosen by a hash of
-    their key; the training runs in one task, whose memory these two bounds limit, and its
-    weights, fewer than the distinct words of the sample, come back to the driver. If the usable
-    labels are of one class, or there are none, the model scores every document near 0.
+    Rows whose CRC-32 fold is ``held_out_fold`` are never used. The rows are the first in the order of a
+    hash of their key, whatever the partitions; the training runs in one task, whose memory these two
+    bounds limit, and its weights, fewer than the distinct words of the sample, come back to the driver.
+    A text that no longer fits into ``training_chars`` is passed over. If the usable labels are of one
+    class, or there are none, the model scores every document near 0.
     """
     known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).dropna()
     if held_out_fold is not None:
         known = known.where(bucket_of(F.col("key"), folds) != held_out_fold)
-    rows = known.count()
-    share = min(1.0, 1.1 * training_rows / max(rows, 1))
-    chosen = known.where(hash_fraction(F.col("key")) <= share).groupBy("key").agg(F.max("label").alias("label")).limit(training_rows)
-    sample = (
-        documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-        .join(F.broadcast(chosen), "key")  # at most training_rows rows of two numbers
-        .dropDuplicates(["key"])
-        .select("label", "text")
-    )
+    known = known.groupBy("key").agg(F.max("label").alias("label")).withColumn("place", hash_fraction(F.col("key")))
+    chosen = known.orderBy("place", "key").limit(training_rows)
+    texts = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "key")  # at most training_rows rows of three numbers
+    sample = sample.groupBy("place", "key", "label").agg(F.min("text").alias("text"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
-        room = training_chars
+        held, room = Sample(), training_chars
         for batch in batches:
-            for row in batch.to_pylist():
-                body = row["text"] or ""
-                if body not in held and len(body) <= room:  # copies of a text teach nothing new
-                    room -= len(body)
-                    held[body] = row["label"]
-        pairs = sorted(held.items())
-        model = train_noisy_or([t for t, _ in pairs], [min(max(v, 0), 1) for _, v in pairs])
+            for value, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                body = body.as_py()
+                if len(body or "") <= room:
+                    room -= len(body or "")
+                    held.add(body, min(max(value, 0), 1))
+        model = fit_noisy_or(held)
         yield pa.RecordBatch.from_arrays(
             [pa.array(["", *model.weights]), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["feature", "weight"]
         )
 
-    fitted = sample.coalesce(1).mapInArrow(fit, "feature string, weight double").collect()
+    one_task = sample.repartition(1).sortWithinPartitions("place", "key").select("label", "text")
+    fitted = one_task.mapInArrow(fit, "feature string, weight double").collect()
     weights = {r["feature"]: r["weight"] for r in fitted}
     return ToxicityModel(weights.pop("", NEVER), weights)
 
@@ -181,7 +201,7 @@ class WordWeights(dict):
 
     def __missing__(self, word: bytes) -> float:
         weight = self.model.word(word)
-        if len(self) < 2_000_000:
+        if len(self) < 100_000:  # about 15 MB; common words come first
             self[word] = weight
         return weight
 

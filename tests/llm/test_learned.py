@@ -108,3 +108,15 @@ def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     row = language.identify_language(docs, language.train_dictionaries(docs)).first()
     assert row["lang_pred"] == "und" and row["rejected"]
+
+
+def test_toxicity_model_does_not_depend_on_partitions(spark):
+    words = ["calm", "river", "stone", "light", "paper", "green", "window", "morning"]
+    rows = [(i, f"{words[i % 8]} {words[i % 5]}. {'vile insult' if i % 4 == 0 else 'kind word'} {words[i % 7]}", int(i % 4 == 0)) for i in range(400)]
+    rows += [(400, rows[0][1], 0)] * 2 + [(0, "another text under the same id", 0)]  # a copy with another label, a repeated id
+    documents = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    models = [
+        toxicity.train_toxicity(documents.repartition(n), labels.repartition(n), training_rows=150, training_chars=3_000) for n in (1, 7)
+    ]
+    assert models[0] == models[1] and models[0].weights
