@@ -68,14 +68,14 @@ def _(spark, sf_dir):
 
 @query(
     "cast_by_class",
-    "select cast(l_orderkey as int) as l_orderkey, cast(l_linenumber as int) as l_linenumber,"
-    " round(cast(cast(l_extendedprice as float) as double), 3) as l_extendedprice, l_returnflag from lineitem",
+    "select "
+    + ", ".join(f"cast({c} as int) as {c}" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    + ", "
+    + ", ".join(f"round(cast(cast({c} as float) as double), 3) as {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    + ", l_returnflag, l_linestatus, l_shipdate from lineitem",
 )
 def _(spark, sf_dir):
-    narrow = C.cast_by_class(
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    )
-    return rounded(narrow, 3)
+    return rounded(C.cast_by_class(table(spark, sf_dir, "lineitem")), 3)
 
 
 @query("cast_sci_numeric", over(SQL_TAIWAN, f'select "ID" as id, {r6("cast(\"LIMIT_BAL\" as double)", "limit_bal")} from raw'))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ballast.catalog.bindings import (
+    CORPORATE,
     SQL_CORPORATE,
     SQL_LENDING,
     SQL_TAIWAN,
@@ -13,9 +14,8 @@ from ballast.catalog.bindings import (
 from ballast.catalog.columns import INCOME, NEW_DTI, REVOLVING, over
 from ballast.catalog.registry import query, rounded
 from ballast.plans.features import (
+    FEATURE_JOBS,
     LENDING_RAW_NUMERIC,
-    get_transformer,
-    registered_datasets,
 )
 
 DIGITS = 3
@@ -73,7 +73,7 @@ LENDING_SQL = over(
 
 @query("lending_features", LENDING_SQL)
 def _(spark, sf_dir):
-    return rounded(get_transformer("lending_club")(lending_raw(spark, sf_dir)), DIGITS)
+    return rounded(FEATURE_JOBS["lending_club"](lending_raw(spark, sf_dir)), DIGITS)
 
 
 CARDS = ", ".join(
@@ -97,9 +97,10 @@ CARDS = ", ".join(
     ),
 )
 def _(spark, sf_dir):
-    return rounded(get_transformer("taiwan_credit")(taiwan_raw(spark, sf_dir)), DIGITS)
+    return rounded(FEATURE_JOBS["taiwan_credit"](taiwan_raw(spark, sf_dir)), DIGITS)
 
 
+QUOTED = [c if c.startswith('"') else f'"{c}"' for c in CORPORATE]
 RATIOS = ["currentRatio", "grossProfitMargin", "debtRatio", "effectiveTaxRate", "assetTurnover"]
 
 
@@ -107,15 +108,17 @@ RATIOS = ["currentRatio", "grossProfitMargin", "debtRatio", "effectiveTaxRate",
     "corporate_features",
     over(
         SQL_CORPORATE,
-        'select md5(concat_ws(\'|\', "Name", "Symbol", "Rating Agency Name", "Date")) as row_id, '
+        ", named as (select *, md5(concat(" + ", ".join(f"coalesce(concat(length(cast({c} as varchar)), ':', cast({c} as varchar)), 'N')" for c in QUOTED) + ")) as digest from raw),"
+        " numbered as (select *, count(*) over (partition by digest) as copies, row_number() over (partition by digest) as copy from named)"
+        " select case when copies = 1 then digest else concat(digest, '#', copy) end as row_id, "
         + ", ".join(f32(f'"{c}"', c) for c in RATIOS)
         + ", "
         + dummies('"Sector"', ["LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]).replace('""Sector"_', '"Sector_')
-        + ", case when \"Rating\" in ('D', 'C', 'CC') then 1 else 0 end as target from raw",
+        + ", case when \"Rating\" in ('D', 'C', 'CC') then 1 else 0 end as target from numbered",
     ),
 )
 def _(spark, sf_dir):
-    return rounded(get_transformer("corporate_credit_rating")(corporate_raw(spark, sf_dir)), DIGITS)
+    return rounded(FEATURE_JOBS["corporate_credit_rating"](corporate_raw(spark, sf_dir)), DIGITS)
 
 
 @query(
@@ -139,8 +142,8 @@ def _(spark, sf_dir):
         "corporate_credit_rating": corporate_raw,
     }
     out = None
-    for dataset in registered_datasets():
-        made = raw[dataset](spark, sf_dir).transform(get_transformer(dataset))
+    for dataset in FEATURE_JOBS:
+        made = raw[dataset](spark, sf_dir).transform(FEATURE_JOBS[dataset])
         counted = made.agg(F.count("*").alias("row_count")).select(F.lit(dataset).alias("dataset"), "row_count")
         out = counted if out is None else out.unionByName(counted)
     return out

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballast.session import apply_sql_settings
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -22,11 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
 
-        def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-            apply_sql_settings(spark)
-            return run(spark, sf_dir)
-
-        QUERIES[name] = prepared
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return run

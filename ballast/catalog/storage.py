@@ -6,6 +6,8 @@ read back.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +31,7 @@ from ballast.plans.experiment import (
     pending_combinations,
     resume_execution,
 )
-from ballast.plans.features import get_transformer
+from ballast.plans.features import FEATURE_JOBS
 from ballast.session import scratch_path
 from ballast.sources import predictions as P
 from ballast.sources import tables as S
@@ -43,15 +45,9 @@ def as_csv(df, name):
     return path
 
 
-def as_parquet(df, name):
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return path
-
-
-@query("scan_csv", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+@query("scan_csv", "select * from orders")
 def _(spark, sf_dir):
-    source = table(spark, sf_dir, "orders").drop("o_orderdate")
+    source = table(spark, sf_dir, "orders")
     return S.scan_csv(spark, as_csv(source, "orders"), source.schema)
 
 
@@ -61,10 +57,10 @@ def _(spark, sf_dir):
     return S.scan_csv(spark, as_csv(source, "part"), source.schema)
 
 
-@query("csv_schema_override", "select lpad(cast(c_custkey as string), 8, '0') as id, c_nationkey, c_acctbal, c_mktsegment from customer")
+@query("csv_schema_override", "select lpad(cast(c_custkey as string), 8, '0') as id, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
 def _(spark, sf_dir):
     source = table(spark, sf_dir, "customer").select(
-        F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("id"), "c_nationkey", "c_acctbal", "c_mktsegment"
+        F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("id"), "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
     return S.csv_with_overrides(spark, as_csv(source, "customer"), {"id": "string"})
 
@@ -72,18 +68,33 @@ def _(spark, sf_dir):
 TOTAL_LINE = "Total amount funded"
 
 
-@query(
-    "csv_tolerant",
-    "select c_custkey, case when c_nationkey in (1, 2) then null else c_acctbal end as c_acctbal, c_mktsegment from customer",
-)
+TOLERANT = """select c_custkey, c_name, case when c_nationkey = 5 then null else c_nationkey end as c_nationkey,
+    case when c_nationkey in (1, 2) then null else c_acctbal end as c_acctbal, case when c_nationkey = 3 then null else c_mktsegment end as c_mktsegment,
+    case c_nationkey when 2 then 'unparsable' when 3 then 'short' when 4 then 'long' end as problem from customer"""
+
+
+def flawed_csv(spark, sf_dir):
+    """All customers as CSV lines: one nation's balances hold a token for NULL, those of another do not parse,
+    a third has too few fields, a fourth too many, a fifth no nation."""
+    nation = F.col("c_nationkey")
+    balance = F.when(nation == 1, F.lit(TOTAL_LINE)).when(nation == 2, F.lit('"12,5 x"')).otherwise(F.col("c_acctbal").cast("string"))
+    first = [F.col("c_custkey").cast("string"), F.col("c_name"), F.when(nation == 5, F.lit("")).otherwise(nation.cast("string")), balance]
+    last = F.when(nation == 3, F.lit("")).when(nation == 4, F.concat(F.lit(","), "c_mktsegment", F.lit(",more"))).otherwise(F.concat(F.lit(","), "c_mktsegment"))
+    path = scratch_path(spark, "flawed")
+    table(spark, sf_dir, "customer").select(F.concat(F.concat_ws(",", *first), last)).write.text(path)
+    return path, T.StructType.fromDDL("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+
+
+@query("csv_tolerant", TOLERANT)
 def _(spark, sf_dir):
-    # Balances of one nation hold a token for NULL, those of another do not parse.
-    text = F.when(F.col("c_nationkey") == 1, F.lit(TOTAL_LINE)).when(F.col("c_nationkey") == 2, F.lit("12,5 x"))
-    source = table(spark, sf_dir, "customer").select(
-        "c_custkey", F.coalesce(text, F.col("c_acctbal").cast("string")).alias("c_acctbal"), "c_mktsegment"
-    )
-    schema = T.StructType.fromDDL("c_custkey bigint, c_acctbal double, c_mktsegment string")
-    return S.csv_tolerant(spark, as_csv(source, "customer"), schema, TOTAL_LINE)
+    path, schema = flawed_csv(spark, sf_dir)
+    return S.csv_tolerant(spark, path, schema, TOTAL_LINE, "problem", header=False)
+
+
+@query("csv_quarantine", f"select coalesce(problem, 'good') as problem, count(*) as n from ({TOLERANT}) group by 1")
+def _(spark, sf_dir):
+    path, schema = flawed_csv(spark, sf_dir)
+    return S.csv_quarantine(spark, path, schema, TOTAL_LINE, header=False)[2]
 
 
 @query("scan_parquet", "select l_orderkey, l_extendedprice from lineitem where l_returnflag = 'R'")
@@ -104,16 +115,17 @@ def _(spark, sf_dir):
     return S.scan_parquet(spark, path)
 
 
-@query("sink_parquet", "select event_id, user_id, event_type, value from events")
+@query("sink_parquet", "select * from events")
 def _(spark, sf_dir):
-    chosen = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return S.scan_parquet(spark, as_parquet(chosen, "events"))
+    path = scratch_path(spark, "events")
+    S.write_parquet(table(spark, sf_dir, "events"), path)
+    return S.scan_parquet(spark, path)
 
 
 @query("save_interim", LENDING_SQL)
 def _(spark, sf_dir):
     repository = S.DataRepository(spark, scratch_path(spark, "repository"))
-    repository.save_interim("lending_club", get_transformer("lending_club")(lending_raw(spark, sf_dir)))
+    repository.save_interim("lending_club", FEATURE_JOBS["lending_club"](lending_raw(spark, sf_dir)))
     return rounded(repository.interim("lending_club"), 3)
 
 
@@ -237,6 +249,51 @@ def _(spark, sf_dir):
     return P.latest_predictions(predictions(spark, sf_dir), "lending_club").select(*P.RUN_KEYS, "target", "prediction")
 
 
+@query(
+    "store_for_execution",
+    over(SQL_PREDICTIONS, f"select {RUNS}, target, prediction, '0190-none' as missing from raw where execution_id = '{OLDER}' and dataset = 'taiwan_credit'"),
+)
+def _(spark, sf_dir):
+    # From the partitions of one execution; an execution without any raises.
+    store = stored_predictions(spark, sf_dir)
+    try:
+        store.for_execution("taiwan_credit", "0190-none")
+        missing = None
+    except P.ExecutionNotFound:
+        missing = "0190-none"
+    return store.for_execution("taiwan_credit", OLDER).withColumn("missing", F.lit(missing))
+
+
+@query(
+    "store_latest",
+    over(
+        SQL_PREDICTIONS,
+        f"select {RUNS}, target, prediction from raw where dataset = 'lending_club'"
+        " and execution_id = (select max(execution_id) from raw where dataset = 'lending_club')",
+    ),
+)
+def _(spark, sf_dir):
+    return stored_predictions(spark, sf_dir).latest("lending_club").select(*P.RUN_KEYS, "target", "prediction")
+
+
+@query("read_legacy", over(SQL_PREDICTIONS, f"select {RUNS}, target, prediction, count(*) as n from raw where dataset = 'taiwan_credit' group by all"))
+def _(spark, sf_dir):
+    # One file a run, with the keys in its path and nowhere else.
+    root = scratch_path(spark, "legacy")
+    found = predictions(spark, sf_dir).where("dataset = 'taiwan_credit'").persist()
+
+    def write(row):
+        run = found.where(" and ".join(f"{k} = '{row[k]}'" for k in P.RUN_KEYS)).select("target", "prediction")
+        path = f"{root}/predictions/{row.execution_id}/{row.dataset}/{row.model_type}/{row.technique}/seed_{row.seed}.parquet"
+        run.coalesce(1).write.parquet(path)
+
+    with ThreadPool(8) as pool:
+        pool.map(write, found.select(*P.RUN_KEYS).distinct().collect())
+    found.unpersist()
+    stored = P.read_legacy(spark, root)
+    return stored.groupBy(*P.RUN_KEYS, "target", "prediction").agg(F.count("*").alias("n"))
+
+
 @query(
     "latest_execution_id",
     over(SQL_PREDICTIONS, "select max(execution_id) as execution_id from raw where dataset in ('taiwan_credit', 'test')"),

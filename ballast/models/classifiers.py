@@ -8,12 +8,12 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.tuning import ParamGridBuilder
 
 from ballast.models.estimator import RebalancedClassifier
+from ballast.models.perceptron import EarlyStoppedPerceptron
 from ballast.operators.sampling import COST_GRID, NEIGHBORS
 from ballast.vocabulary import COST_SENSITIVE, MODEL_TYPES, TECHNIQUES
 
@@ -32,11 +32,18 @@ def check_pair(model_type: str, technique: str) -> None:
         raise ValueError(f"{technique} is a technique of the svm model only")
 
 
-def build_classifier(model_type: str, n_features: int, seed: int, weighted: bool = False) -> Estimator:
+def stops_early(model_type: str, technique: str) -> bool:
+    """Whether training watches a hold-out: the perceptron's does, unless under-sampling leaves too few rows."""
+    return model_type == "mlp" and technique != "random_under_sampling"
+
+
+def build_classifier(
+    model_type: str, n_features: int, seed: int, weighted: bool = False, early_stop: bool = True
+) -> Estimator:
     """A classifier with its default parameters.
 
     ``svm`` is a linear model with logistic loss. The boosted trees have no leaf
-    penalties, and the perceptron no choice of activation, penalty or early stop.
+    penalties, and the perceptron no choice of activation or penalty.
     """
     if model_type == "svm":
         linear = LogisticRegression(
@@ -48,7 +55,7 @@ def build_classifier(model_type: str, n_features: int, seed: int, weighted: bool
     if model_type == "xgboost":
         return GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=6, subsamplingRate=1.0, seed=seed)
     if model_type == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 100, 2], maxIter=200, seed=seed)
+        return EarlyStoppedPerceptron([n_features, 100, 2], 200, seed, early_stop)
     raise ValueError(f"unknown model type {model_type!r}")
 
 
@@ -61,7 +68,7 @@ def build_estimator(
     """
     check_pair(model_type, technique)
     weighted = technique in COST_SENSITIVE
-    classifier = build_classifier(model_type, len(columns), seed, weighted)
+    classifier = build_classifier(model_type, len(columns), seed, weighted, stops_early(model_type, technique))
     estimator = RebalancedClassifier(classifier, columns, technique, seed, k)
     if weighted:
         estimator._set(classWeight=next((rule for rule in COST_GRID if rule is not None), "balanced"))

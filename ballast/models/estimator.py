@@ -7,8 +7,7 @@ resamples and the model is saved and loaded by Spark.
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -79,10 +78,13 @@ class RebalancedClassifier(Estimator):
 
     def fit_rows(self, stages: list, rows: DataFrame) -> PipelineModel:
         """Fit the classifier on prepared and rebalanced rows, best those of :func:`training_table`."""
+        return PipelineModel([*stages, self.classifier.fit(self.labelled(rows))])
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Prepared rows with the label and, in a cost-sensitive fit, the weight the classifier reads."""
         if self.technique == "cs_svm":
             rows = class_weights(rows, self.getOrDefault(self.classWeight))
-        labelled = rows.withColumn("label", F.col("target").cast("double"))
-        return PipelineModel([*stages, self.classifier.fit(labelled)])
+        return rows.withColumn("label", F.col("target").cast("double"))
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         stages, rows = self.prepare(dataset)
@@ -92,11 +94,6 @@ class RebalancedClassifier(Estimator):
         finally:
             rows.unpersist()
 
-    def fitMultiple(self, dataset: DataFrame, paramMaps) -> Iterator[tuple[int, PipelineModel]]:
-        """Fit all candidates on one prepared and rebalanced table."""
-        stages, rows = self.prepare(dataset)
-        return _SharedFits(self, stages, training_table(rows, len(self.columns)), list(paramMaps))
-
 
 def training_table(rows: DataFrame, width: int) -> DataFrame:
     """The rows persisted in partitions that follow from their number and ids alone.
@@ -111,28 +108,3 @@ def training_table(rows: DataFrame, width: int) -> DataFrame:
     placed.count()
     first.unpersist()
     return placed
-
-
-class _SharedFits:
-    """Iterator over candidate fits that threads may share; frees the table after the last one."""
-
-    def __init__(self, estimator: RebalancedClassifier, stages: list, rows: DataFrame, maps: list):
-        self.estimator, self.stages, self.rows, self.maps = estimator, stages, rows, maps
-        self.lock, self.started, self.running = threading.Lock(), 0, len(maps)
-
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        with self.lock:
-            if self.started == len(self.maps):
-                raise StopIteration
-            index = self.started
-            self.started += 1
-        try:
-            return index, self.estimator.copy(self.maps[index]).fit_rows(self.stages, self.rows)
-        finally:
-            with self.lock:
-                self.running -= 1
-                if not self.running:
-                    self.rows.unpersist()

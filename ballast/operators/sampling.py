@@ -31,7 +31,7 @@ def weight_expression(
         weights = {g: total / (len(counts) * n) for g, n in counts.items()}
     else:
         unknown = [g for g in rule if g not in counts]
-        if unknown and not any(g in counts for g in rule):
+        if unknown:
             raise ValueError(f"the weights name {unknown}, but the classes are {sorted(counts, key=str)}")
         weights = {g: float(rule.get(g, 1.0)) for g in counts}
     weight = F.lit(1.0)

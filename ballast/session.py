@@ -14,12 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 SQL_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
-def apply_sql_settings(spark: SparkSession) -> None:
-    """Set this package's SQL settings on a session built elsewhere."""
-    for key, value in SQL_SETTINGS.items():
-        spark.conf.set(key, value)
-
-
 def build_session(app: str = "ballast", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on; the cluster's own settings win elsewhere."""
     builder = SparkSession.builder.appName(app)
@@ -76,3 +70,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a table written aside to its place, instead of what was there."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"could not move {staged} to {path}")
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the folders that match a glob pattern, from directory listings alone."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().toString() for status in files.globStatus(target) or [] if status.isDirectory()]

@@ -9,7 +9,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.session import path_exists
+from ballast.session import folders, path_exists
 from ballast.vocabulary import DATASETS, MODEL_TYPES, TECHNIQUES
 
 RUN_KEYS = ["execution_id", "dataset", "model_type", "technique", "seed"]
@@ -17,9 +17,9 @@ SCHEMA = (
     "target int, prediction int, execution_id string, dataset string, model_type string, technique string, seed int"
 )
 RUN_SCHEMA = "execution_id string, dataset string, model_type string, technique string, seed int"
-STORED_PATH = re.compile("/".join(f"{key}=([^/]+)" for key in RUN_KEYS) + "/")
-# Fixed value: how a run is named where its keys are part of a file path.
-LEGACY_PATH = r"predictions/([^/]+)/([^/]+)/([^/]+)/([^/]+)/seed_(\d+)\.parquet$"
+STORED_PATH = re.compile("/".join(f"{key}=([^/]+)" for key in RUN_KEYS) + "$")
+# Fixed value: how a run is named where its keys are part of a file path, or of that of a folder Spark wrote.
+LEGACY_PATH = r"predictions/([^/]+)/([^/]+)/([^/]+)/([^/]+)/seed_(\d+)\.parquet(?:/[^/]+)?$"
 
 
 class ExecutionNotFound(Exception):
@@ -66,8 +66,8 @@ class PredictionStore:
         ).partitionBy(*RUN_KEYS).parquet(self.path)
 
     def runs(self) -> DataFrame:
-        """Keys of the stored runs with known codes, from the listing of files alone."""
-        found = {STORED_PATH.search(path) for path in self.read().inputFiles()}
+        """Keys of the stored runs with known codes, from the listing of folders: one for each run, files are not listed."""
+        found = [STORED_PATH.search(path) for path in folders(self.spark, "/".join([self.path, *[f"{key}=*" for key in RUN_KEYS]]))]
         keys = {tuple(map(unquote, match.groups())) for match in found if match}
         rows = [(*key[:-1], int(key[-1])) for key in sorted(keys)]
         return valid_runs(self.spark.createDataFrame(rows, RUN_SCHEMA))

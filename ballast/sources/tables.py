@@ -6,6 +6,7 @@ object stores need nothing beyond their connector.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark import StorageLevel
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballast.operators.columns import clean_features, split_xy
-from ballast.plans.features import get_transformer
-from ballast.session import path_exists
+from ballast.plans.features import FEATURE_JOBS
+from ballast.session import path_exists, publish
 
 # Columns whose type is set whatever the file looks like.
 CSV_OVERRIDES = {"lending_club": {"id": "string"}}
@@ -23,7 +24,7 @@ CSV_OVERRIDES = {"lending_club": {"id": "string"}}
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
     """A CSV file with a header; without a schema all columns are text."""
-    reader = spark.read.options(header=True, **options)
+    reader = spark.read.options(**{"header": True, **options})
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
@@ -41,9 +42,34 @@ def csv_with_overrides(spark: SparkSession, path: str, overrides: Mapping[str, s
     return scan_csv(spark, path, T.StructType(fields), **options)
 
 
-def csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, null_token: str) -> DataFrame:
-    """A CSV file in which cells that do not parse, or hold ``null_token``, are NULL."""
-    return scan_csv(spark, path, schema, nullValue=null_token, mode="PERMISSIVE")
+def csv_tolerant(
+    spark: SparkSession, path: str, schema: T.StructType, null_token: str, problem: str | None = None, **options
+) -> DataFrame:
+    """A CSV file in which cells that do not parse, or hold ``null_token``, are NULL.
+
+    With ``problem`` a column of that name tells what is wrong with a line: ``short`` or ``long`` for the
+    number of its fields, ``unparsable`` for a cell; NULL for good lines.
+    """
+    if problem is None:
+        return scan_csv(spark, path, schema, nullValue=null_token, mode="PERMISSIVE", **options)
+    line = "_line"
+    wide = T.StructType([*schema.fields, T.StructField(line, T.StringType())])
+    read = scan_csv(spark, path, wide, nullValue=null_token, mode="PERMISSIVE", columnNameOfCorruptRecord=line, **options)
+    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    fields, expected = F.size(F.split(F.col(line), outside_quotes, -1)), len(schema.fields)
+    kind = F.when(fields < expected, "short").when(fields > expected, "long").otherwise("unparsable")
+    # A cell is parsed only if its column is read: the place 1 depends on all of them, whatever is selected later.
+    first = F.pmod(F.hash(*[f"`{f.name}`" for f in schema.fields]), F.lit(1)) + 1
+    return read.withColumn(problem, F.element_at(F.array(F.when(F.col(line).isNotNull(), kind)), first)).drop(line)
+
+
+def csv_quarantine(
+    spark: SparkSession, path: str, schema: T.StructType, null_token: str, **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The good lines, the others with their ``problem``, and how many there are of each kind."""
+    read = csv_tolerant(spark, path, schema, null_token, "problem", **options)
+    counts = read.groupBy(F.coalesce("problem", F.lit("good")).alias("problem")).agg(F.count("*").alias("n"))
+    return read.where(F.col("problem").isNull()).drop("problem"), read.where(F.col("problem").isNotNull()), counts
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -93,9 +119,18 @@ class DataRepository:
         return scan_parquet(self.spark, self.interim_path(dataset))
 
     def save_final(self, dataset: str, df: DataFrame) -> None:
-        """Features and target in one table: rows have no order to align two tables by."""
+        """Features and target in one table: rows have no order to align two tables by.
+
+        The table is written aside and takes its place only if its ids are unique.
+        """
         split_xy(df)
-        write_parquet(df, self.final_path(dataset))
+        staged = f"{self.root}/data/staged/{dataset}-{uuid.uuid4().hex}.parquet"
+        write_parquet(df, staged)
+        if "row_id" in df.columns:
+            repeated = scan_parquet(self.spark, staged).groupBy("row_id").count().where("count > 1").first()
+            if repeated is not None:
+                raise ValueError(f"row_id {repeated['row_id']!r} of {dataset!r} occurs {repeated['count']} times")
+        publish(self.spark, staged, self.final_path(dataset))
 
     def is_processed(self, dataset: str) -> bool:
         """Whether the final table was written to its end."""
@@ -133,11 +168,10 @@ def process_datasets(
         try:
             if repository.is_processed(dataset) and not overwrite:
                 continue
-            transformer = get_transformer(dataset)
-            if transformer is None:
-                raise ValueError(f"no feature job for {dataset!r}")
+            if dataset not in FEATURE_JOBS:
+                raise ValueError(f"{dataset!r} is none of {sorted(FEATURE_JOBS)}")
             raw = repository.raw(dataset, (schemas or {}).get(dataset))
-            repository.save_interim(dataset, transformer(raw))
+            repository.save_interim(dataset, FEATURE_JOBS[dataset](raw))
             repository.save_final(dataset, clean_features(repository.interim(dataset)))
         except Exception as error:
             failures.append((dataset, error))

@@ -127,11 +127,20 @@ def test_corporate_job(spark):
     assert set(got[0].asDict()) == {"row_id", "ratio", "Sector_TechCo", "target"}
 
 
-def test_registry():
-    assert P.registered_datasets() == ["corporate_credit_rating", "lending_club", "taiwan_credit", "test"]
-    assert P.get_transformer("nothing") is None
-    with pytest.raises(ValueError, match="already"):
-        P.register_transformer("test")(lambda df: df)
+def test_jobs_of_all_datasets():
+    assert sorted(P.FEATURE_JOBS) == ["corporate_credit_rating", "lending_club", "taiwan_credit", "test"]
+
+
+def test_row_ids_are_unique_and_stable(spark):
+    from ballast.operators.identity import with_row_ids
+
+    rows = [("a", None), ("a", None), ("aN", ""), ("a", "N"), (None, "a"), ("", None), (None, "")] + [("same", "same")] * 40
+    got = [with_row_ids(spark.createDataFrame(rows, "x string, y string").repartition(n), "id").collect() for n in (1, 6)]
+    for found in got:
+        assert len({r.id for r in found}) == len(rows)
+    assert {(r.id, r.x, r.y) for r in got[0]} == {(r.id, r.x, r.y) for r in got[1]}
+    assert {r.id.split("#")[1] for r in got[0] if r.x == "same"} == {str(i) for i in range(1, 41)}
+    assert with_row_ids(spark.createDataFrame([], "x string"), "id").count() == 0
 
 
 def test_profile(spark):

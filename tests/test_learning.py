@@ -1,4 +1,5 @@
 import inspect
+import re
 
 import numpy as np
 import pytest
@@ -163,3 +164,73 @@ def test_queries_ask_for_the_whole_job(spark, credit, monkeypatch, name, operato
         assert asked["grid"] is None and asked["cv_folds"] == 5
     else:
         assert E.combination_grid(spark, list(asked["data"]), asked["num_seeds"], asked["excluded_models"]).count() == 17 * 5
+
+
+def test_candidates_that_differ_in_a_bound_not_reached_are_one_fit(halves):
+    grid = [{"regParam": r, "maxIter": n} for r in (1e-3, 1e-2) for n in (2000, 1, 1000)]
+    found = M.grid_search(halves[0], "svm", "baseline", 3, grid=grid, cv_folds=2)
+    assert found.fits == 2 * 2 * 2 + 1  # one of a single round and one that ends by itself, per penalty and fold, and the best
+    scores = [s for _, s in found.scores]
+    assert scores[0] == scores[2] and scores[3] == scores[5]
+    rows = halves[0].count()
+    assert [c["rows"] for c in found.counted] == [rows] * 6 and [p for p, _ in found.scores] == grid
+
+
+def test_perceptron_stops_early_and_not_under_sampled(halves):
+    train, _ = halves
+    columns = M.feature_columns(train)
+    fitted = build_estimator("mlp", "baseline", columns, 1).fit(train).stages[-1]
+    assert fitted.stopping.active and fitted.stopping.held_out == 14  # a tenth of 112 and of 28
+    assert 1 <= fitted.stopping.rounds <= 10 and fitted.stopping.iterations == min(200, 20 * fitted.stopping.rounds)
+    small = build_estimator("mlp", "random_under_sampling", columns, 1)
+    assert not small.fit(train, M.grid_for(small, [{"maxIter": 5}])[0]).stages[-1].stopping.active
+
+
+def test_slope_vanishes_only_at_the_optimum(halves):
+    from ballast.models.estimator import training_table
+    from ballast.models.optimality import steepest_slope
+
+    for technique in ("baseline", "cs_svm"):
+        estimator = build_estimator("svm", technique, M.feature_columns(halves[0]), 1)
+        stages, rows = estimator.prepare(halves[0])
+        table = training_table(rows, 10)
+        slopes = [
+            steepest_slope(estimator.copy(M.grid_for(estimator, [{"maxIter": n, "tol": 1e-9}])[0]).fit_rows([], table).stages[-1], estimator.labelled(table))
+            for n in (1, 1000)
+        ]
+        assert slopes[0] > 0.01 and slopes[1] < 1e-5
+
+
+def test_trees_do_not_depend_on_partitions(halves):
+    train, test = halves
+    estimator = build_estimator("random_forest", "baseline", M.feature_columns(train), 1)
+    small = M.grid_for(estimator, [{"numTrees": 5, "maxDepth": 4}])[0]
+    texts = [estimator.fit(train.repartition(n), small).stages[-1].toDebugString.split("\n", 1)[1] for n in (1, 9)]
+    made = [re.sub(r"-?\d+\.\d+(E-?\d+)?", lambda m: f"{float(m[0]):.9g}", t) for t in texts]  # means differ in the last digit
+    assert made[0] == made[1]
+
+
+def test_experiment_prepares_once_a_seed_and_rebalances_once_a_technique(spark, credit, tmp_path, monkeypatch):
+    from ballast.models.estimator import RebalancedClassifier
+
+    calls = {"prepare_features": [], "rebalance": []}
+    for name in calls:
+        plain = getattr(RebalancedClassifier, name)
+        monkeypatch.setattr(RebalancedClassifier, name, lambda self, t, plain=plain, name=name: (calls[name].append(self.technique), plain(self, t))[1])
+    store = PredictionStore(spark, str(tmp_path))
+    E.run_experiment(spark, {"test": credit}, store, 2, ["xgboost", "mlp"], parallelism=3)
+    assert len(calls["prepare_features"]) == 2
+    assert sorted(calls["rebalance"]) == sorted(["baseline", "smote", "random_under_sampling", "smote_tomek", "cs_svm"] * 2)
+    assert store.runs().count() == (2 * 4 + 1) * 2
+
+
+def test_lease_frees_after_the_last_use():
+    freed = []
+    lease = E.Lease(lambda: ("made", lambda: freed.append(1)), 2)
+    assert lease.value() == lease.value() == "made"
+    lease.release()
+    assert not freed
+    lease.release()
+    assert freed == [1]
+    lease.free()
+    assert freed == [1]

@@ -67,6 +67,27 @@ def test_tolerant_csv(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(None, 1.0), ("2", None), ("3", 4.5)]
 
 
+def test_lines_with_problems_are_told_apart(spark, tmp_path):
+    lines = ["a,b,c", "1,2.5,x", "2,zz,y", "3", '4,"1,5",q', "5,1.0,x,more", '6,2.0,"a,b"', ",,"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    schema = T.StructType.fromDDL("a int, b double, c string")
+    good, bad, counts = S.csv_quarantine(spark, str(tmp_path / "a.csv"), schema, "none")
+    assert sorted((r.a or 0, r.c or "") for r in good.collect()) == [(0, ""), (1, "x"), (6, "a,b")]
+    assert {r.a: r.problem for r in bad.collect()} == {2: "unparsable", 3: "short", 4: "unparsable", 5: "long"}
+    assert {r.problem: r.n for r in counts.collect()} == {"good": 3, "unparsable": 2, "short": 1, "long": 1}
+
+
+def test_final_tables_have_unique_ids(spark, tmp_path):
+    repository = S.DataRepository(spark, str(tmp_path))
+    fine = spark.createDataFrame([(1, 0.5, 0), (2, 1.5, 1)], "row_id long, v double, target int")
+    repository.save_final("test", fine)
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        repository.save_final("test", fine.unionByName(fine))
+    assert repository.is_processed("test") and S.scan_parquet(spark, repository.final_path("test")).count() == 2
+    repository.save_final("test", fine.limit(1))
+    assert S.scan_parquet(spark, repository.final_path("test")).count() == 1
+
+
 def test_processing_skips_what_is_done_and_reports_failures(spark, tmp_path):
     repository = S.DataRepository(spark, str(tmp_path))
     header = "ID,LIMIT_BAL,SEX,EDUCATION,MARRIAGE,AGE,PAY_0,BILL_AMT1,PAY_AMT1,default.payment.next.month"
@@ -116,5 +137,6 @@ def test_weights_of_unknown_classes_raise(spark):
 
     from ballast.operators.sampling import weight_expression
 
-    with pytest.raises(ValueError, match="classes"):
-        weight_expression({0: 10, 1: 2}, {"0": 1, "1": 5})
+    for rule in ({"0": 1, "1": 5}, {0: 1, 2: 5}):
+        with pytest.raises(ValueError, match="classes"):
+            weight_expression({0: 10, 1: 2}, rule)
