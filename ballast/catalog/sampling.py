@@ -13,7 +13,7 @@ from ballast.catalog.bindings import (
     labelled,
 )
 from ballast.catalog.columns import over
-from ballast.catalog.registry import query, r6, rounded
+from ballast.catalog.registry import ORACLES, query, r6, rounded
 from ballast.operators import sampling as S
 from ballast.operators.knn import knn_join, tomek_links
 from ballast.operators.splitting import count_classes, stratified_kfold, stratified_split
@@ -90,6 +90,14 @@ def _(spark, sf_dir):
     return rounded(knn_join(embeddings(spark, sf_dir), 3))
 
 
+SMALL_BLOCKS = 64  # rows of a block where a query shall have many of them
+
+
+@query("knn_join_blocks", ORACLES["knn_join"])
+def _(spark, sf_dir):
+    return rounded(knn_join(embeddings(spark, sf_dir), 3, block_rows=SMALL_BLOCKS))
+
+
 LINKS = f"""with points as ({SQL_EMBEDDINGS}), {PAIRS}, first as (select * from near where rank = 1)
 select a.row_id as low_id, b.row_id as high_id, {r6('a.distance', 'distance')} from first a
 join first b on a.neighbor_id = b.row_id and b.neighbor_id = a.row_id
@@ -101,6 +109,11 @@ def _(spark, sf_dir):
     return rounded(tomek_links(embeddings(spark, sf_dir)))
 
 
+@query("tomek_links_blocks", LINKS)
+def _(spark, sf_dir):
+    return rounded(tomek_links(embeddings(spark, sf_dir), block_rows=SMALL_BLOCKS))
+
+
 # Two numbers per event keep brute force out of reach and pruning at work.
 @query("knn_join_events")
 def _(spark, sf_dir):
@@ -165,3 +178,8 @@ FILLED = """, filled as (select cast(row_id as string) as row_id, target, x from
 )
 def _(spark, sf_dir):
     return S.smote_tomek(embeddings(spark, sf_dir), SEED).select("row_id", "target")
+
+
+@query("smote_tomek_blocks", ORACLES["smote_tomek"])
+def _(spark, sf_dir):
+    return S.smote_tomek(embeddings(spark, sf_dir), SEED, block_rows=SMALL_BLOCKS).select("row_id", "target")

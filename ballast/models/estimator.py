@@ -87,8 +87,12 @@ class RebalancedClassifier(Estimator):
         return rows.withColumn("label", F.col("target").cast("double"))
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        stages, rows = self.prepare(dataset)
-        rows = training_table(rows, len(self.columns))
+        kept = dataset.persist(StorageLevel.MEMORY_AND_DISK)  # read by every pass of the preparation
+        try:
+            stages, rows = self.prepare(kept)
+            rows = training_table(rows, len(self.columns))
+        finally:
+            kept.unpersist()
         try:
             return self.fit_rows(stages, rows)
         finally:

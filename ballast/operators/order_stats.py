@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ballast.functions.numeric import missing_to_null
@@ -110,30 +110,40 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.c", "cell.v")
 
 
+def column_summaries(df: DataFrame, columns: Sequence[str]) -> dict[int, Row]:
+    """By position of the column: counts, moments and finite extremes of its values, in one pass."""
+    v = F.col("v")
+    finite = F.abs(v) < float("inf")
+    rows = long_values(df, columns).groupBy("c").agg(
+        F.count("v").alias("n"),
+        F.count("*").alias("total"),
+        F.avg("v").alias("mean"),
+        F.var_pop("v").alias("variance"),
+        F.count_if(v == float("-inf")).alias("below"),
+        F.count_if(v == float("inf")).alias("above"),
+        F.min(F.when(finite, v)).alias("low"),
+        F.max(F.when(finite, v)).alias("high"),
+    )
+    return {r.c: r for r in rows.collect()}
+
+
 def order_statistics(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], interpolation: str = "linear"
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    interpolation: str = "linear",
+    summaries: Mapping[int, Row] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of numeric columns, missing values (NULL and NaN) ignored.
 
     The search over bucket counts serves all columns in the same round and holds no
     values, whatever the size of the table. Infinities are counted beforehand and
-    stay out of the search, because no bucket width reaches them.
+    stay out of the search, because no bucket width reaches them. ``summaries`` saves the pass
+    that finds the extremes.
     """
     values = long_values(df, columns)
-    v = F.col("v")
-    finite = F.abs(v) < float("inf")
-    ends = {
-        r.c: r
-        for r in values.groupBy("c")
-        .agg(
-            F.count("v").alias("n"),
-            F.count_if(v == float("-inf")).alias("below"),
-            F.count_if(v == float("inf")).alias("above"),
-            F.min(F.when(finite, v)).alias("low"),
-            F.max(F.when(finite, v)).alias("high"),
-        )
-        .collect()
-    }
+    finite = F.abs(F.col("v")) < float("inf")
+    ends = column_summaries(df, columns) if summaries is None else summaries
     wanted: dict[int, set[int]] = {}
     found: dict[int, dict[int, float]] = {i: {} for i in ends}
     for i, e in ends.items():

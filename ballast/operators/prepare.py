@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.numeric import missing_to_null
 from ballast.operators.columns import quoted
-from ballast.operators.order_stats import long_values, order_statistics
+from ballast.operators.order_stats import column_summaries, order_statistics
 
 
 @dataclass(frozen=True)
@@ -62,21 +62,10 @@ def fit_preparation(train: DataFrame, columns: Sequence[str]) -> Preparation:
     """Medians, then mean and deviation of the filled columns; a column without values fills with 0.
 
     The moments of a filled column follow from those of its observed values, so one
-    pass over the values gives them; the medians are searched for by counting.
+    pass over the values gives them and the extremes; the medians are searched for by counting.
     """
-    rows = {
-        r.c: r
-        for r in long_values(train, columns)
-        .groupBy("c")
-        .agg(
-            F.count("v").alias("n"),
-            F.count("*").alias("total"),
-            F.avg("v").alias("mean"),
-            F.var_pop("v").alias("variance"),
-        )
-        .collect()
-    }
-    searched = order_statistics(train, columns, [0.5])
+    rows = column_summaries(train, columns)
+    searched = order_statistics(train, columns, [0.5], summaries=rows)
     medians, means, deviations = [], [], []
     for i, c in enumerate(columns):
         row = rows.get(i)
