@@ -98,6 +98,11 @@ def _(spark, sf_dir):
     return rounded(knn_join(embeddings(spark, sf_dir), 3, block_rows=SMALL_BLOCKS))
 
 
+@query("knn_join_levels", ORACLES["knn_join"])
+def _(spark, sf_dir):
+    return rounded(knn_join(embeddings(spark, sf_dir), 3, block_rows=SMALL_BLOCKS // 4, max_pivots=4))
+
+
 LINKS = f"""with points as ({SQL_EMBEDDINGS}), {PAIRS}, first as (select * from near where rank = 1)
 select a.row_id as low_id, b.row_id as high_id, {r6('a.distance', 'distance')} from first a
 join first b on a.neighbor_id = b.row_id and b.neighbor_id = a.row_id

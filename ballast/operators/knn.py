@@ -3,7 +3,9 @@
 Rows are grouped into blocks of bounded size around pivots. Each row first meets
 its own block, which bounds how far its k-th neighbour can be; it then travels only
 to those cells whose geometry does not rule them out (triangle inequality and the
-bisecting plane between pivots). Distances are taken block by block with NumPy, and
+bisecting plane between pivots). Tables with more blocks than there may be pivots get a
+second level: cells are cut again around pivots of their own, which only the rows and
+visitors of that cell meet. Distances are taken block by block with NumPy, and
 a block emits at most k + 1 candidates per row, so pairs are never laid out.
 
 Copies of one vector are collapsed first: whichever copy asks, only the k + 1
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.functions.hashing import hash_order
+from ballast.functions.hashing import hash_order, hash_unit
 from ballast.operators.skew import HOT_FLOOR, HOT_SHARE
 from ballast.session import materialize
 
@@ -40,13 +42,15 @@ def knn_join(
     row_id: str = "row_id",
     vector: str = "x",
     block_rows: int = BLOCK_ROWS,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """``(row_id, rank, neighbor_id, distance)``: the k nearest other rows of each row.
 
     Euclidean distance; equal distances rank by id. Rows get fewer than k neighbours
-    only where the table has no more rows.
+    only where the table has no more rows. ``max_pivots`` bounds what all tasks know of
+    the first level; the second has a pivot for each block, however many there are.
     """
-    asked = nearest_lists(points, k, row_id, vector, block_rows)
+    asked = nearest_lists(points, k, row_id, vector, block_rows, max_pivots)
     others = F.filter("near", lambda c: c["id"] != F.col("row_id"))
     return asked.select("row_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "c")).select(
         F.col("row_id"),
@@ -56,7 +60,9 @@ def knn_join(
     )
 
 
-def nearest_lists(points: DataFrame, k: int, row_id: str, vector: str, block_rows: int) -> DataFrame:
+def nearest_lists(
+    points: DataFrame, k: int, row_id: str, vector: str, block_rows: int, max_pivots: int = MAX_PIVOTS
+) -> DataFrame:
     """Per row the k + 1 rows nearest to its vector, usually with the row itself: ``(row_id, near)``."""
     rows = points.select(
         F.col(row_id).alias("id"), F.transform(vector, lambda v: v.cast("double") + F.lit(0.0)).alias("x")
@@ -70,7 +76,7 @@ def nearest_lists(points: DataFrame, k: int, row_id: str, vector: str, block_row
         .withColumn("rep", F.col("ids")[0])
     )
     size = distinct.agg(F.count("*").alias("n"), F.max(F.size("ids")).alias("most")).first()
-    lists = search(assign_cells(distinct, size["n"], block_rows), k, block_rows)
+    lists = search(assign_cells(distinct, size["n"], block_rows, max_pivots), k, block_rows)
     if (size["most"] or 1) == 1:
         return lists.withColumnRenamed("rep", "row_id")
     told = materialize(distinct.select("rep", "h", "x", F.size("ids").alias("copies")).join(lists, "rep"))
@@ -94,9 +100,10 @@ def share_lists(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return told.select(F.col("id").alias("row_id"), "near")
 
 
-def assign_cells(distinct: DataFrame, n: int, block_rows: int) -> "Cells":
+def assign_cells(distinct: DataFrame, n: int, block_rows: int, max_pivots: int = MAX_PIVOTS) -> "Cells":
     """Give each vector the cell of its nearest pivot and a block within that cell."""
-    wanted = min(max(math.ceil(n / block_rows), 1), MAX_PIVOTS)
+    blocks = max(math.ceil(n / block_rows), 1)
+    wanted = min(blocks, max_pivots)
     order = hash_order("pivot", F.col("rep"))
     chosen = distinct.orderBy(order).limit(wanted).select("x").collect()
     pivots = np.array([r.x for r in chosen], dtype=np.float64)
@@ -115,13 +122,16 @@ def assign_cells(distinct: DataFrame, n: int, block_rows: int) -> "Cells":
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema.fields)
         located = distinct.mapInArrow(locate, f"{fields}, cell int, radius double")
         located = materialize(located)
-    return Cells(located, pivots, block_rows)
+    return Cells(located, pivots, block_rows, two_levels=blocks > max(wanted, 1) > 1)
 
 
 class Cells:
-    """Vectors with cell and block numbers, and the geometry of the cells."""
+    """Vectors with the numbers of their cell, its part and the block in it, and the geometry of the cells.
+
+    With two levels ``parts`` describes the parts of all cells: pivot, range of radii and number of blocks.
+    """
 
-    def __init__(self, located: DataFrame, pivots: np.ndarray, block_rows: int):
+    def __init__(self, located: DataFrame, pivots: np.ndarray, block_rows: int, two_levels: bool = False):
         stats = located.groupBy("cell").agg(
             F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
         )
@@ -132,8 +142,63 @@ class Cells:
         self.low = np.array([table.get(c, (0, 0.0, 0.0))[1] for c in range(self.count)])
         self.high = np.array([table.get(c, (0, 0.0, 0.0))[2] for c in range(self.count)])
         self.blocks = np.maximum(np.ceil(self.rows / block_rows), 1).astype(int)
-        per_cell = F.element_at(F.array(*map(F.lit, map(int, self.blocks))), F.col("cell") + 1)
-        self.vectors = located.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rep"), per_cell).cast("int"))
+        self.parts, self.groups = None, int(self.blocks.sum())
+        dealt = F.xxhash64(F.lit(7), "rep")
+        if two_levels:
+            fine, self.parts = self.cut_again(located, block_rows)
+            self.groups = self.parts.agg(F.sum("blocks")).first()[0]
+            joined = fine.join(self.parts.select("cell", "fine", "blocks"), ["cell", "fine"])
+            self.vectors = materialize(joined.withColumn("block", F.pmod(dealt, F.col("blocks")).cast("int")).drop("blocks"))
+        else:
+            per_cell = F.element_at(F.array(*map(F.lit, map(int, self.blocks))), F.col("cell") + 1)
+            self.vectors = located.withColumns({"fine": F.lit(0), "block": F.pmod(dealt, per_cell).cast("int")})
+
+    def salted(self, df: DataFrame, rows: np.ndarray, per_group: int) -> DataFrame:
+        """``df`` with a ``salt`` that splits the rows of a cell into groups of about ``per_group``."""
+        salts = F.element_at(F.array(*[F.lit(max(1, math.ceil(n / per_group))) for n in rows.tolist()]), F.col("cell") + 1)
+        return df.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), "rep"), salts).cast("int"))
+
+    def for_salts(self, df: DataFrame, rows: np.ndarray, per_group: int) -> DataFrame:
+        """``df`` repeated for every salt of its cell."""
+        salts = F.element_at(F.array(*[F.lit(max(1, math.ceil(n / per_group))) for n in rows.tolist()]), F.col("cell") + 1)
+        return df.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+    def cut_again(self, located: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+        """The vectors with their part of the cell, and the parts.
+
+        About one vector for every ``block_rows`` of a cell, drawn by hash, is the pivot of a part; a part
+        that is still larger is dealt into blocks by hash.
+        """
+        shares = F.element_at(F.array(*[F.lit(1.0 / block_rows if n > block_rows else 0.0) for n in self.rows.tolist()]), F.col("cell") + 1)
+        drawn = located.where(hash_unit(hash_order("part", F.col("rep"))) < shares)
+        size, schema = 16 * block_rows, located.schema
+        pivots = self.for_salts(drawn.select("cell", "rep", "x"), self.rows, size)
+        names = schema.names
+
+        def locate(rows: pa.Table, centers: pa.Table) -> pa.Table:
+            count = len(rows)
+            fine, radius = np.zeros(count, dtype=np.int32), rows["radius"].to_numpy()
+            if count and len(centers):
+                order = centers.sort_by("rep")
+                y = matrix(order["x"])
+                x = matrix(rows["x"])
+                fine = np.concatenate([squared_distances(x[i : i + 512], y).argmin(axis=1) for i in range(0, count, 512)]).astype(np.int32)
+                radius = np.sqrt(((x - y[fine]) ** 2).sum(axis=1))
+            return rows.select(names).append_column("fine", pa.array(fine)).append_column("near", pa.array(radius))
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spread = self.salted(located, self.rows, size)
+        groups = spread.groupBy("cell", "salt").cogroup(pivots.groupBy("cell", "salt"))
+        vectors = materialize(groups.applyInArrow(locate, f"{fields}, fine int, near double"))
+        parts = vectors.groupBy("cell", "fine").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high"))
+        place = Window.partitionBy("cell").orderBy("rep")  # the pivots of one cell
+        centers = drawn.select("cell", "x", (F.row_number().over(place) - 1).alias("fine"))
+        cells = vectors.sparkSession.createDataFrame([(c, self.pivots[c].tolist()) for c in range(self.count)], "cell int, whole array<double>")
+        parts = parts.join(centers, ["cell", "fine"], "left").join(F.broadcast(cells), "cell")  # cells: at most max_pivots rows
+        parts = parts.select(
+            "cell", "fine", F.coalesce("x", "whole").alias("x"), "low", "high", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")
+        )
+        return vectors.drop("near"), materialize(parts)
 
     def shape(self) -> tuple[np.ndarray, ...]:
         """Pivots, rows and radius range per cell: at most one row of each per pivot."""
@@ -150,23 +215,23 @@ def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
         row, place, d = best_of_block(x, x, group["ids"], k + 1)
         return candidates(group, group, row, place, d)
 
-    groups = int(cells.blocks.sum())
-    spread = vectors.repartition(tasks_for(vectors, groups), "cell", "block")
-    home = spread.groupBy("cell", "block").applyInArrow(own_block, found)
+    groups = cells.groups
+    spread = vectors.repartition(tasks_for(vectors, groups), "cell", "fine", "block")
+    home = spread.groupBy("cell", "fine", "block").applyInArrow(own_block, found)
     if groups <= 1:
         return keep_best(home, k + 1)
     home = materialize(home)
     reach = home.groupBy("rep").agg(F.count("*").alias("n"), F.max("d").alias("reach"))
     reach = reach.select("rep", F.when(F.col("n") > k, F.col("reach")).otherwise(F.lit(math.inf)).alias("reach"))
-    askers = vectors.select("rep", "x", "cell", "block").join(reach, "rep")
+    askers = vectors.select("rep", "x", "cell", "fine", "block").join(reach, "rep")
     askers = materialize(askers.repartition(tasks_for(askers, groups), "rep"))
     visits = visit_counts(askers, cells)
     # A cell with many askers is copied so that each task meets a bounded number of them.
     copies = np.maximum(np.ceil(visits / (4 * block_rows)), 1).astype(int)
-    away = travel(askers, cells, copies, id_type)
+    away = travel(askers, cells, copies, visits, block_rows, id_type)
     parts = F.element_at(F.array(*map(F.lit, map(int, copies))), F.col("cell") + 1)
     hosts = vectors.select(
-        "cell", "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "rep", "x", "ids"
+        "cell", "fine", "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "rep", "x", "ids"
     )
 
     def other_block(guests: pa.Table, residents: pa.Table) -> pa.Table:
@@ -177,7 +242,7 @@ def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
         near = d <= guests["reach"].to_numpy()[row]
         return candidates(guests, residents, row[near], place[near], d[near])
 
-    keys, tasks = ["cell", "block", "part"], tasks_for(vectors, int((cells.blocks * copies).sum()))
+    keys, tasks = ["cell", "fine", "block", "part"], tasks_for(vectors, max(groups, int((cells.blocks * copies).sum())))
     away, hosts = away.repartition(tasks, *keys), hosts.repartition(tasks, *keys)
     met = away.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(other_block, found)
     return keep_best(home.unionByName(met), k + 1)
@@ -219,8 +284,12 @@ class Geometry:
 
         Rounding only ever adds cells: every bound is lowered by the error it may carry.
         """
-        x, cell, reach = matrix(askers["x"]), askers["cell"].to_numpy(), askers["reach"].to_numpy()
+        return self.reached(matrix(askers["x"]), askers["reach"].to_numpy(), askers["cell"].to_numpy())
+
+    def reached(self, x: np.ndarray, reach: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
+        """The same for vectors of which the cell (any cell, best the nearest) need not be known."""
         square = squared_distances(x, self.pivots)
+        cell = square.argmin(axis=1) if cell is None else cell
         home = square[np.arange(len(x)), cell][:, None]
         nearest = np.sqrt(np.maximum(square - self.error, 0.0)) - self.high
         np.maximum(nearest, self.low - np.sqrt(square + self.error), out=nearest)
@@ -248,9 +317,14 @@ def visit_counts(askers: DataFrame, cells: Cells) -> np.ndarray:
     return visits
 
 
-def travel(askers: DataFrame, cells: Cells, copies: np.ndarray, id_type: str) -> DataFrame:
+def travel(
+    askers: DataFrame, cells: Cells, copies: np.ndarray, visits: np.ndarray, block_rows: int, id_type: str
+) -> DataFrame:
     """Send each vector to every block it has to visit, its own block excepted."""
     sent = askers.sparkSession.sparkContext.broadcast(cells.shape())
+    kept = ["rep", "x", "reach", "cell", "fine", "block"]
+    trip = ["rep", "x", "reach", "home_cell", "home_fine", "home_block", "cell", "part"]
+    fields = f"rep {id_type}, x array<double>, reach double, home_cell int, home_fine int, home_block int, cell int, part int"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         geometry = Geometry(*sent.value)
@@ -258,26 +332,48 @@ def travel(askers: DataFrame, cells: Cells, copies: np.ndarray, id_type: str) ->
             row, cell = np.nonzero(geometry.may_hold_nearer(batch))
             part = batch["salt"].to_numpy()[row] % copies[cell]
             trips = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [trips[c] for c in ("rep", "x", "reach", "cell", "block")]
-                + [pa.array(cell, pa.int32()), pa.array(part, pa.int32())],
-                ["rep", "x", "reach", "home_cell", "home_block", "cell", "part"],
-            )
+            yield pa.RecordBatch.from_arrays([trips[c] for c in kept] + [pa.array(cell, pa.int32()), pa.array(part, pa.int32())], trip)
 
     salted = askers.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)))
-    trips = salted.mapInArrow(
-        send,
-        f"rep {id_type}, x array<double>, reach double, home_cell int, home_block int, cell int, part int",
-    )
-    blocks = F.element_at(F.array(*map(F.lit, map(int, cells.blocks))), F.col("cell") + 1)
-    every_block = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    trips = salted.mapInArrow(send, fields)
+    if cells.parts is None:
+        blocks = F.element_at(F.array(*map(F.lit, map(int, cells.blocks))), F.col("cell") + 1)
+        trips = trips.withColumns({"fine": F.lit(0), "blocks": blocks})
+    else:
+        trips = visit_parts(trips, cells, visits, block_rows, trip, fields)
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     return (
-        trips.select("rep", "x", "reach", "home_cell", "home_block", "cell", "part", every_block)
-        .where("cell <> home_cell or block <> home_block")
-        .select("cell", "block", "part", "rep", "x", "reach")
+        trips.select(*trip, "fine", every_block)
+        .where("cell <> home_cell or fine <> home_fine or block <> home_block")
+        .select("cell", "fine", "block", "part", "rep", "x", "reach")
     )
 
 
+def visit_parts(
+    trips: DataFrame, cells: Cells, visits: np.ndarray, block_rows: int, trip: list[str], fields: str
+) -> DataFrame:
+    """The trips to a cell as trips to those of its parts that may hold a nearer row."""
+    size = 16 * block_rows
+    guides = cells.for_salts(cells.parts, visits, size)
+
+    def choose(guests: pa.Table, parts: pa.Table) -> pa.Table:
+        row, part = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(guests) and len(parts):
+            low, high = parts["low"].to_numpy(), parts["high"].to_numpy()
+            geometry = Geometry(matrix(parts["x"]), np.ones(len(parts), np.int64), low, high)
+            x, reach, met = matrix(guests["x"]), guests["reach"].to_numpy(), []
+            for start in range(0, len(x), 512):
+                near = geometry.reached(x[start : start + 512], reach[start : start + 512])
+                here, there = np.nonzero(near)
+                met.append((here + start, there))
+            row, part = (np.concatenate(m) for m in zip(*met))
+        chosen = guests.select(trip).take(pa.array(row))
+        return chosen.append_column("fine", parts["fine"].take(pa.array(part))).append_column("blocks", parts["blocks"].take(pa.array(part)))
+
+    groups = cells.salted(trips, visits, size).groupBy("cell", "salt").cogroup(guides.groupBy("cell", "salt"))
+    return groups.applyInArrow(choose, f"{fields}, fine int, blocks int")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut small enough for a (rows, pivots) matrix."""
     for batch in batches:

@@ -17,10 +17,10 @@ def brute_force(ids, x, k):
     return out
 
 
-def check(spark, ids, x, k, block_rows):
+def check(spark, ids, x, k, block_rows, **options):
     table = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in zip(ids, x)], ["row_id", "x"])
     got = {}
-    for r in knn_join(table, k, block_rows=block_rows).orderBy("row_id", "rank").collect():
+    for r in knn_join(table, k, block_rows=block_rows, **options).orderBy("row_id", "rank").collect():
         got.setdefault(r.row_id, []).append((r.distance, r.neighbor_id))
     want = brute_force(ids, x, k)
     assert set(got) == set(want)
@@ -45,6 +45,18 @@ def test_copies_and_ties(spark, block_rows):
     check(spark, [int(i) for i in rng.permutation(len(x))], x, 4, block_rows)
 
 
+@pytest.mark.parametrize("shape", ["clusters", "no structure", "ties"])
+def test_two_levels_of_pivots(spark, shape):
+    rng = np.random.default_rng(9)
+    if shape == "clusters":
+        x = np.concatenate([rng.normal(c, 0.2, (70, 3)) for c in (0.0, 4.0, 9.0)] + [rng.uniform(-2, 11, (30, 3))])
+    elif shape == "no structure":
+        x = rng.normal(size=(200, 64))
+    else:
+        x = np.concatenate([rng.integers(0, 4, (150, 3)).astype(float), np.tile([[1.0, 2.0, 3.0]], (60, 1))])
+    check(spark, [int(i) for i in rng.permutation(len(x))], x, 3, 8, max_pivots=3)
+
+
 def test_far_from_the_origin(spark):
     rng = np.random.default_rng(3)
     check(spark, list(range(150)), 1e6 + rng.normal(0, 1e-3, (150, 5)), 2, 30)
