@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.catalog.bindings import SQL_OVERLAPPING, SQL_PREDICTIONS, overlapping_predictions, predictions
-from ballast.catalog.registry import query, r6, rounded
+from ballast.catalog.registry import ORACLES, long_form, long_sql, query, r6, rounded
 from ballast.operators import metrics as M
 from ballast.plans import analysis as A
 from ballast.vocabulary import LABELS, METRIC_LABELS, METRICS, ORDERED, REAL_DATASETS
@@ -392,28 +395,28 @@ def _(spark, sf_dir):
     return rounded(by_dataset.unionByName(overall))
 
 
+EVERY = f"predictions as ({SQL_PREDICTIONS})"
+NEWEST = (
+    f"every as ({SQL_OVERLAPPING}), predictions as (select * from every"
+    " where (dataset, execution_id) in (select (dataset, max(execution_id)) from every group by dataset))"
+)
+ANALYSES = [
+    "summary_table", "tradeoff_points", "stability_boxplot", "imbalance_impact", "imbalance_points",
+    "cs_vs_resampling", "cs_vs_resampling_bars", "metrics_heatmap", "cross_dataset",
+]
+
+
+# All cells of all analyses, each with the number of its occurrences.
 @query(
     "run_all",
-    NEWEST_METRICS_SQL.rstrip()
-    + RATIO
-    + """ select 'summary_table' as analysis, count(*) as row_count from metrics
-    union all select 'tradeoff_points', count(*) from metrics
-    union all select 'stability_boxplot', count(*) from metrics
-    union all select 'imbalance_impact', count(*) from metrics where technique = 'baseline'
-    union all select 'imbalance_points', count(*) from metrics
-    union all select 'cs_vs_resampling', count(distinct (dataset, model_type, technique = 'cs_svm')) from metrics
-        where technique <> 'baseline'
-    union all select 'cs_vs_resampling_bars', count(*) from metrics
-    union all select 'metrics_heatmap', count(*) from metrics
-    union all select 'cross_dataset', count(distinct (technique, model_type)) from metrics""",
+    "select analysis, column_name, value, count(*) as n from ("
+    + " union all ".join(long_sql(ORACLES[a].replace(EVERY, NEWEST), analysis=a) for a in ANALYSES)
+    + ") group by all",
 )
 def _(spark, sf_dir):
     tables = A.run_all(overlapping_predictions(spark, sf_dir))
-    out = None
-    for name, table in tables.items():
-        counted = table.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("analysis"), "row_count")
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    cells = reduce(DataFrame.unionByName, [long_form(rounded(t), analysis=name) for name, t in tables.items()])
+    return cells.groupBy("analysis", "column_name", "value").agg(F.count("*").alias("n"))
 
 
 @query("newest_metrics", NEWEST_METRICS_SQL + f"select dataset, model_type, technique, {ROUND_MEANS} from metrics")

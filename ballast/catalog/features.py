@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ballast.catalog.bindings import (
     CORPORATE,
     SQL_CORPORATE,
@@ -12,7 +17,7 @@ from ballast.catalog.bindings import (
     taiwan_raw,
 )
 from ballast.catalog.columns import INCOME, NEW_DTI, REVOLVING, over
-from ballast.catalog.registry import query, rounded
+from ballast.catalog.registry import ORACLES, long_form, long_sql, query, rounded
 from ballast.plans.features import (
     FEATURE_JOBS,
     LENDING_RAW_NUMERIC,
@@ -121,29 +126,28 @@ def _(spark, sf_dir):
     return rounded(FEATURE_JOBS["corporate_credit_rating"](corporate_raw(spark, sf_dir)), DIGITS)
 
 
+JOB_SQL = {
+    "corporate_credit_rating": "corporate_features",
+    "lending_club": "lending_features",
+    "taiwan_credit": "taiwan_features",
+    "test": "taiwan_features",
+}
+
+
+# Every column each job makes, with its rows and how many of them hold a value.
 @query(
     "dataset_registry",
-    over(
-        SQL_LENDING,
-        ", done as (select count(*) as n from raw where loan_status in ('Charged Off', 'Fully Paid'))"
-        f", corporate as ({SQL_CORPORATE}), taiwan as ({SQL_TAIWAN})"
-        " select 'lending_club' as dataset, n as row_count from done"
-        " union all select 'taiwan_credit', count(*) from taiwan union all select 'test', count(*) from taiwan"
-        " union all select 'corporate_credit_rating', count(*) from corporate",
-    ),
+    "select dataset, column_name, count(*) as n, count(value) as present from ("
+    + " union all ".join(long_sql(ORACLES[q], dataset=d) for d, q in JOB_SQL.items())
+    + ") group by all",
 )
 def _(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     raw = {
         "lending_club": lending_raw,
         "taiwan_credit": taiwan_raw,
         "test": taiwan_raw,
         "corporate_credit_rating": corporate_raw,
     }
-    out = None
-    for dataset in FEATURE_JOBS:
-        made = raw[dataset](spark, sf_dir).transform(FEATURE_JOBS[dataset])
-        counted = made.agg(F.count("*").alias("row_count")).select(F.lit(dataset).alias("dataset"), "row_count")
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    made = [long_form(raw[d](spark, sf_dir).transform(job), dataset=d) for d, job in FEATURE_JOBS.items()]
+    cells = reduce(DataFrame.unionByName, made)
+    return cells.groupBy("dataset", "column_name").agg(F.count("*").alias("n"), F.count("value").alias("present"))

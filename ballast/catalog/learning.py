@@ -18,7 +18,7 @@ from ballast.models.estimator import training_table
 from ballast.models.optimality import steepest_slope
 from ballast.models.tuning import feature_columns, grid_search, predict, predict_proba, train_default
 from ballast.operators.splitting import stratified_split
-from ballast.plans.experiment import run_experiment, score_test_set
+from ballast.plans.experiment import run_experiment, score_test_set, train_and_store
 from ballast.session import scratch_path
 from ballast.sources.models import ModelStore
 from ballast.sources.predictions import PredictionStore
@@ -195,6 +195,16 @@ def _(spark, sf_dir):
     return found.select("row_id", "target", F.col("prediction").isin(0, 1).alias("binary"))
 
 
+@query("train_and_store", TEST.replace("{}", ", true as binary, 'random_under_sampling' as technique"))
+def _(spark, sf_dir):
+    models = ModelStore(spark, scratch_path(spark, "models"))
+    data = vectors(spark, sf_dir)
+    model_id = train_and_store(data, models, "test", "svm", "random_under_sampling", SEED)
+    technique = models.versions("test").where(F.col("id") == model_id).first()["technique"]
+    found = score_test_set(data, models, "test", model_id)
+    return found.select("row_id", "target", F.col("prediction").isin(0, 1).alias("binary"), F.lit(technique).alias("technique"))
+
+
 RUNS = f"""with raw as ({SQL_EMBEDDINGS}), ranked as (select r.*, s.seed, row_number() over (partition by s.seed, target
     order by md5(concat(cast(s.seed as varchar), ':', cast(row_id as string)))) as rn, count(*) over (partition by s.seed, target) as n
     from raw r, (select unnest(range(1, {NUM_SEEDS + 1})) as seed) s),

@@ -44,3 +44,24 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def r6(expression: str, alias: str) -> str:
     """The SQL counterpart of :func:`rounded` for one column."""
     return f"round(cast({expression} as double), 6) as {alias}"
+
+
+def long_form(df: DataFrame, **keys: str) -> DataFrame:
+    """``(keys, column_name, value)`` of every cell: numbers in ten-thousandths, everything else as its text."""
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns]
+    cell = df.select(*[F.lit(v).alias(k) for k, v in keys.items()], F.explode(F.array(*cells)).alias("cell"))
+    number = F.expr("try_cast(cell.value as double)")
+    whole = F.abs(number) < 1e14  # false for what is infinite or not a number
+    value = F.when(number.isNotNull() & whole, F.floor(number * 10000 + 0.5).cast("string")).otherwise(F.lower("cell.value"))
+    return cell.select(*keys, "cell.column_name", value.alias("value"))
+
+
+def long_sql(sql: str, **keys: str) -> str:
+    """The SQL counterpart of :func:`long_form`."""
+    named = "".join(f"'{v}' as {k}, " for k, v in keys.items())
+    number = "try_cast(cell as double)"
+    value = f"case when abs({number}) < 1e14 then cast(cast(floor({number} * 10000 + 0.5) as bigint) as varchar) else lower(cell) end"
+    return (
+        f"select {named}column_name, {value} as value"
+        f" from (select columns(*)::varchar from ({sql})) unpivot include nulls (cell for column_name in (columns(*)))"
+    )

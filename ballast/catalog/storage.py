@@ -178,14 +178,11 @@ def _(spark, sf_dir):
     return repository.size_in_bytes("test")
 
 
-@query(
-    "process_datasets",
-    over(
-        SQL_LENDING,
-        ", counted as (select count(*) as n, sum(case when loan_status = 'Charged Off' then 1 else 0 end) as positives"
-        " from raw where loan_status in ('Charged Off', 'Fully Paid')) select 'lending_club' as dataset, n, cast(positives as bigint) as positives from counted",
-    ),
-)
+LOGARITHMS = ["annual_inc", "income_to_payment_ratio", "revol_to_income_ratio"]
+FINITE = ", ".join(f"case when isinf({c}) then 'nan'::double else {c} end as {c}" for c in LOGARITHMS)
+
+
+@query("process_datasets", f"select * replace ({FINITE}) from ({LENDING_SQL})")
 def _(spark, sf_dir):
     repository = S.DataRepository(spark, scratch_path(spark, "repository"))
     raw = lending_raw(spark, sf_dir)
@@ -193,10 +190,7 @@ def _(spark, sf_dir):
     failures = S.process_datasets(repository, ["lending_club"], {"lending_club": raw.schema})
     for _, error in failures:
         raise error
-    stored = repository.training_data("lending_club")
-    return stored.agg(F.count("*").alias("n"), F.sum("target").alias("positives")).select(
-        F.lit("lending_club").alias("dataset"), "n", "positives"
-    )
+    return rounded(S.scan_parquet(spark, repository.final_path("lending_club")), 3)
 
 
 @query("export_predictions_csv", over(SQL_PREDICTIONS, "select prediction from raw"))

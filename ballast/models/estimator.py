@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params
@@ -28,6 +29,7 @@ from ballast.operators.sampling import (
 
 
 TASK_BYTES = 4 << 20  # of a training table in one task
+MAX_LEAVES = 4096  # of one tree of a forest
 
 
 class RebalancedClassifier(Estimator):
@@ -78,7 +80,7 @@ class RebalancedClassifier(Estimator):
 
     def fit_rows(self, stages: list, rows: DataFrame) -> PipelineModel:
         """Fit the classifier on prepared and rebalanced rows, best those of :func:`training_table`."""
-        return PipelineModel([*stages, self.classifier.fit(self.labelled(rows))])
+        return PipelineModel([*stages, bounded(self.classifier, rows).fit(self.labelled(rows))])
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """Prepared rows with the label and, in a cost-sensitive fit, the weight the classifier reads."""
@@ -99,6 +101,17 @@ class RebalancedClassifier(Estimator):
             rows.unpersist()
 
 
+def bounded(classifier: Estimator, rows: DataFrame) -> Estimator:
+    """A forest with at least one row in ``MAX_LEAVES`` on each leaf, so that its trees, which the driver
+    holds, do not grow with the table; any other classifier, and a forest of few rows, as it is."""
+    if not isinstance(classifier, RandomForestClassifier):
+        return classifier
+    least = -(-rows.count() // MAX_LEAVES)
+    if least <= classifier.getMinInstancesPerNode():
+        return classifier
+    return classifier.copy({classifier.minInstancesPerNode: least})
+
+
 def training_table(rows: DataFrame, width: int) -> DataFrame:
     """The rows persisted in partitions that follow from their number and ids alone.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ballast.models.classifiers import build_estimator, check_pair
 from ballast.models.estimator import training_table
-from ballast.models.tuning import TrainedModel, feature_columns, grid_search, predict
+from ballast.models.tuning import TrainedModel, feature_columns, grid_search, predict, train_default
 from ballast.operators.splitting import CV_FOLDS, stratified_split
 from ballast.sources.models import ModelStore, new_id
 from ballast.sources.predictions import PredictionStore, latest_execution_id, valid_runs
@@ -222,6 +222,22 @@ def tuned(grid: list[dict] | None = None, **options) -> Trainer:
     return train
 
 
+def train_and_store(
+    data: DataFrame,
+    models: ModelStore,
+    dataset: str,
+    model_type: str,
+    technique: str,
+    seed: int,
+    trainer: Trainer = train_default,
+    cv_folds: int = CV_FOLDS,
+) -> str:
+    """Train on the training part of the split by ``seed`` and store the model; returns its id."""
+    train, _ = parts(stratified_split(data, seed, cv_folds=cv_folds))
+    trained = trainer(train, model_type, technique, seed, feature_columns(data))
+    return models.save(trained, dataset, model_type, technique)
+
+
 def score_test_set(data: DataFrame, models: ModelStore, dataset: str, model_id: str | None = None) -> DataFrame:
     """Predictions of a stored model (by default the newest) on its own test part.
 

@@ -234,3 +234,13 @@ def test_lease_frees_after_the_last_use():
     assert freed == [1]
     lease.free()
     assert freed == [1]
+
+
+def test_leaves_of_a_forest_are_bounded(halves, monkeypatch):
+    from ballast.models import estimator as models
+
+    monkeypatch.setattr(models, "MAX_LEAVES", 4)
+    train, _ = halves
+    forest = build_estimator("random_forest", "baseline", M.feature_columns(train), 1)
+    fitted = forest.fit(train, M.grid_for(forest, [{"numTrees": 5}])[0]).stages[-1]
+    assert all(tree.numNodes <= 2 * 4 - 1 for tree in fitted.trees)
