@@ -21,7 +21,11 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+# Minutes long on any table, as they fit over a hundred models: tools/check_oracles.py runs them.
+LONG = {"grid_search", "run_experiment"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - LONG))
 def test_matches_sql(spark, duck, name):
     text, _, good = compare(spark, duck, name, QUERIES[name], ORACLES[name], SF_DIR)
     assert good, text
