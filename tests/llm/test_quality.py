@@ -272,3 +272,36 @@ def test_phrases_exact_beyond_64_bits(spark):
     with mock.patch.object(phrases, "phrase_counts", lambda *_: frame):
         row = phrases.collocations(frame).first()
     assert row["score"] == 1000 * (big - 1) * 10 * big // ((big + 1) * big)
+
+
+# --- the registered queries --------------------------------------------------------------------
+
+SF_DIR = "/root/testdata/sf0.001"
+LONG = "bigint"
+TYPES = {
+    "op11_quality_rules": {
+        **dict.fromkeys(["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], LONG),
+        "base_failed": "boolean",
+        "kept": "boolean",
+    },
+    "op12_embedding_whitening": {
+        **dict.fromkeys(["vec_id", "n", "deviation"], LONG),
+        "component": "int",
+        **dict.fromkeys(["whitened", "explained", "identity_error"], "double"),
+    },
+    "op13_phrase_collocations": {"lang": "string", "phrase": "string", **dict.fromkeys(["rank", "a", "l", "r", "n", "score"], LONG)},
+}
+
+
+@pytest.mark.parametrize("name", sorted(TYPES))
+def test_queries_return_the_agreed_columns(spark, name):
+    from ballast.llm.queries import QUERIES
+
+    found = QUERIES[name](spark, SF_DIR)
+    assert dict(found.dtypes) == TYPES[name]
+    if name == "op12_embedding_whitening":
+        rows = found.collect()
+        vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
+        assert len(rows) == 4 * vectors and {r["component"] for r in rows} == {1, 2, 3, 4}
+        assert {r["identity_error"] < 1e-4 for r in rows} == {True}
+        assert len({(r["component"], r["explained"]) for r in rows}) == 4
