@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballast.llm.columns import append_columns
+from ballast.llm.columns import append_columns, fresh
 
 Q = 12
 EDIT_RATE = 0.05
@@ -28,7 +28,9 @@ WINDOW = 200  # normalised characters, 30 to 40 words
 WINDOW_STEP = 50
 WINDOW_RATE = 0.075  # three replaced words of about five characters in a window
 PART_CHARS = 20_000_000  # characters of benchmark text in one index
-BATCH_CHARS = 1_000_000  # characters of documents hashed at a time
+BATCH_CHARS = 1_000_000  # characters of a text hashed at a time
+BATCH_POSTINGS = 500_000  # shared q-grams counted at a time
+SHIFT, LOW_BITS = 1 << 40, 42  # a band is its item and its first diagonal, shifted to be positive
 TABLE_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLANK = 32
@@ -102,7 +104,7 @@ class Index:
         self.first, self.size = first, size
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[slot(self.grams)] = True
-        lengths = np.array([len(c) for c in self.items], np.int64)
+        self.lengths = lengths = np.array([len(c) for c in self.items], np.int64)
         most = np.maximum((lengths - self.q) // self.q, 0)  # beyond it the bound says nothing
         rates = np.where(np.arange(len(lengths)) < whole, self.rate, max(self.rate, WINDOW_RATE))
         self.edits = np.minimum((rates * lengths).astype(np.int64), most)
@@ -111,48 +113,74 @@ class Index:
     def find(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(item, start, end, edits)`` of the items in one normalised text: the best place of each.
 
-        Where an item is not found whole, its best window stands for it.
+        Where an item is not found whole, its best window stands for it. Fewest edits come first, then
+        the earliest start, then the first window.
+        """
+        best: dict[int, tuple[bool, int, int, int, int]] = {}
+        for band in self.bands(codes):
+            which = band >> LOW_BITS
+            item, edits = self.owner[which], int(self.edits[which])
+            part = which != item
+            first = (band & ((1 << LOW_BITS) - 1)) * (edits + 1) - SHIFT
+            limit = edits
+            if item in best:
+                found_part, cost, start, *_ = best[item]
+                if found_part < part:
+                    continue
+                if found_part == part:  # a later place is only better with fewer edits
+                    limit = cost - 1 if first - edits > start else min(edits, cost)
+            got = align(self.items[which], codes, first, edits, limit) if limit >= 0 else None
+            if got:
+                rank = (part, got[2], got[0], which, got[1])
+                if item not in best or rank[:4] < best[item][:4]:
+                    best[item] = rank
+        return [(i, best[i][2], best[i][4], best[i][1]) for i in sorted(best)]
+
+    def bands(self, codes: np.ndarray) -> Iterator[int]:
+        """The bands that meet the bound, each as soon as all of its q-grams are counted.
+
+        What is held at a time follows from the slice and the index, not from the text.
+        """
+        keys = counts = np.array([], np.int64)
+        for near, place in self.shared(codes):
+            more, seen = self.count(near, place)
+            if len(keys):
+                more, spot = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                seen = np.bincount(spot, np.concatenate([counts, seen])).astype(np.int64)
+            which, low = more >> LOW_BITS, more & ((1 << LOW_BITS) - 1)
+            # Behind its last diagonal a band gets q-grams up to the last one of the item.
+            over = (low + 2) * (self.edits[which] + 1) - SHIFT + self.lengths[which] - self.q <= near[-1] + 1
+            yield from more[over & (seen >= self.bound[which])].tolist()
+            keys, counts = more[~over], seen[~over]
+        yield from keys[counts >= self.bound[keys >> LOW_BITS]].tolist()
+
+    def shared(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slices of ``(positions, rows of grams)`` where the text has a q-gram of the index, in order."""
+        last = len(codes) - self.q + 1 if len(self.grams) else 0
+        for begin in range(0, last, BATCH_CHARS):
+            hashes = gram_hashes(codes[begin : min(begin + BATCH_CHARS, last) + self.q - 1], self.q)
+            near = np.flatnonzero(self.table[slot(hashes)])
+            place = np.minimum(np.searchsorted(self.grams, hashes[near]), len(self.grams) - 1)
+            same = self.grams[place] == hashes[near]
+            near, place = near[same] + begin, place[same]
+            if len(near):
+                seen = np.cumsum(self.size[place])
+                cuts = np.unique(np.searchsorted(seen, np.arange(BATCH_POSTINGS, seen[-1], BATCH_POSTINGS)))
+                cuts = cuts[cuts > 0]
+                yield from zip(np.split(near, cuts), np.split(place, cuts), strict=True)
+
+    def count(self, near: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bands of two widths that overlap by one, with their shared q-grams at positions ``near``.
+
+        Any e + 1 neighbouring diagonals lie in one of them.
         """
-        if not len(self.grams):
-            return []
-        hashes = gram_hashes(codes, self.q)
-        near = np.flatnonzero(self.table[slot(hashes)])
-        return self.verify(codes, near, hashes[near])
-
-    def verify(self, codes: np.ndarray, near: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Count the shared q-grams at positions ``near`` by band, and align where the bound is met."""
-        place = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
-        same = self.grams[place] == hashes
-        near, place = near[same], place[same]
-        if not len(near):
-            return []
         size = self.size[place]
-        total = int(size.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        entry = np.repeat(self.first[place], size) + step
+        entry = np.arange(int(size.sum())) + np.repeat(self.first[place] - np.cumsum(size) + size, size)
         item = self.item[entry]
-        diagonal = np.repeat(near, size) - self.at[entry]
-        width = self.edits[item] + 1
-        # Bands of two widths that overlap by one: any e + 1 neighbouring diagonals lie in one of them.
-        low = (diagonal + (1 << 40)) // width
-        keys = np.concatenate([item * (1 << 42) + low, item * (1 << 42) + low - 1])
-        bands, counts = np.unique(keys, return_counts=True)
-        owner = bands >> 42
-        bands = bands[counts >= self.bound[owner]]
-        best: dict[int, tuple[int, int, int, int]] = {}
-        found_whole: set[int] = set()
-        for band in bands.tolist():
-            which = band >> 42  # whole items come before windows
-            item = self.owner[which]
-            if which != item and item in found_whole:
-                continue
-            first = (band & ((1 << 42) - 1)) * int(self.edits[which] + 1) - (1 << 40)
-            got = align(self.items[which], codes, first, int(self.edits[which]))
-            if got and which == item:
-                found_whole.add(item)
-            if got and (item not in best or (got[2], got[0]) < (best[item][3], best[item][1])):
-                best[item] = (item, *got)
-        return [best[i] for i in sorted(best)]
+        low = (np.repeat(near, size) - self.at[entry] + SHIFT) // (self.edits[item] + 1)
+        cells, counts = np.unique((item << LOW_BITS) + low, return_counts=True)
+        bands, spot = np.unique(np.concatenate([cells, cells - 1]), return_inverse=True)
+        return bands, np.bincount(spot, np.concatenate([counts, counts])).astype(np.int64)
 
 
 def window_starts(length: int) -> list[int]:
@@ -161,14 +189,14 @@ def window_starts(length: int) -> list[int]:
     return [*range(0, last, WINDOW_STEP), last] if last > 0 else []
 
 
-def align(item: np.ndarray, codes: np.ndarray, first: int, edits: int) -> tuple[int, int, int] | None:
+def align(item: np.ndarray, codes: np.ndarray, first: int, edits: int, limit: int) -> tuple[int, int, int] | None:
     """The cheapest occurrence of ``item`` that starts on one of the diagonals of a band.
 
-    Returns ``(start, end, edits)`` or None beyond the budget. The band spans two widths plus the
+    Returns ``(start, end, edits)`` or None beyond ``limit``, which is at most the budget ``edits``. The band spans two widths plus the
     budget on both sides; cells outside it cost more than the budget.
     """
     m, low, width = len(item), first - edits, 4 * edits + 2
-    far = edits + 1
+    far = limit + 1
     for start in range(max(first, 0), min(first + 2 * (edits + 1), len(codes) - m + 1)):
         if np.array_equal(item, codes[start : start + m]):
             return start, start + m, 0
@@ -194,11 +222,11 @@ def align(item: np.ndarray, codes: np.ndarray, first: int, edits: int) -> tuple[
         better = through < new
         cost = np.minimum(np.where(better, through, new), far)
         origin = np.where(better, new_origin[source], new_origin)
-        if cost.min() > edits:
+        if cost.min() > limit:
             return None
     end = low + m + offsets
     cost = np.where((end >= 0) & (end <= len(codes)), cost, far)
-    if cost.min() > edits:
+    if cost.min() > limit:
         return None
     j = int(np.argmin(cost))
     return int(origin[j]), int(end[j]), int(cost[j])
@@ -211,12 +239,13 @@ MATCH = T.ArrayType(
 
 def benchmark_parts(benchmark: DataFrame, key: str, text: str, part_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in parts of at most about ``part_chars`` characters each."""
-    rows = benchmark.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).dropna()
+    rows = benchmark.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).dropna(subset=["text"])
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // part_chars)) if total > part_chars else 1
     part = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
     for i in range(parts):
-        yield sorted({(r["id"], r["text"]) for r in rows.where(part == i).collect()})
+        items = {(r["id"], r["text"]) for r in rows.where(part == i).collect()}
+        yield sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def find_contamination(
@@ -236,10 +265,12 @@ def find_contamination(
     after normalisation, or if a window of ``WINDOW`` of its characters does with at most
     ``WINDOW_RATE`` edited; place and edits are then those of the best window. So a contiguous part of
     ``WINDOW + WINDOW_STEP`` characters is always found, from the start or end of an item ``WINDOW``
-    characters. Items no longer than a window are found whole only. Items with fewer than ``q`` normalised characters are too short to tell and
-    never reported; NULL texts and NULL items match nothing. Positions are code points, the end
-    exclusive. The benchmark is indexed in parts of bounded size, each broadcast and searched in
-    turn, so its size does not matter.
+    characters. Items no longer than a window are found whole only. Items with fewer than ``q`` normalised
+    characters are too short to tell and never reported; NULL texts match nothing, and an item without a
+    key is reported with a NULL one. Positions are code points, the end exclusive. A column named like
+    ``out`` is replaced, all others stay. The benchmark is indexed in parts of bounded size, each read by
+    the driver, broadcast and searched in turn: memory does not grow with it, the number of passes does.
+    Shared q-grams are counted in slices, so a text that repeats itself takes time but no more memory.
     """
     spark = documents.sparkSession
     done = documents.withColumn(out, F.array().cast(MATCH))
@@ -250,8 +281,9 @@ def find_contamination(
         items = [(i, c) for i, c in items if len(c) >= q]
         if items:
             spread = spark.sparkContext.broadcast((items, q, edit_rate))
-            found = append_columns(done, searcher(spread, text), [T.StructField("found_in_part", MATCH)])
-            done = found.withColumn(out, F.concat(out, "found_in_part")).drop("found_in_part")
+            here = fresh(done, "found_in_part")
+            found = append_columns(done, searcher(spread, text), [T.StructField(here, MATCH)])
+            done = found.withColumn(out, F.concat(f"`{out}`", f"`{here}`")).drop(here)
     return done
 
 

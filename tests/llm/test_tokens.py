@@ -1,6 +1,7 @@
 """Byte-level BPE and benchmark decontamination against exact round trips and brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,15 @@ def test_encoding_is_that_of_the_library(spark, chunk, overlap):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], list(r["ids"]), bytes(r["decoded"])) for r in got) == want
 
 
+def test_long_texts_are_cut_into_chunks_of_the_default_size(spark):
+    codec = bpe.Codec(bpe.load_ranks(PATH), PATTERN)
+    words = ["alpha ", "naïve", "日本", "😀", "\n", " 12", "don't "]
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices(words, k=n))) for i, n in enumerate((12_000, 90_000, 400_000))] + [(7, "a" * 70_000)]
+    got = {r["doc_id"]: r for r in bpe.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, PATTERN).collect()}
+    assert all(list(got[i]["ids"]) == codec.encode(t) and bytes(got[i]["decoded"]) == t.encode() for i, t in rows)
+
+
 def test_encoding_of_an_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id bigint, text string"), PATH, PATTERN).count() == 0
 
@@ -102,3 +112,39 @@ def test_parts_of_items_and_replaced_words_are_found(spark):
     got = {r["doc_id"]: r["contamination"] for r in decontaminate.find_contamination(frame, benchmark).collect()}
     assert {i: [m["item_id"] for m in got[i]] for i in got} == {**{i: [1] for i in range(5)}, 5: [2], **{20 + i: [] for i in range(5)}}
     assert got[0][0]["edits"] == 0 and docs[0][1][got[0][0]["start"] : got[0][0]["end"]] == " ".join(item)
+
+
+def test_slices_of_a_text_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    table = decontaminate.fold_table()
+    plain = lambda t: decontaminate.strip_blanks(decontaminate.normalise(t, table)[0])
+    items = [plain("".join(rng.choices("abcde ", k=k))) for k in (30, 150, 420)] + [plain("la " * 120)]
+    index = decontaminate.Index(list(range(4)), items, decontaminate.Q, decontaminate.EDIT_RATE)
+    body = ["".join(map(chr, i)) for i in items]
+    texts = [plain(f"{'ab ' * 40}{edited(rng, body[k % 4], k % 3)}{'la ' * 50}{body[2][60:330]} end") for k in range(12)]
+    want = [index.find(t) for t in texts]
+    assert all(want)
+    for chars, postings in ((100, 50), (31, 1)):
+        monkeypatch.setattr(decontaminate, "BATCH_CHARS", chars)
+        monkeypatch.setattr(decontaminate, "BATCH_POSTINGS", postings)
+        assert [index.find(t) for t in texts] == want
+
+
+def test_memory_of_a_text_that_repeats_itself():
+    table = decontaminate.fold_table()
+    index = decontaminate.Index([1], [decontaminate.normalise("la " * 119 + "la", table)[0]], decontaminate.Q, decontaminate.EDIT_RATE)
+    codes = decontaminate.normalise("la " * 20_000, table)[0]
+    tracemalloc.start()
+    assert index.find(codes) == [(0, 0, 359, 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
+def test_columns_of_the_search_and_items_without_a_key(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again"
+    frame = spark.createDataFrame([(1, text, 5, 6)], "doc_id bigint, text string, found_in_part int, Found_In_Part_ int")
+    benchmark = spark.createDataFrame([(None, text[:40]), (3, text[10:])], "item_id bigint, text string")
+    row = decontaminate.find_contamination(frame, benchmark, out="found").first()
+    assert [m["item_id"] for m in row["found"]] == [None, 3] or [m["item_id"] for m in row["found"]] == [3, None]
+    assert row[2:4] == (5, 6) and len(row) == 5
