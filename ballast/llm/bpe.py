@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
+CHUNKS_AT_ONCE = 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -157,12 +158,30 @@ def encode_documents(
                 )
 
     short = given.where(size <= chunk_chars).mapInArrow(whole, f"key {kind}, {OUT}")
-    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(chunk_chars))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text in overlapping chunks; one walk over the text, a few chunks at a time."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value = batch.column("text")[i].as_py()
+                starts = range(0, len(value), chunk_chars)
+                for at in range(0, len(starts), CHUNKS_AT_ONCE):
+                    some = starts[at : at + CHUNKS_AT_ONCE]
+                    same = batch.take(pa.array([i] * len(some))).select(["key", "row"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *same.columns,
+                            pa.array([len(value)] * len(some), pa.int32()),
+                            pa.array(some, pa.int32()),
+                            pa.array([value[s : s + chunk_chars + overlap_chars] for s in some], pa.string()),
+                        ],
+                        names=["key", "row", "whole", "start", "text"],
+                    )
+
     chunks = (
         given.where(size > chunk_chars)
-        .select("key", "text", size.alias("whole"), F.monotonically_increasing_id().alias("row"))
-        .select("key", "row", "whole", F.explode(starts).alias("start"), "text")
-        .select("key", "row", "whole", "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(chunk_chars + overlap_chars)).alias("text"))
+        .select("key", F.monotonically_increasing_id().alias("row"), "text")
+        .mapInArrow(cut, f"key {kind}, row bigint, whole int, start int, text string")
         .repartition("row", "start")
     )
 
@@ -180,10 +199,11 @@ def encode_documents(
 
     def join(group: pa.Table) -> pa.Table:
         own = codec()
-        rows = sorted(group.to_pylist(), key=lambda r: r["start"])
-        ids = stitch([tuple(np.array(r[p], np.int32) if p == "ids" else r[p] for p in PARTS) for r in rows])
+        group = group.sort_by("start")
+        ends = group.select(list(PARTS[:-1])).to_pylist()
+        ids = stitch([(*end.values(), part.values.to_numpy()) for end, part in zip(ends, group.column("ids"), strict=True)])
         if ids is None:
-            text = "".join(r["text"][:chunk_chars] for r in rows)
+            text = "".join(t.as_py()[:chunk_chars] for t in group.column("text"))
             ids = np.array(own.encode(text), np.int32)
         return pa.table(
             {
