@@ -34,6 +34,7 @@ BLOCK_ROWS = 4096
 GROUPS_PER_TASK = 64
 MAX_PIVOTS = 2048
 ROUNDING = 1e-12  # relative; thousands of times the rounding error of a sum of squares
+REACH_ROUNDING = 1e-9  # relative; distances handed in may come from another order of summing
 
 
 def knn_join(
@@ -50,9 +51,13 @@ def knn_join(
     only where the table has no more rows. ``max_pivots`` bounds what all tasks know of
     the first level; the second has a pivot for each block, however many there are.
     """
-    asked = nearest_lists(points, k, row_id, vector, block_rows, max_pivots)
+    return ranked(nearest_lists(points, k, row_id, vector, block_rows, max_pivots), k)
+
+
+def ranked(lists: DataFrame, k: int) -> DataFrame:
+    """Lists ``(row_id, near)`` as one row for each of the first ``k`` other rows."""
     others = F.filter("near", lambda c: c["id"] != F.col("row_id"))
-    return asked.select("row_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "c")).select(
+    return lists.select("row_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "c")).select(
         F.col("row_id"),
         (F.col("pos") + 1).alias("rank"),
         F.col("c.id").alias("neighbor_id"),
@@ -64,24 +69,56 @@ def nearest_lists(
     points: DataFrame, k: int, row_id: str, vector: str, block_rows: int, max_pivots: int = MAX_PIVOTS
 ) -> DataFrame:
     """Per row the k + 1 rows nearest to its vector, usually with the row itself: ``(row_id, near)``."""
-    rows = points.select(
-        F.col(row_id).alias("id"), F.transform(vector, lambda v: v.cast("double") + F.lit(0.0)).alias("x")
-    ).withColumn("h", F.xxhash64("x"))
-    first_ids = Window.partitionBy("h", "x").orderBy("id")
-    distinct = materialize(
-        rows.withColumn("_place", F.row_number().over(first_ids))
-        .where(F.col("_place") <= k + 1)
-        .groupBy("h", "x")
-        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        .withColumn("rep", F.col("ids")[0])
-    )
-    size = distinct.agg(F.count("*").alias("n"), F.max(F.size("ids")).alias("most")).first()
-    lists = search(assign_cells(distinct, size["n"], block_rows, max_pivots), k, block_rows)
-    if (size["most"] or 1) == 1:
-        return lists.withColumnRenamed("rep", "row_id")
-    told = materialize(distinct.select("rep", "h", "x", F.size("ids").alias("copies")).join(lists, "rep"))
-    single = told.where("copies = 1").select(F.col("rep").alias("row_id"), "near")
-    return single.unionByName(share_lists(rows, told.where("copies > 1").select("h", "x", "near")))
+    layout = Layout(points, k, row_id, vector, block_rows, max_pivots)
+    return layout.told(search(layout.cells, k, block_rows), layout.rows)
+
+
+class Layout:
+    """The distinct vectors of a table in their cells, for one search or for several with the same ``k``."""
+
+    def __init__(
+        self, points: DataFrame, k: int, row_id: str, vector: str, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS
+    ):
+        self.k, self.block_rows = k, block_rows
+        self.rows = points.select(
+            F.col(row_id).alias("id"), F.transform(vector, lambda v: v.cast("double") + F.lit(0.0)).alias("x")
+        ).withColumn("h", F.xxhash64("x"))
+        first_ids = Window.partitionBy("h", "x").orderBy("id")
+        self.distinct = materialize(
+            self.rows.withColumn("_place", F.row_number().over(first_ids))
+            .where(F.col("_place") <= k + 1)
+            .groupBy("h", "x")
+            .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+            .withColumn("rep", F.col("ids")[0])
+        )
+        size = self.distinct.agg(F.count("*").alias("n"), F.max(F.size("ids")).alias("most")).first()
+        self.copies = (size["most"] or 1) > 1
+        self.cells = assign_cells(self.distinct, size["n"], block_rows, max_pivots)
+
+    def told(self, lists: DataFrame, rows: DataFrame) -> DataFrame:
+        """The lists ``(rep, near)`` of vectors, handed to those of ``rows`` that hold them."""
+        if not self.copies:
+            return lists.withColumnRenamed("rep", "row_id")
+        told = materialize(self.distinct.select("rep", "h", "x", F.size("ids").alias("copies")).join(lists, "rep"))
+        single = told.where("copies = 1").select(F.col("rep").alias("row_id"), "near")
+        return single.unionByName(share_lists(rows, told.where("copies > 1").select("h", "x", "near")))
+
+    def nearest_within(self, asked: DataFrame) -> DataFrame:
+        """The lists ``(row_id, near)`` of the rows in ``asked`` only: ``(row_id, reach)``, ids unique.
+
+        ``reach`` is a distance within which the row is known to have ``k`` others, NULL where that is
+        not known; it takes the place of the meeting with the own block and decides which cells are
+        visited. It may be too small by rounding.
+        """
+        asked = asked.select(F.col("row_id").alias("id"), F.coalesce(F.nanvl("reach", F.lit(math.inf)), F.lit(math.inf)).alias("reach"))
+        rows, reach = self.rows, asked.withColumnRenamed("id", "rep")
+        if self.copies:
+            # The copies of a vector have one list; the smallest of their distances is true for all.
+            rows = self.rows.join(asked, "id")
+            reach = rows.groupBy("h", "x").agg(F.min("reach").alias("reach")).join(self.distinct, ["h", "x"]).select("rep", "reach")
+        askers = self.cells.vectors.select("rep", "x", "cell", "fine", F.lit(-1).alias("block"))  # own block not met yet
+        askers = askers.join(reach.select("rep", (F.col("reach") * (1 + REACH_ROUNDING)).alias("reach")), "rep")
+        return self.told(keep_best(visit(self.cells, askers, self.k, self.block_rows), self.k + 1), rows)
 
 
 def share_lists(rows: DataFrame, shared: DataFrame) -> DataFrame:
@@ -152,6 +189,8 @@ class Cells:
         else:
             per_cell = F.element_at(F.array(*map(F.lit, map(int, self.blocks))), F.col("cell") + 1)
             self.vectors = located.withColumns({"fine": F.lit(0), "block": F.pmod(dealt, per_cell).cast("int")})
+        self.id_type = located.schema["rep"].dataType.simpleString()
+        self.found = f"rep {self.id_type}, id {self.id_type}, d double"  # columns of candidates
 
     def salted(self, df: DataFrame, rows: np.ndarray, per_group: int) -> DataFrame:
         """``df`` with a ``salt`` that splits the rows of a cell into groups of about ``per_group``."""
@@ -207,8 +246,7 @@ class Cells:
 
 def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
     """Meet the own block, then every block that may still hold a nearer row."""
-    vectors, id_type = cells.vectors, cells.vectors.schema["rep"].dataType.simpleString()
-    found = f"rep {id_type}, id {id_type}, d double"
+    vectors, found = cells.vectors, cells.found
 
     def own_block(group: pa.Table) -> pa.Table:
         x = matrix(group["x"])
@@ -224,11 +262,19 @@ def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
     reach = home.groupBy("rep").agg(F.count("*").alias("n"), F.max("d").alias("reach"))
     reach = reach.select("rep", F.when(F.col("n") > k, F.col("reach")).otherwise(F.lit(math.inf)).alias("reach"))
     askers = vectors.select("rep", "x", "cell", "fine", "block").join(reach, "rep")
+    return keep_best(home.unionByName(visit(cells, askers, k, block_rows)), k + 1)
+
+
+def visit(cells: Cells, askers: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Candidates ``(rep, id, d)`` within the reach of each asker, from all blocks but its own."""
+    vectors, groups = cells.vectors, cells.groups
+    if cells.count == 1:
+        askers = askers.withColumn("reach", F.lit(math.inf))  # the radii of a single cell are not taken
     askers = materialize(askers.repartition(tasks_for(askers, groups), "rep"))
     visits = visit_counts(askers, cells)
     # A cell with many askers is copied so that each task meets a bounded number of them.
     copies = np.maximum(np.ceil(visits / (4 * block_rows)), 1).astype(int)
-    away = travel(askers, cells, copies, visits, block_rows, id_type)
+    away = travel(askers, cells, copies, visits, block_rows, cells.id_type)
     parts = F.element_at(F.array(*map(F.lit, map(int, copies))), F.col("cell") + 1)
     hosts = vectors.select(
         "cell", "fine", "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "rep", "x", "ids"
@@ -244,8 +290,7 @@ def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
 
     keys, tasks = ["cell", "fine", "block", "part"], tasks_for(vectors, max(groups, int((cells.blocks * copies).sum())))
     away, hosts = away.repartition(tasks, *keys), hosts.repartition(tasks, *keys)
-    met = away.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(other_block, found)
-    return keep_best(home.unionByName(met), k + 1)
+    return away.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(other_block, cells.found)
 
 
 def tasks_for(df: DataFrame, groups: int) -> int:
@@ -294,7 +339,9 @@ class Geometry:
         nearest = np.sqrt(np.maximum(square - self.error, 0.0)) - self.high
         np.maximum(nearest, self.low - np.sqrt(square + self.error), out=nearest)
         # Rows of a cell lie on their pivot's side of the plane halfway to any other pivot.
-        np.maximum(nearest, (square - home - 4 * self.error) / (2 * self.between[cell]), out=nearest)
+        between = self.between[cell]  # 0 only from a pivot to itself, where the plane tells nothing
+        beyond = np.divide(square - home - 4 * self.error, 2 * between, out=np.full(square.shape, -np.inf), where=between > 0)
+        np.maximum(nearest, beyond, out=nearest)
         return (nearest <= (reach * (1 + ROUNDING))[:, None]) & (self.rows > 0)
 
 
@@ -466,12 +513,39 @@ def tomek_links(
     target: str = "target",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Pairs of opposite class that are each other's nearest row: ``(low_id, high_id, distance)``.
+    """Pairs of opposite class that are each other's nearest row: ``(low_id, high_id, distance)``."""
+    return mutual(knn_join(points, 1, row_id, vector, block_rows), points, row_id, target)
+
+
+def tomek_links_within(
+    points: DataFrame,
+    reach: DataFrame,
+    row_id: str = "row_id",
+    vector: str = "x",
+    target: str = "target",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The links of :func:`tomek_links` where ``reach`` holds the rows of all classes but one:
+    ``(row_id, reach)``, a distance within which each of them has another row.
+
+    One end of every link is in ``reach``. Those rows search within their distance; rows of the class
+    left out search only if they came out as the nearest of one of them, no farther than that.
+    """
+    layout = Layout(points, 1, row_id, vector, block_rows)
+    if layout.cells.groups <= 1:
+        # All rows meet in one block; no distance could spare a trip.
+        return mutual(ranked(layout.told(search(layout.cells, 1, block_rows), layout.rows), 1), points, row_id, target)
+    first = materialize(ranked(layout.nearest_within(reach), 1))
+    back = first.groupBy(F.col("neighbor_id").alias("row_id")).agg(F.min("distance").alias("reach"))
+    back = back.join(reach.select("row_id"), "row_id", "left_anti")
+    return mutual(first.unionByName(ranked(layout.nearest_within(materialize(back)), 1)), points, row_id, target)
+
+
+def mutual(nearest: DataFrame, points: DataFrame, row_id: str, target: str) -> DataFrame:
+    """Pairs of opposite class that named each other.
 
-    Mutual pairs meet by grouping on the unordered pair, so each group has at most
-    two rows.
+    They meet by grouping on the unordered pair, so each group has at most two rows.
     """
-    nearest = knn_join(points, 1, row_id, vector, block_rows)
     own = points.select(F.col(row_id).alias("row_id"), F.col(target).alias("y"))
     pair = nearest.join(own, "row_id").select(
         F.least("row_id", "neighbor_id").alias("low_id"),

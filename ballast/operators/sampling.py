@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.hashing import hash_order, hash_slot, hash_unit
 from ballast.operators.columns import quoted
-from ballast.operators.knn import BLOCK_ROWS, knn_join, tomek_links
+from ballast.operators.knn import BLOCK_ROWS, knn_join, tomek_links, tomek_links_within
 from ballast.operators.skew import join_unique
 from ballast.operators.splitting import count_classes, first_ranks
 from ballast.session import materialize
@@ -75,11 +75,22 @@ def smote_samples(
     first rows in hash order. Which neighbour, and where on the segment, come from
     the hash of (seed, row, copy). Returns ``(base_id, copy, neighbor_id, fraction, x)``.
     """
+    points, near = class_neighbors(points, k, row_id, vector, block_rows)
+    return segment_points(points, near, need, seed).drop("reach")
+
+
+def class_neighbors(points: DataFrame, k: int, row_id: str, vector: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of one class as ``(row_id, x)``, and the k nearest of each."""
     points = materialize(points.select(F.col(row_id).alias("row_id"), F.col(vector).cast("array<double>").alias("x")))
     n = points.count()
     if n <= k:
         raise ValueError(f"over-sampling with {k} neighbours needs more than {k} rows, got {n}")
-    near = materialize(knn_join(points, k, block_rows=block_rows))
+    return points, materialize(knn_join(points, k, block_rows=block_rows))
+
+
+def segment_points(points: DataFrame, near: DataFrame, need: int, seed: int) -> DataFrame:
+    """The new points of :func:`smote_samples`, with ``reach``, their distance from their base."""
+    n = points.count()
     ends = points.select(F.col("row_id").alias("neighbor_id"), F.col("x").alias("end"))
     lists = (
         join_unique(near, ends, "neighbor_id")
@@ -106,8 +117,11 @@ def smote_samples(
         F.col("near")[hash_slot(digest, F.size("near")).cast("int")].alias("to"),
         hash_unit(F.substring(digest, 9, 8)).alias("fraction"),
     )
-    moved = F.zip_with("x", "to.end", lambda a, b: a + F.col("fraction") * (b - a))
-    return drawn.select("base_id", "copy", F.col("to.neighbor_id").alias("neighbor_id"), "fraction", moved.alias("x"))
+    moved = drawn.withColumn("moved", F.zip_with("x", "to.end", lambda a, b: a + F.col("fraction") * (b - a)))
+    square = F.aggregate(F.zip_with("moved", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, v: total + v)
+    return moved.select(
+        "base_id", "copy", F.col("to.neighbor_id").alias("neighbor_id"), "fraction", F.col("moved").alias("x"), F.sqrt(square).alias("reach")
+    )
 
 
 def smote(
@@ -124,26 +138,38 @@ def smote(
     Returns ``(row_id, x, target, synthetic)`` with text ids; a synthetic row is
     called ``<base>#<copy>``.
     """
-    counts = count_classes(df, target)
+    return filled_up(df, count_classes(df, target), seed, k, row_id, vector, target, block_rows)[0].drop("reach")
+
+
+def filled_up(
+    df: DataFrame, counts: Mapping[object, int], seed: int, k: int, row_id: str, vector: str, target: str, block_rows: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of :func:`smote` with ``reach``, a distance within which a new row has its base; and for each
+    class filled up the same of its own rows, ``(row_id, reach)``, the distance of the nearest in the class."""
     most = max(counts.values())
     out = df.select(
         F.col(row_id).cast("string").alias("row_id"),
         F.col(vector).cast("array<double>").alias("x"),
         F.col(target).alias("target"),
         F.lit(False).alias("synthetic"),
+        F.lit(None).cast("double").alias("reach"),
     )
+    known = []
     for label, n in sorted(counts.items()):
         if n < most:
-            made = smote_samples(df.where(quoted(target) == F.lit(label)), most - n, seed, k, row_id, vector, block_rows)
+            points, near = class_neighbors(df.where(quoted(target) == F.lit(label)), k, row_id, vector, block_rows)
+            made = segment_points(points, near, most - n, seed)
             out = out.unionByName(
                 made.select(
                     F.concat(F.col("base_id").cast("string"), F.lit("#"), F.col("copy").cast("string")).alias("row_id"),
                     "x",
                     F.lit(label).cast(df.schema[target].dataType).alias("target"),
                     F.lit(True).alias("synthetic"),
+                    "reach",
                 )
             )
-    return out
+            known.append(near.where("rank = 1").select(F.col("row_id").cast("string").alias("row_id"), F.col("distance").alias("reach")))
+    return out, known
 
 
 def clean_tomek(
@@ -156,13 +182,21 @@ def clean_tomek(
 ) -> DataFrame:
     """Drop the rows of Tomek links: both ends, or the end in the larger class."""
     links = tomek_links(df, row_id, vector, target, block_rows)
-    ends = links.select(F.explode(F.array("low_id", "high_id")).alias(row_id))
-    if remove == "majority":
-        counts = count_classes(df, target)
-        least = min(counts, key=lambda g: (counts[g], g))
-        ends = ends.join(df.where(quoted(target) != F.lit(least)).select(row_id), row_id, "left_semi")
-    elif remove != "both":
+    if remove == "both":
+        return without_ends(df, links, row_id)
+    if remove != "majority":
         raise ValueError("remove must be 'both' or 'majority'")
+    counts = count_classes(df, target)
+    least = min(counts, key=lambda g: (counts[g], g))
+    larger = df.where(quoted(target) != F.lit(least)).select(row_id)
+    return without_ends(df, links, row_id, larger)
+
+
+def without_ends(df: DataFrame, links: DataFrame, row_id: str = "row_id", among: DataFrame | None = None) -> DataFrame:
+    """The rows that no link ends in; ends not ``among`` the given ids stay."""
+    ends = links.select(F.explode(F.array("low_id", "high_id")).alias(row_id))
+    if among is not None:
+        ends = ends.join(among, row_id, "left_semi")
     return df.join(ends.distinct(), row_id, "left_anti")
 
 
@@ -175,6 +209,20 @@ def smote_tomek(
     target: str = "target",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Synthetic over-sampling, then removal of both ends of every Tomek link."""
-    filled = materialize(smote(df, seed, k, row_id, vector, target, block_rows))
-    return clean_tomek(filled, "both", block_rows=block_rows)
+    """Synthetic over-sampling, then removal of both ends of every Tomek link.
+
+    The search that over-sampling makes already tells every row of a filled class, and every new row, how far
+    its nearest can be; only those rows, and the few of the largest class that they name, search the filled
+    table. Where several classes are largest no distance is known for their rows, and all rows search.
+    """
+    counts = count_classes(df, target)
+    filled, known = filled_up(df, counts, seed, k, row_id, vector, target, block_rows)
+    filled = materialize(filled)
+    rows = filled.drop("reach")
+    if not known or len(counts) - len(known) > 1:
+        return clean_tomek(rows, "both", block_rows=block_rows)
+    reach = filled.where("synthetic").select("row_id", "reach")
+    for part in known:
+        reach = reach.unionByName(part)
+    links = tomek_links_within(rows, reach, block_rows=block_rows)
+    return without_ends(rows, links)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ballast.operators import sampling as S
 from ballast.operators import skew as K
-from ballast.operators.knn import knn_join
+from ballast.operators.knn import Layout, knn_join, ranked
 
 
 def points(spark, minority, majority, dims=3, seed=0):
@@ -88,6 +88,51 @@ def test_smote_tomek_removes_pairs(spark):
     assert counts[0] == counts[1] > 0
 
 
+CASES = {"two classes": (25, 160, 0), "three classes": (20, 110, 35), "two largest classes": (20, 90, 90), "balanced": (60, 60, 0)}
+
+
+@pytest.mark.parametrize(
+    "case, copies, block_rows",
+    [("two classes", True, 32), ("three classes", False, 64), ("three classes", True, 4096), ("two largest classes", True, 4096), ("balanced", False, 4096)],
+)
+def test_smote_tomek_equals_a_search_of_all_rows(spark, case, copies, block_rows):
+    rng = np.random.default_rng(3)
+    labels = np.repeat([1, 0, 2], CASES[case])
+    x = rng.normal(labels[:, None] * 0.4, 1, (len(labels), 2))
+    if copies:
+        x = np.round(x * 2) / 2  # equal vectors within and across classes, equal distances
+    rows = [(i, a.tolist(), int(y)) for i, (a, y) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, target int").persist()
+    filled = S.smote(df, 4)
+    everything = {r.row_id for r in S.clean_tomek(filled).collect()}
+    got = S.smote_tomek(df, 4, block_rows=block_rows).collect()
+    assert {r.row_id for r in got} == everything and len(got) == len(everything) < filled.count()
+    assert got[0].asDict().keys() == {"row_id", "x", "target", "synthetic"}
+
+
+def test_only_rows_of_filled_classes_and_those_they_name_search(spark, monkeypatch):
+    asked = []
+    nearest_within = Layout.nearest_within
+    monkeypatch.setattr(Layout, "nearest_within", lambda self, rows: asked.append(rows.count()) or nearest_within(self, rows))
+    df, _ = points(spark, 40, 400, dims=2, seed=1)
+    searches = []
+    monkeypatch.setattr(S, "knn_join", lambda p, *a, **k: searches.append(p.count()) or knn_join(p, *a, **k))
+    monkeypatch.setattr(S, "tomek_links", None)
+    S.smote_tomek(df, 2, block_rows=32).count()
+    assert searches == [40] and asked[0] == 400 and 0 < asked[1] < 200
+
+
+@pytest.mark.parametrize("max_pivots", [3, 2048])
+def test_bounded_search_equals_the_full_one(spark, max_pivots):
+    df, _ = points(spark, 200, 500, seed=6)
+    full = {(r.row_id, r["rank"]): (r.neighbor_id, r.distance) for r in knn_join(df, 2, block_rows=20).collect()}
+    reach = [(i, full[i, 2][1] * (1 + 0.1 * (i % 3))) for i in range(0, 700, 3)] + [(1, None), (2, float("nan"))]
+    layout = Layout(df, 2, "row_id", "x", 20, max_pivots)
+    got = ranked(layout.nearest_within(spark.createDataFrame(reach, "row_id long, reach double")), 2).collect()
+    assert {(r.row_id, r["rank"]): (r.neighbor_id, r.distance) for r in got} == {(i, k): full[i, k] for i, _ in reach for k in (1, 2)}
+    assert len(got) == 2 * len(reach)
+
+
 @pytest.mark.parametrize("floor", [0, 10**9])
 def test_join_of_a_hot_key(spark, monkeypatch, floor):
     monkeypatch.setattr(K, "HOT_FLOOR", floor)
