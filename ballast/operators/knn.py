@@ -1,12 +1,13 @@
 """Exact k nearest neighbours of every row, and the links between them.
 
 Rows are grouped into blocks of bounded size around pivots. Each row first meets
-its own block, which bounds how far its k-th neighbour can be; it then travels only
-to those cells whose geometry does not rule them out (triangle inequality and the
-bisecting plane between pivots). Tables with more blocks than there may be pivots get a
-second level: cells are cut again around pivots of their own, which only the rows and
-visitors of that cell meet. Distances are taken block by block with NumPy, and
-a block emits at most k + 1 candidates per row, so pairs are never laid out.
+its own block, which bounds how far its k-th neighbour can be. Blocks lie on shelves, many
+to one, and a row travels once to each shelf with a cell that the geometry does not rule out
+(triangle inequality and the bisecting plane between pivots), whatever the number of blocks
+there. Inside a task the rows met are cut into leaves with bounding boxes, and leaves beyond
+the best distances so far are passed over. Tables with more blocks than there may be pivots get a
+second level: cells are cut again around pivots of their own. Distances are taken leaf by leaf
+with NumPy, and a shelf emits at most k + 1 candidates per row, so pairs are never laid out.
 
 Copies of one vector are collapsed first: whichever copy asks, only the k + 1
 smallest ids of a vector can be among its neighbours, so a vector repeated in a
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.hashing import hash_order, hash_unit
@@ -32,6 +33,10 @@ from ballast.session import materialize
 # pruned, smaller ones less to measure where much can.
 BLOCK_ROWS = 4096
 GROUPS_PER_TASK = 64
+LEAF_ROWS = 512  # rows whose distances are taken at once inside a task
+SHELF_BYTES = 64 << 20  # of vectors on a shelf, and of those that visit it in one task
+SHELF_ROWS = 1 << 17
+SHELVES = 8  # at least so many, of at least BLOCK_ROWS rows each
 MAX_PIVOTS = 2048
 ROUNDING = 1e-12  # relative; thousands of times the rounding error of a sum of squares
 REACH_ROUNDING = 1e-9  # relative; distances handed in may come from another order of summing
@@ -118,7 +123,7 @@ class Layout:
             reach = rows.groupBy("h", "x").agg(F.min("reach").alias("reach")).join(self.distinct, ["h", "x"]).select("rep", "reach")
         askers = self.cells.vectors.select("rep", "x", "cell", "fine", F.lit(-1).alias("block"))  # own block not met yet
         askers = askers.join(reach.select("rep", (F.col("reach") * (1 + REACH_ROUNDING)).alias("reach")), "rep")
-        return self.told(keep_best(visit(self.cells, askers, self.k, self.block_rows), self.k + 1), rows)
+        return self.told(keep_best(visit(self.cells, askers, self.k), self.k + 1), rows)
 
 
 def share_lists(rows: DataFrame, shared: DataFrame) -> DataFrame:
@@ -163,10 +168,8 @@ def assign_cells(distinct: DataFrame, n: int, block_rows: int, max_pivots: int =
 
 
 class Cells:
-    """Vectors with the numbers of their cell, its part and the block in it, and the geometry of the cells.
-
-    With two levels ``parts`` describes the parts of all cells: pivot, range of radii and number of blocks.
-    """
+    """Vectors with the numbers of their cell, its part, the block in it and the shelf the block lies on,
+    and the geometry of the cells."""
 
     def __init__(self, located: DataFrame, pivots: np.ndarray, block_rows: int, two_levels: bool = False):
         stats = located.groupBy("cell").agg(
@@ -179,78 +182,102 @@ class Cells:
         self.low = np.array([table.get(c, (0, 0.0, 0.0))[1] for c in range(self.count)])
         self.high = np.array([table.get(c, (0, 0.0, 0.0))[2] for c in range(self.count)])
         self.blocks = np.maximum(np.ceil(self.rows / block_rows), 1).astype(int)
-        self.parts, self.groups = None, int(self.blocks.sum())
         dealt = F.xxhash64(F.lit(7), "rep")
         if two_levels:
-            fine, self.parts = self.cut_again(located, block_rows)
-            self.groups = self.parts.agg(F.sum("blocks")).first()[0]
-            joined = fine.join(self.parts.select("cell", "fine", "blocks"), ["cell", "fine"])
-            self.vectors = materialize(joined.withColumn("block", F.pmod(dealt, F.col("blocks")).cast("int")).drop("blocks"))
+            fine = self.cut_again(located, block_rows)
+            parts = fine.groupBy("cell", "fine").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+            parts = materialize(parts)
+            for row in parts.groupBy("cell").agg(F.sum("blocks").alias("n")).collect():
+                self.blocks[row.cell] = row.n
+            joined = fine.join(parts, ["cell", "fine"])
+            vectors = joined.withColumn("block", F.pmod(dealt, F.col("blocks")).cast("int")).drop("blocks")
         else:
-            per_cell = F.element_at(F.array(*map(F.lit, map(int, self.blocks))), F.col("cell") + 1)
-            self.vectors = located.withColumns({"fine": F.lit(0), "block": F.pmod(dealt, per_cell).cast("int")})
+            vectors = located.withColumns({"fine": F.lit(0), "block": F.pmod(dealt, per_cell(self.blocks)).cast("int")})
+        self.groups = int(self.blocks.sum())
+        self.shelf_rows = shelf_rows(int(self.rows.sum()), pivots.shape[-1], located.sparkSession.sparkContext.defaultParallelism)
+        self.first, self.shelves = shelve(self.rows, self.pivots, self.shelf_rows)
+        turn = F.pmod(F.xxhash64(F.lit(17), "fine", "block"), per_cell(self.shelves)).cast("int")
+        vectors = vectors.withColumn("shelf", per_cell(self.first) + turn)
+        self.vectors = materialize(vectors) if two_levels else vectors
         self.id_type = located.schema["rep"].dataType.simpleString()
         self.found = f"rep {self.id_type}, id {self.id_type}, d double"  # columns of candidates
 
-    def salted(self, df: DataFrame, rows: np.ndarray, per_group: int) -> DataFrame:
+    def salted(self, df: DataFrame, per_group: int) -> DataFrame:
         """``df`` with a ``salt`` that splits the rows of a cell into groups of about ``per_group``."""
-        salts = F.element_at(F.array(*[F.lit(max(1, math.ceil(n / per_group))) for n in rows.tolist()]), F.col("cell") + 1)
+        salts = per_cell(np.maximum(np.ceil(self.rows / per_group), 1))
         return df.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), "rep"), salts).cast("int"))
 
-    def for_salts(self, df: DataFrame, rows: np.ndarray, per_group: int) -> DataFrame:
+    def for_salts(self, df: DataFrame, per_group: int) -> DataFrame:
         """``df`` repeated for every salt of its cell."""
-        salts = F.element_at(F.array(*[F.lit(max(1, math.ceil(n / per_group))) for n in rows.tolist()]), F.col("cell") + 1)
+        salts = per_cell(np.maximum(np.ceil(self.rows / per_group), 1))
         return df.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
 
-    def cut_again(self, located: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-        """The vectors with their part of the cell, and the parts.
+    def cut_again(self, located: DataFrame, block_rows: int) -> DataFrame:
+        """The vectors with their part of the cell.
 
         About one vector for every ``block_rows`` of a cell, drawn by hash, is the pivot of a part; a part
         that is still larger is dealt into blocks by hash.
         """
         shares = F.element_at(F.array(*[F.lit(1.0 / block_rows if n > block_rows else 0.0) for n in self.rows.tolist()]), F.col("cell") + 1)
         drawn = located.where(hash_unit(hash_order("part", F.col("rep"))) < shares)
-        size, schema = 16 * block_rows, located.schema
-        pivots = self.for_salts(drawn.select("cell", "rep", "x"), self.rows, size)
+        size, schema = max(16 * block_rows, 4 * BLOCK_ROWS), located.schema
+        pivots = self.for_salts(drawn.select("cell", "rep", "x"), size)
         names = schema.names
 
         def locate(rows: pa.Table, centers: pa.Table) -> pa.Table:
             count = len(rows)
-            fine, radius = np.zeros(count, dtype=np.int32), rows["radius"].to_numpy()
+            fine = np.zeros(count, dtype=np.int32)
             if count and len(centers):
-                order = centers.sort_by("rep")
-                y = matrix(order["x"])
+                y = matrix(centers.sort_by("rep")["x"])
                 x = matrix(rows["x"])
                 fine = np.concatenate([squared_distances(x[i : i + 512], y).argmin(axis=1) for i in range(0, count, 512)]).astype(np.int32)
-                radius = np.sqrt(((x - y[fine]) ** 2).sum(axis=1))
-            return rows.select(names).append_column("fine", pa.array(fine)).append_column("near", pa.array(radius))
+            return rows.select(names).append_column("fine", pa.array(fine))
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spread = self.salted(located, self.rows, size)
-        groups = spread.groupBy("cell", "salt").cogroup(pivots.groupBy("cell", "salt"))
-        vectors = materialize(groups.applyInArrow(locate, f"{fields}, fine int, near double"))
-        parts = vectors.groupBy("cell", "fine").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high"))
-        place = Window.partitionBy("cell").orderBy("rep")  # the pivots of one cell
-        centers = drawn.select("cell", "x", (F.row_number().over(place) - 1).alias("fine"))
-        cells = vectors.sparkSession.createDataFrame([(c, self.pivots[c].tolist()) for c in range(self.count)], "cell int, whole array<double>")
-        parts = parts.join(centers, ["cell", "fine"], "left").join(F.broadcast(cells), "cell")  # cells: at most max_pivots rows
-        parts = parts.select(
-            "cell", "fine", F.coalesce("x", "whole").alias("x"), "low", "high", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")
-        )
-        return vectors.drop("near"), materialize(parts)
+        groups = self.salted(located, size).groupBy("cell", "salt").cogroup(pivots.groupBy("cell", "salt"))
+        return materialize(groups.applyInArrow(locate, f"{fields}, fine int"))
 
     def shape(self) -> tuple[np.ndarray, ...]:
         """Pivots, rows and radius range per cell: at most one row of each per pivot."""
         return self.pivots, self.rows, self.low, self.high
 
 
+def per_cell(values: np.ndarray) -> Column:
+    """A whole number for each cell, as a column of rows with a ``cell``."""
+    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
+
+
+def shelf_rows(n: int, width: int, cores: int) -> int:
+    """Rows of a shelf: a share of the table, so that the trips of a row do not grow with it, as far as a task holds them."""
+    shelves = max(SHELVES, math.ceil(math.sqrt(4 * cores)))
+    return max(1, min(max(math.ceil(n / shelves), BLOCK_ROWS), SHELF_ROWS, SHELF_BYTES // (8 * max(width, 1))))
+
+
+def shelve(rows: np.ndarray, pivots: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shelf and number of shelves of each cell.
+
+    Cells that lie close together share a shelf; one above ``most`` rows has several for itself.
+    """
+    first, shelves = np.zeros(len(rows), dtype=int), np.ones(len(rows), dtype=int)
+    order = np.concatenate(leaves_of(pivots, 1)) if len(rows) > 1 else np.arange(len(rows))
+    shelf, held = 0, 0
+    for c in order.tolist():
+        if held and held + rows[c] > most:
+            shelf, held = shelf + 1, 0
+        first[c], shelves[c] = shelf, max(1, math.ceil(rows[c] / most))
+        held += rows[c]
+        if shelves[c] > 1:
+            shelf, held = shelf + shelves[c], 0
+    return first, shelves
+
+
 def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
     """Meet the own block, then every block that may still hold a nearer row."""
     vectors, found = cells.vectors, cells.found
 
     def own_block(group: pa.Table) -> pa.Table:
         x = matrix(group["x"])
-        row, place, d = best_of_block(x, x, group["ids"], k + 1)
+        row, place, d = Hosts(group).nearest(x, np.full(len(x), math.inf), k + 1)
         return candidates(group, group, row, place, d)
 
     groups = cells.groups
@@ -262,35 +289,68 @@ def search(cells: Cells, k: int, block_rows: int) -> DataFrame:
     reach = home.groupBy("rep").agg(F.count("*").alias("n"), F.max("d").alias("reach"))
     reach = reach.select("rep", F.when(F.col("n") > k, F.col("reach")).otherwise(F.lit(math.inf)).alias("reach"))
     askers = vectors.select("rep", "x", "cell", "fine", "block").join(reach, "rep")
-    return keep_best(home.unionByName(visit(cells, askers, k, block_rows)), k + 1)
+    return keep_best(home.unionByName(visit(cells, askers, k)), k + 1)
 
 
-def visit(cells: Cells, askers: DataFrame, k: int, block_rows: int) -> DataFrame:
+def visit(cells: Cells, askers: DataFrame, k: int) -> DataFrame:
     """Candidates ``(rep, id, d)`` within the reach of each asker, from all blocks but its own."""
-    vectors, groups = cells.vectors, cells.groups
-    if cells.count == 1:
-        askers = askers.withColumn("reach", F.lit(math.inf))  # the radii of a single cell are not taken
-    askers = materialize(askers.repartition(tasks_for(askers, groups), "rep"))
-    visits = visit_counts(askers, cells)
-    # A cell with many askers is copied so that each task meets a bounded number of them.
-    copies = np.maximum(np.ceil(visits / (4 * block_rows)), 1).astype(int)
-    away = travel(askers, cells, copies, visits, block_rows, cells.id_type)
-    parts = F.element_at(F.array(*map(F.lit, map(int, copies))), F.col("cell") + 1)
-    hosts = vectors.select(
-        "cell", "fine", "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "rep", "x", "ids"
+    vectors, most = cells.vectors, cells.shelf_rows
+    askers = materialize(with_trips(askers.repartition(tasks_for(askers, cells.groups), "rep"), cells))
+    trips = askers.withColumn("shelf", F.explode("shelves")).drop("shelves")
+    # A shelf with many askers is copied so that each task meets a bounded number of them.
+    visits = {r.shelf: r.n for r in trips.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+    visited = [(shelf, math.ceil(n / most)) for shelf, n in sorted(visits.items())]
+    table = vectors.sparkSession.createDataFrame(visited, "shelf int, copies int")  # a row for each shelf
+    part = F.pmod(F.xxhash64(F.lit(11), "rep"), F.col("copies")).cast("int").alias("part")
+    away = trips.join(F.broadcast(table), "shelf").select("shelf", part, "rep", "x", "reach", "cell", "fine", "block")
+    hosts = vectors.join(F.broadcast(table), "shelf").select(
+        "shelf", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "x", "ids", "cell", "fine", "block"
     )
 
-    def other_block(guests: pa.Table, residents: pa.Table) -> pa.Table:
+    def other_blocks(guests: pa.Table, residents: pa.Table) -> pa.Table:
         if not len(guests) or not len(residents):
             nothing = np.empty(0, dtype=np.int64)
             return candidates(guests, residents, nothing, nothing, np.empty(0))
-        row, place, d = best_of_block(matrix(guests["x"]), matrix(residents["x"]), residents["ids"], k + 1)
-        near = d <= guests["reach"].to_numpy()[row]
-        return candidates(guests, residents, row[near], place[near], d[near])
+        met = Hosts(residents, block_numbers(residents))
+        row, place, d = met.nearest(matrix(guests["x"]), guests["reach"].to_numpy(), k + 1, block_numbers(guests))
+        return candidates(guests, residents, row, place, d)
 
-    keys, tasks = ["cell", "fine", "block", "part"], tasks_for(vectors, max(groups, int((cells.blocks * copies).sum())))
+    keys, groups = ["shelf", "part"], max(1, sum(copies for _, copies in visited))
+    tasks = max(groups, min(4 * groups, 512))  # where groups are few, hashing would put several into one task
     away, hosts = away.repartition(tasks, *keys), hosts.repartition(tasks, *keys)
-    return away.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(other_block, cells.found)
+    return away.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(other_blocks, cells.found)
+
+
+def with_trips(askers: DataFrame, cells: Cells) -> DataFrame:
+    """The askers with the ``shelves`` they have to visit; a cell that is one block is not visited from that block."""
+    sent = askers.sparkSession.sparkContext.broadcast((*cells.shape(), cells.first, cells.shelves, cells.blocks))
+    kept = ["rep", "x", "reach", "cell", "fine", "block"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *shape, first, shelves, blocks = sent.value
+        geometry = Geometry(*shape) if len(first) > 1 else None  # the radii of a single cell are not taken
+        several = int((first + shelves).max())
+        for batch in pieces(batches):
+            near = np.ones((len(batch), 1), dtype=bool) if geometry is None else geometry.may_hold_nearer(batch)
+            home, block = batch["cell"].to_numpy(), batch["block"].to_numpy()
+            alone = np.flatnonzero((block >= 0) & (blocks[home] == 1))
+            near[alone, home[alone]] = False
+            row, cell = np.nonzero(near)
+            times = shelves[cell]
+            turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            trips = np.unique(np.repeat(row, times) * several + np.repeat(first[cell], times) + turn)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(trips // several, minlength=len(batch)))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(trips % several, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), lists], [*kept, "shelves"])
+
+    fields = f"rep {cells.id_type}, x array<double>, reach double, cell int, fine int, block int, shelves array<int>"
+    return askers.select(*kept).mapInArrow(choose, fields).where(F.size("shelves") > 0)
+
+
+def block_numbers(rows: pa.Table) -> np.ndarray:
+    """One number for cell, part and block; -1 where a row has not met its block."""
+    cell, fine, block = (rows[c].to_numpy().astype(np.int64) for c in ("cell", "fine", "block"))
+    return np.where(block < 0, -1, (cell << 52) | (fine << 26) | block)
 
 
 def tasks_for(df: DataFrame, groups: int) -> int:
@@ -345,82 +405,6 @@ class Geometry:
         return (nearest <= (reach * (1 + ROUNDING))[:, None]) & (self.rows > 0)
 
 
-def visit_counts(askers: DataFrame, cells: Cells) -> np.ndarray:
-    """How many vectors will visit each cell."""
-    sent = askers.sparkSession.sparkContext.broadcast(cells.shape())
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        geometry = Geometry(*sent.value)
-        total = np.zeros(len(geometry.rows), dtype="int64")
-        for batch in pieces(batches):
-            total += geometry.may_hold_nearer(batch).sum(axis=0)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit])], ["cell", "n"])
-
-    totals = askers.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    visits = np.zeros(cells.count, dtype=np.int64)
-    for row in totals:
-        visits[row.cell] = row.n
-    return visits
-
-
-def travel(
-    askers: DataFrame, cells: Cells, copies: np.ndarray, visits: np.ndarray, block_rows: int, id_type: str
-) -> DataFrame:
-    """Send each vector to every block it has to visit, its own block excepted."""
-    sent = askers.sparkSession.sparkContext.broadcast(cells.shape())
-    kept = ["rep", "x", "reach", "cell", "fine", "block"]
-    trip = ["rep", "x", "reach", "home_cell", "home_fine", "home_block", "cell", "part"]
-    fields = f"rep {id_type}, x array<double>, reach double, home_cell int, home_fine int, home_block int, cell int, part int"
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        geometry = Geometry(*sent.value)
-        for batch in pieces(batches):
-            row, cell = np.nonzero(geometry.may_hold_nearer(batch))
-            part = batch["salt"].to_numpy()[row] % copies[cell]
-            trips = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([trips[c] for c in kept] + [pa.array(cell, pa.int32()), pa.array(part, pa.int32())], trip)
-
-    salted = askers.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)))
-    trips = salted.mapInArrow(send, fields)
-    if cells.parts is None:
-        blocks = F.element_at(F.array(*map(F.lit, map(int, cells.blocks))), F.col("cell") + 1)
-        trips = trips.withColumns({"fine": F.lit(0), "blocks": blocks})
-    else:
-        trips = visit_parts(trips, cells, visits, block_rows, trip, fields)
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    return (
-        trips.select(*trip, "fine", every_block)
-        .where("cell <> home_cell or fine <> home_fine or block <> home_block")
-        .select("cell", "fine", "block", "part", "rep", "x", "reach")
-    )
-
-
-def visit_parts(
-    trips: DataFrame, cells: Cells, visits: np.ndarray, block_rows: int, trip: list[str], fields: str
-) -> DataFrame:
-    """The trips to a cell as trips to those of its parts that may hold a nearer row."""
-    size = 16 * block_rows
-    guides = cells.for_salts(cells.parts, visits, size)
-
-    def choose(guests: pa.Table, parts: pa.Table) -> pa.Table:
-        row, part = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(guests) and len(parts):
-            low, high = parts["low"].to_numpy(), parts["high"].to_numpy()
-            geometry = Geometry(matrix(parts["x"]), np.ones(len(parts), np.int64), low, high)
-            x, reach, met = matrix(guests["x"]), guests["reach"].to_numpy(), []
-            for start in range(0, len(x), 512):
-                near = geometry.reached(x[start : start + 512], reach[start : start + 512])
-                here, there = np.nonzero(near)
-                met.append((here + start, there))
-            row, part = (np.concatenate(m) for m in zip(*met))
-        chosen = guests.select(trip).take(pa.array(row))
-        return chosen.append_column("fine", parts["fine"].take(pa.array(part))).append_column("blocks", parts["blocks"].take(pa.array(part)))
-
-    groups = cells.salted(trips, visits, size).groupBy("cell", "salt").cogroup(guides.groupBy("cell", "salt"))
-    return groups.applyInArrow(choose, f"{fields}, fine int, blocks int")
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut small enough for a (rows, pivots) matrix."""
     for batch in batches:
@@ -454,50 +438,127 @@ def measured(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) ->
     return out
 
 
-def best_of_block(
-    x: np.ndarray, y: np.ndarray, ids: pa.Array | pa.ChunkedArray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest rows of ``y`` for each row of ``x``; each ``y`` stands for all its ids.
+def leaves_of(y: np.ndarray, most: int) -> list[np.ndarray]:
+    """Positions of the rows in leaves of at most ``most``, halved along their widest side; neighbours in the list lie close."""
+    leaves, open_parts = [], [np.arange(len(y))]
+    while open_parts:
+        part = open_parts.pop()
+        if len(part) <= most:
+            leaves.append(part)
+            continue
+        sides = y[part]
+        side = sides[:, (sides.max(axis=0) - sides.min(axis=0)).argmax()]
+        half = np.argpartition(side, len(part) // 2)
+        open_parts += [part[half[len(part) // 2 :]], part[half[: len(part) // 2]]]
+    return leaves
+
+
+class Hosts:
+    """Rows that others meet in one task, in leaves with their bounding boxes; each row stands for all its ids."""
+
+    def __init__(self, rows: pa.Table, blocks: np.ndarray | None = None):
+        ids = whole(rows["ids"])
+        y, lengths = matrix(rows["x"]), pc.list_value_length(ids).to_numpy()
+        # Equal distances rank by id, whatever the type of the id.
+        self.id_order = pc.rank(ids.flatten(), tiebreaker="dense").to_numpy().astype(np.int64)
+        first = np.cumsum(lengths) - lengths
+        leaves = leaves_of(y, LEAF_ROWS)
+        self.low = np.array([y[at].min(axis=0) for at in leaves])
+        self.high = np.array([y[at].max(axis=0) for at in leaves])
+        self.leaves = [(y[at], lengths[at], first[at], None if blocks is None else blocks[at]) for at in leaves]
+
+    def nearest(
+        self, x: np.ndarray, reach: np.ndarray, k: int, blocks: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest ids for each row of ``x``, within its reach and not of its own block.
+
+        Returns row of ``x``, place in the flattened ids, and distance. A leaf is met by the rows whose
+        k-th distance so far reaches its box, the leaf closest to a row first.
+        """
+        out = []
+        for start in range(0, len(x), 4096):
+            part = slice(start, start + 4096)
+            best = Best(x[part], reach[part], k, None if blocks is None else blocks[part])
+            away = self.box_distances(best.x)
+            closest = away.argmin(axis=1)
+            for leaf in np.unique(closest).tolist():
+                self.meet(leaf, best, np.flatnonzero(closest == leaf))
+            away[np.arange(len(away)), closest] = math.nan  # not below any reach
+            for leaf in range(len(self.leaves)):
+                self.meet(leaf, best, np.flatnonzero(away[:, leaf] <= best.reach * (1 + ROUNDING)))
+            row, slot = np.nonzero(best.place >= 0)
+            out.append((start + row, best.place[row, slot], best.d[row, slot]))
+        return tuple(np.concatenate(parts) for parts in zip(*out))
+
+    def box_distances(self, x: np.ndarray) -> np.ndarray:
+        """How far each row is from each box at least."""
+        square = np.zeros((len(x), len(self.leaves)))
+        for i in range(x.shape[1]):
+            v = x[:, i : i + 1]
+            square += np.maximum(np.maximum(self.low[:, i] - v, v - self.high[:, i]), 0.0) ** 2
+        return np.sqrt(square) * (1 - ROUNDING)
+
+    def meet(self, leaf: int, best: "Best", rows: np.ndarray) -> None:
+        """Matrix products shortlist candidates within their rounding error; only the shortlist is measured exactly."""
+        y, lengths, first, blocks = self.leaves[leaf]
+        k = best.k
+        for start in range(0, len(rows), 512):
+            asked = rows[start : start + 512]
+            x, reach = best.x[asked], best.reach[asked]
+            rough, error = squared_distances(x, y), rounding_error(x, y)
+            if blocks is not None and best.blocks is not None:
+                own = np.flatnonzero(np.isin(best.blocks[asked], blocks))
+                rough[own] = np.where(best.blocks[asked[own]][:, None] == blocks, math.inf, rough[own])
+            cut = reach**2 * (1 + ROUNDING) + 2 * error
+            near = (rough <= cut[:, None]) & (rough < math.inf)
+            if len(y) > k and np.count_nonzero(near) > 4 * k * len(asked):
+                cut = np.minimum(cut, np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error)
+                near &= rough <= cut[:, None]
+            row, col = np.nonzero(near)
+            if not len(row):
+                continue
+            d = measured(x, y, row, col)
+            # The k-th distance decides before ids are laid out, ties included.
+            order = np.lexsort((d, row))
+            row, col, d = row[order], col[order], d[order]
+            count = np.bincount(row, minlength=len(asked))
+            begin = np.cumsum(count) - count
+            keep = d <= np.minimum(d[begin + np.minimum(count, k) - 1], reach)[row]
+            row, col, d = row[keep], col[keep], d[keep]
+            times = lengths[col]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            best.add(asked[np.repeat(row, times)], np.repeat(first[col], times) + within, np.repeat(d, times), self.id_order)
+
+
+class Best:
+    """The k best ids so far of each row, and how far a better one may be."""
+
+    def __init__(self, x: np.ndarray, reach: np.ndarray, k: int, blocks: np.ndarray | None):
+        self.x, self.reach, self.k, self.blocks = x, reach.copy(), k, blocks
+        self.d, self.place = np.full((len(x), k), math.inf), np.full((len(x), k), -1, dtype=np.int64)
+
+    def add(self, row: np.ndarray, place: np.ndarray, d: np.ndarray, id_order: np.ndarray) -> None:
+        if not len(row):
+            return
+        changed = np.unique(row)
+        held, slot = np.nonzero(self.place[changed] >= 0)
+        row = np.concatenate([row, changed[held]])
+        place = np.concatenate([place, self.place[changed[held], slot]])
+        d = np.concatenate([d, self.d[changed[held], slot]])
+        order = np.lexsort((id_order[place], d, row))
+        row, place, d = row[order], place[order], d[order]
+        count = np.bincount(row, minlength=len(self.x))
+        slot = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        keep = slot < self.k
+        self.d[row[keep], slot[keep]], self.place[row[keep], slot[keep]] = d[keep], place[keep]
+        self.reach[changed] = np.minimum(self.reach[changed], self.d[changed, self.k - 1])
+
 
-    Returns row of ``x``, place in the flattened ids, and distance. Matrix products
-    shortlist candidates within their rounding error, and only the shortlist is
-    measured exactly.
-    """
-    ids = whole(ids)
-    lengths = pc.list_value_length(ids).to_numpy()
-    first = np.cumsum(lengths) - lengths
-    # Equal distances rank by id, whatever the type of the id.
-    id_order = pc.rank(ids.flatten(), tiebreaker="dense").to_numpy()
+def rounding_error(x: np.ndarray, y: np.ndarray) -> float:
+    """Bound of the error of a squared distance by matrix product."""
     center = y.mean(axis=0)
     widest = max(((x - center) ** 2).sum(axis=1).max(), ((y - center) ** 2).sum(axis=1).max())
-    error = ROUNDING * (1 + x.shape[1]) * widest
-    out = []
-    for start in range(0, len(x), 512):
-        part = x[start : start + 512]
-        rough = squared_distances(part, y)
-        if len(y) > k:
-            cut = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error
-            row, col = np.nonzero(rough <= cut[:, None])
-        else:
-            row, col = np.indices(rough.shape).reshape(2, -1)
-        d = measured(part, y, row, col)
-        # The k-th distance decides before ids are laid out, ties included.
-        order = np.lexsort((d, row))
-        row, col, d = row[order], col[order], d[order]
-        count = np.bincount(row, minlength=len(part))
-        begin = np.cumsum(count) - count
-        keep = d <= d[begin + np.minimum(count, k) - 1][row]
-        row, col, d = row[keep], col[keep], d[keep]
-        times = lengths[col]
-        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        row, d, place = np.repeat(row, times), np.repeat(d, times), np.repeat(first[col], times) + within
-        order = np.lexsort((id_order[place], d, row))
-        row, d, place = row[order], d[order], place[order]
-        count = np.bincount(row, minlength=len(part))
-        begin = np.cumsum(count) - count
-        keep = np.arange(len(row)) - begin[row] < k
-        out.append((start + row[keep], place[keep], d[keep]))
-    return tuple(np.concatenate(parts) for parts in zip(*out))
+    return ROUNDING * (1 + x.shape[1]) * widest
 
 
 def candidates(askers: pa.Table, hosts: pa.Table, row: np.ndarray, place: np.ndarray, d: np.ndarray) -> pa.Table:

@@ -4,6 +4,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ballast.operators.knn import knn_join, tomek_links
 
@@ -57,6 +58,34 @@ def test_two_levels_of_pivots(spark, shape):
     check(spark, [int(i) for i in rng.permutation(len(x))], x, 3, 8, max_pivots=3)
 
 
+@pytest.mark.parametrize("max_pivots", [2048, 4])
+def test_trips_do_not_grow_with_the_number_of_blocks(spark, max_pivots):
+    """Without structure every block may hold a neighbour, but a row is sent once to each shelf."""
+    import ballast.operators.knn as knn
+
+    x = np.random.default_rng(10).normal(size=(600, 64))
+    table = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "row_id long, x array<double>")
+    cells = knn.Layout(table, 3, "row_id", "x", 8, max_pivots).cells
+    assert cells.groups >= 75
+    askers = cells.vectors.select("rep", "x", "cell", "fine", "block", F.lit(np.inf).alias("reach"))
+    trips = knn.with_trips(askers, cells).agg(F.sum(F.size("shelves"))).first()[0]
+    assert 600 <= trips <= 600 * 8
+
+
+@pytest.mark.parametrize("shape", ["many shelves", "copies"])
+def test_rows_on_many_shelves(spark, monkeypatch, shape):
+    import ballast.operators.knn as knn
+
+    monkeypatch.setattr(knn, "SHELF_ROWS", 25)
+    monkeypatch.setattr(knn, "LEAF_ROWS", 6)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(220, 3))
+    if shape == "copies":
+        x = np.concatenate([rng.integers(0, 4, (160, 3)).astype(float), np.tile([[1.0, 2.0, 3.0]], (60, 1))])
+    for max_pivots in (2048, 3):
+        check(spark, [int(i) for i in rng.permutation(len(x))], x, 3, 8, max_pivots=max_pivots)
+
+
 def test_far_from_the_origin(spark):
     rng = np.random.default_rng(3)
     check(spark, list(range(150)), 1e6 + rng.normal(0, 1e-3, (150, 5)), 2, 30)
