@@ -143,6 +143,30 @@ def test_row_ids_are_unique_and_stable(spark):
     assert with_row_ids(spark.createDataFrame([], "x string"), "id").count() == 0
 
 
+def test_rows_that_occur_once_are_not_joined(spark):
+    from ballast.operators.identity import row_digest, with_row_ids
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "a int, b string")
+    named = with_row_ids(df, "id")
+    assert "Join" not in named._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in named.collect()} == {tuple(r) for r in df.withColumn("id", row_digest(["a", "b"])).collect()}
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_row_ids_whatever_is_told_of_repeats(spark, monkeypatch, sent):
+    """Digests that share their short form are told apart, with few repeats and with many."""
+    from ballast.operators import identity
+
+    df = spark.createDataFrame([(i % 40,) for i in range(60)], "a int").repartition(3)
+    monkeypatch.setattr(identity, "SENT_KEYS", sent)
+    monkeypatch.setattr(identity.F, "xxhash64", lambda c: F.pmod(F.crc32(c.cast("binary")), F.lit(7)))
+    got = identity.with_row_ids(df, "id").collect()
+    plain = {r.a: r.id for r in df.distinct().withColumn("id", identity.row_digest(["a"])).collect()}
+    assert sorted((r.a, r.id) for r in got) == sorted(
+        (a, f"{d}#{i}") if a < 20 else (a, d) for a, d in plain.items() for i in ((1, 2) if a < 20 else (1,))
+    )
+
+
 def test_profile(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", NAN), ("a", None), ("a", 4.0)], "k string, v double")
     assert {(r.k, r.n, r.share) for r in O.value_share(df, "k").collect()} == {("a", 3, 0.75), ("b", 1, 0.25)}
