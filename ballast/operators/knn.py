@@ -459,6 +459,8 @@ class Hosts:
     def __init__(self, rows: pa.Table, blocks: np.ndarray | None = None):
         ids = whole(rows["ids"])
         y, lengths = matrix(rows["x"]), pc.list_value_length(ids).to_numpy()
+        if not np.isfinite(y).all():
+            raise ValueError("vectors hold missing or infinite values")
         # Equal distances rank by id, whatever the type of the id.
         self.id_order = pc.rank(ids.flatten(), tiebreaker="dense").to_numpy().astype(np.int64)
         first = np.cumsum(lengths) - lengths

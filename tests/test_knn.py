@@ -96,6 +96,12 @@ def test_fewer_rows_than_k(spark):
     assert sorted(map(tuple, knn_join(table, 3).collect())) == [(1, 1, 2, 1.0), (2, 1, 1, 1.0)]
 
 
+def test_missing_values_raise(spark):
+    rows = [(i, [float(i), None if i == 7 else 1.0]) for i in range(30)]
+    with pytest.raises(Exception, match="missing or infinite"):
+        knn_join(spark.createDataFrame(rows, "row_id long, x array<double>"), 2).collect()
+
+
 def test_text_ids(spark):
     rng = np.random.default_rng(4)
     check(spark, [f"r{i:03d}" for i in range(80)], rng.normal(size=(80, 2)), 2, 20)
