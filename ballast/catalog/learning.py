@@ -7,6 +7,8 @@ from any fit: linear models lie where their objective is flat, probabilities sum
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,14 +135,21 @@ select technique, technique <> 'random_under_sampling' as active,
     case when technique = 'random_under_sampling' then 0 else sum(floor(0.1 * n + 0.5)) end::bigint as held_out from filled group by technique"""
 
 
-# From fitted perceptrons: whether each watched a hold-out, and of how many rows.
+# From fitted perceptrons: whether each watched a hold-out, and of how many rows. The fits run side by side, as
+# each waits for the driver between its passes.
 @query("technique_adjust", ADJUSTED)
 def _(spark, sf_dir):
-    train, _ = parts(spark, sf_dir)
-    rows = []
-    for technique in ("baseline", "smote", "random_under_sampling"):
+    train, techniques = parts(spark, sf_dir)[0].persist(), ("baseline", "smote", "random_under_sampling")
+
+    def adjusted(technique: str) -> tuple:
         stopping = train_default(train, "mlp", technique, SEED).model.stages[-1].stopping
-        rows.append((technique, stopping.active, stopping.held_out))
+        return technique, stopping.active, stopping.held_out
+
+    try:
+        with ThreadPool(len(techniques)) as pool:
+            rows = pool.map(adjusted, techniques, chunksize=1)
+    finally:
+        train.unpersist()
     return spark.createDataFrame(rows, "technique string, active boolean, held_out bigint")
 
 

@@ -89,12 +89,15 @@ class RebalancedClassifier(Estimator):
         return rows.withColumn("label", F.col("target").cast("double"))
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        kept = dataset.persist(StorageLevel.MEMORY_AND_DISK)  # read by every pass of the preparation
+        level = dataset.storageLevel  # a table the caller holds stays held: other fits may be reading it
+        own = not (level.useMemory or level.useDisk)
+        kept = dataset.persist(StorageLevel.MEMORY_AND_DISK) if own else dataset  # read by every pass of the preparation
         try:
             stages, rows = self.prepare(kept)
             rows = training_table(rows, len(self.columns))
         finally:
-            kept.unpersist()
+            if own:
+                kept.unpersist()
         try:
             return self.fit_rows(stages, rows)
         finally:

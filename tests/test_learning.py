@@ -1,5 +1,7 @@
 import inspect
 import re
+import threading
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -42,6 +44,31 @@ def test_linear_learns_with_every_technique(halves, technique):
     assert scores.TP + scores.TN + scores.FP + scores.FN == test.count()
 
 
+def test_a_fit_leaves_the_table_of_its_caller_in_memory(halves):
+    train = halves[0].withColumn("feature_0", F.col("feature_0") * 2).persist()
+    M.train_default(train, "svm", "baseline", 1)
+    assert train.storageLevel.useMemory
+    train.unpersist()
+    M.train_default(train, "svm", "baseline", 1)
+    assert not train.storageLevel.useMemory
+
+
+def test_the_fits_of_technique_adjust_run_side_by_side(spark, halves, monkeypatch):
+    meeting, shared = threading.Barrier(3), halves[0].withColumn("feature_1", F.col("feature_1") * 2)
+
+    def fitted(train, model_type, technique, seed):
+        meeting.wait(60)  # raises unless three fits are under way
+        assert train.storageLevel.useMemory
+        stopping = SimpleNamespace(active=technique != "random_under_sampling", held_out=len(technique))
+        return SimpleNamespace(model=SimpleNamespace(stages=[SimpleNamespace(stopping=stopping)]))
+
+    monkeypatch.setattr(learning, "parts", lambda *_: (shared, None))
+    monkeypatch.setattr(learning, "train_default", fitted)
+    rows = {tuple(r) for r in QUERIES["technique_adjust"](spark, "").collect()}
+    assert rows == {("baseline", True, 8), ("smote", True, 5), ("random_under_sampling", False, 21)}
+    assert not shared.storageLevel.useMemory
+
+
 @pytest.mark.parametrize("model_type", ["random_forest", "xgboost", "mlp"])
 def test_other_classifiers_learn(halves, model_type):
     train, test = halves
