@@ -39,6 +39,8 @@ SHELF_ROWS = 1 << 17
 SHELVES = 8  # at least so many, of at least BLOCK_ROWS rows each
 MAX_PIVOTS = 2048
 ROUNDING = 1e-12  # relative; thousands of times the rounding error of a sum of squares
+CLOSE = 1e-9  # relative; loosens the first look at a cell, so that it drops none that the closer look keeps
+PIECE_CELLS = 1 << 18  # of a matrix of distances to pivots, held at once
 REACH_ROUNDING = 1e-9  # relative; distances handed in may come from another order of summing
 
 
@@ -155,9 +157,9 @@ def assign_cells(distinct: DataFrame, n: int, block_rows: int, max_pivots: int =
         sent = distinct.sparkSession.sparkContext.broadcast(pivots)
 
         def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches):
+            for batch in pieces(batches, len(sent.value)):
                 x = matrix(batch["x"])
-                cell = squared_distances(x, sent.value).argmin(axis=1)
+                cell = nearest_of(x, sent.value)
                 radius = np.sqrt(((x - sent.value[cell]) ** 2).sum(axis=1))
                 yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("radius", pa.array(radius))
 
@@ -330,7 +332,7 @@ def with_trips(askers: DataFrame, cells: Cells) -> DataFrame:
         *shape, first, shelves, blocks = sent.value
         geometry = Geometry(*shape) if len(first) > 1 else None  # the radii of a single cell are not taken
         several = int((first + shelves).max())
-        for batch in pieces(batches):
+        for batch in pieces(batches, len(first)):
             near = np.ones((len(batch), 1), dtype=bool) if geometry is None else geometry.may_hold_nearer(batch)
             home, block = batch["cell"].to_numpy(), batch["block"].to_numpy()
             alone = np.flatnonzero((block >= 0) & (blocks[home] == 1))
@@ -395,18 +397,33 @@ class Geometry:
         """The same for vectors of which the cell (any cell, best the nearest) need not be known."""
         square = squared_distances(x, self.pivots)
         cell = square.argmin(axis=1) if cell is None else cell
-        home = square[np.arange(len(x)), cell][:, None]
-        nearest = np.sqrt(np.maximum(square - self.error, 0.0)) - self.high
-        np.maximum(nearest, self.low - np.sqrt(square + self.error), out=nearest)
+        home, limit = square[np.arange(len(x)), cell], reach * (1 + ROUNDING)
+        # Most cells are too far by their outer radius alone; only the others are looked at closely.
+        row, col = np.nonzero((square <= (limit[:, None] + self.high) ** 2 * (1 + CLOSE) + 2 * self.error) & (self.rows > 0))
+        square = square[row, col]
+        nearest = np.sqrt(np.maximum(square - self.error, 0.0)) - self.high[col]
+        np.maximum(nearest, self.low[col] - np.sqrt(square + self.error), out=nearest)
         # Rows of a cell lie on their pivot's side of the plane halfway to any other pivot.
-        between = self.between[cell]  # 0 only from a pivot to itself, where the plane tells nothing
-        beyond = np.divide(square - home - 4 * self.error, 2 * between, out=np.full(square.shape, -np.inf), where=between > 0)
+        between = self.between[cell[row], col]  # 0 only from a pivot to itself, where the plane tells nothing
+        beyond = np.divide(square - home[row] - 4 * self.error, 2 * between, out=np.full(len(row), -np.inf), where=between > 0)
         np.maximum(nearest, beyond, out=nearest)
-        return (nearest <= (reach * (1 + ROUNDING))[:, None]) & (self.rows > 0)
+        out = np.zeros((len(x), len(self.rows)), dtype=bool)
+        out[row, col] = nearest <= limit[row]
+        return out
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut small enough for a (rows, pivots) matrix."""
+def nearest_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The place in ``y`` of the vector nearest to each of ``x``; the square of ``x`` itself changes no order."""
+    center = y.mean(axis=0)
+    y = y - center
+    score = (x - center) @ (-2 * y.T)
+    score += (y**2).sum(axis=1)
+    return score.argmin(axis=1)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], pivots: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut small enough for a (rows, pivots) matrix that stays in a core's cache."""
+    rows = min(512, max(64, PIECE_CELLS // max(pivots, 1)))
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield batch.slice(start, rows)

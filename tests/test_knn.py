@@ -144,3 +144,35 @@ assert knn_join(points, 2, block_rows=15).count() == 120
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", script, root], cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_cells_are_looked_at_in_small_matrices_and_none_within_reach_is_lost():
+    import pyarrow as pa
+
+    from ballast.operators import knn
+
+    batch = pa.RecordBatch.from_pydict({"v": list(range(2000))})
+    parts = list(knn.pieces([batch], 2048))
+    assert sum(p.num_rows for p in parts) == 2000
+    assert max(p.num_rows for p in parts) * 2048 <= 1 << 18  # 2 MB of distances, not 8
+    rng = np.random.default_rng(3)
+    for width in (2, 24):
+        x = rng.normal(size=(900, width)) * 5
+        pivots = x[:60]
+        apart = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(axis=2))
+        cell = knn.nearest_of(x, pivots)
+        assert (cell == apart.argmin(axis=1)).all()
+        own = apart[np.arange(len(x)), cell]
+        rows = np.bincount(cell, minlength=60)
+        low, high = (np.array([f(own[cell == c]) for c in range(60)]) for f in (np.min, np.max))
+        between = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        reach = np.sort(between, axis=1)[:, 4]
+        reach[:3] = np.inf, 0.0, reach[2]
+        found = knn.Geometry(pivots, rows, low, high).reached(x, reach, cell)
+        needed = np.zeros_like(found)
+        asker, host = np.nonzero(between <= reach[:, None])
+        needed[asker, cell[host]] = True
+        assert not (needed & ~found).any()
+        assert found[0].all()
+        if width == 2:
+            assert found[1:].mean() < 0.5
