@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ballast.catalog.bindings import (
     CORPORATE,
@@ -17,7 +16,7 @@ from ballast.catalog.bindings import (
     taiwan_raw,
 )
 from ballast.catalog.columns import INCOME, NEW_DTI, REVOLVING, over
-from ballast.catalog.registry import ORACLES, long_form, long_sql, query, rounded
+from ballast.catalog.registry import ORACLES, long_counts, long_sql, query, rounded
 from ballast.plans.features import (
     FEATURE_JOBS,
     LENDING_RAW_NUMERIC,
@@ -148,6 +147,5 @@ def _(spark, sf_dir):
         "test": taiwan_raw,
         "corporate_credit_rating": corporate_raw,
     }
-    made = [long_form(raw[d](spark, sf_dir).transform(job), dataset=d) for d, job in FEATURE_JOBS.items()]
-    cells = reduce(DataFrame.unionByName, made)
-    return cells.groupBy("dataset", "column_name").agg(F.count("*").alias("n"), F.count("value").alias("present"))
+    made = [long_counts(raw[d](spark, sf_dir).transform(job), dataset=d) for d, job in FEATURE_JOBS.items()]
+    return reduce(DataFrame.unionByName, made)

@@ -56,6 +56,18 @@ def long_form(df: DataFrame, **keys: str) -> DataFrame:
     return cell.select(*keys, "cell.column_name", value.alias("value"))
 
 
+def long_counts(df: DataFrame, **keys: str) -> DataFrame:
+    """``(keys, column_name, n, present)``: for every column the cells it has in :func:`long_form` and those that hold a value.
+
+    A cell there is missing exactly where the column is, so all columns are counted in one pass over the rows and
+    only the counts are laid out, one row a column.
+    """
+    columns = list(enumerate(df.columns))
+    counted = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in columns])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"c{i}").alias("present")) for i, c in columns]
+    return counted.select(*[F.lit(v).alias(k) for k, v in keys.items()], F.inline(F.array(*cells))).where("n > 0")
+
+
 def long_sql(sql: str, **keys: str) -> str:
     """The SQL counterpart of :func:`long_form`."""
     named = "".join(f"'{v}' as {k}, " for k, v in keys.items())

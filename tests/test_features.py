@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ballast.catalog.registry import long_counts, long_form
 from ballast.functions import dates as D
 from ballast.functions import numeric as N
 from ballast.functions.text import extract_int
@@ -181,3 +182,15 @@ def test_five_thousand_levels(spark):
     assert len(levels["k"]) == 5000 and levels["one"] == ["x"]
     with pytest.raises(ValueError, match="levels"):
         C.category_levels(df, ["k", "one"], 4999)
+
+
+def test_registry_counts_cells_before_they_are_laid_out(spark):
+    rows = [(1, float("nan"), "a", None), (2, float("inf"), None, None), (None, None, "nan", None)]
+    df = spark.createDataFrame(rows, "id bigint, `x.y` double, t string, empty int")
+    cells = long_form(df, dataset="d").groupBy("dataset", "column_name").agg(F.count("*").alias("n"), F.count("value").alias("present"))
+    counts = long_counts(df, dataset="d")
+    assert sorted(counts.collect()) == sorted(cells.collect())
+    assert counts.columns == cells.columns
+    assert long_counts(df.limit(0), dataset="d").count() == 0
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # what is laid out is one row a column
