@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ballast.operators import knn as K
 from ballast.operators.knn import knn_join, tomek_links
 
 
@@ -176,3 +177,27 @@ def test_cells_are_looked_at_in_small_matrices_and_none_within_reach_is_lost():
         assert found[0].all()
         if width == 2:
             assert found[1:].mean() < 0.5
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_only_repeated_vectors_are_shuffled_to_be_collapsed(spark, monkeypatch, sent):
+    monkeypatch.setattr(K, "SENT_KEYS", sent)
+    x = [[float(i), 1.0] for i in range(20)] + [[3.0, 1.0]] * 3 + [None, None]
+    rows = spark.createDataFrame(list(enumerate(x)), "id int, x array<double>").withColumn("h", F.xxhash64("x"))
+    got = {tuple(r.x or ()): r.ids for r in K.collapsed(rows, 2).collect()}
+    assert got == {(float(i), 1.0): [i] for i in range(20) if i != 3} | {(3.0, 1.0): [3, 20], (): [23, 24]}
+    unique = K.collapsed(rows.where("id < 20"), 2)
+    assert sorted(r.ids for r in unique.collect()) == [[i] for i in range(20)]
+    assert "Window" not in unique._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_rows_asked_are_sent_to_the_vectors(spark, monkeypatch, sent):
+    monkeypatch.setattr(K, "SENT_KEYS", sent)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 3)), np.tile([[1.0, 2.0, 3.0]], (5, 1))])
+    points = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "row_id int, x array<double>")
+    asked = spark.createDataFrame([(i, None if i % 2 else 50.0) for i in range(0, 155, 5)], "row_id int, reach double")
+    found = K.ranked(K.Layout(points, 1, "row_id", "x", 20).nearest_within(asked), 1)
+    want = brute_force(list(range(len(x))), x, 1)
+    assert {r.row_id: r.neighbor_id for r in found.collect()} == {i: want[i][0][1] for i in range(0, 155, 5)}
