@@ -8,12 +8,14 @@ occurrence shows as a neighbour with an equal count.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ BLOCK_BYTES = 1 << 20  # of a text, read at once
 FLUSH_WORDS = 1 << 22
 FLUSH_VOCABULARY = 1 << 19
 CHUNK = 1 << 14  # buckets in one row of the filter
+SUMS_BYTES = 1 << 26  # of counted windows that a task holds to add up
+GATHERED = 16  # partitions of the input that one task reads at most
 
 
 @dataclass(frozen=True)
@@ -198,25 +202,48 @@ def frequency_filter(documents: DataFrame, settings: Settings, pairs: bytes | No
     return np.packbits(out).tobytes()
 
 
+def gathered(documents: DataFrame) -> DataFrame:
+    """The texts in one task a core, or in more of up to ``GATHERED`` partitions each.
+
+    Every task passes on its own part of the count of a phrase, so the parts of all counts, and the filters,
+    are as many as the tasks.
+    """
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents.coalesce(max(cores, -(-documents.rdd.getNumPartitions() // GATHERED)))
+
+
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """``(lang, phrase, a)`` of all tables, equal phrases added up."""
+    sums = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("a", "sum")])
+    return sums.select(["lang", "phrase", "a_sum"]).rename_columns(["lang", "phrase", "a"])
+
+
 def windows(documents: DataFrame, settings: Settings) -> DataFrame:
-    """``(lang, words, a)``: one window for every word, of the words from it on, counted by part.
+    """``(lang, words, a)``: one window for every word, of the words from it on, counted by task.
 
     A window ends after ``max_words`` words, at the end of its piece, or before it becomes too rare to be in
-    any candidate. Words too rare are left out. A row without words counts all words of the language.
+    any candidate. Words too rare are left out. A row without words counts all words of the language. A task
+    adds up equal windows of all it reads, unless they are more than ``SUMS_BYTES`` hold.
     """
     bits, longest = settings.filter_bits, settings.max_words
+    documents = gathered(documents)
     pairs = frequency_filter(documents, settings)
     spread = documents.sparkSession.sparkContext.broadcast((pairs, frequency_filter(documents, settings, pairs)))
 
-    def rows(lang: str, names: pa.Array, grams: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def tables(lang: str, names: pa.Array, grams: np.ndarray, times: np.ndarray) -> Iterator[pa.Table]:
         for i in range(0, len(grams), 1 << 17):
             part = grams[i : i + (1 << 17)]
             ends = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(part.ravel())))
             counts = pa.array(times[i : i + (1 << 17)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), lists, counts], names=["lang", "words", "a"])
+            yield pa.table([pa.array([lang] * len(part)), pc.binary_join(lists, " "), counts], names=["lang", "phrase", "a"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in table.to_batches(1 << 17):
+            columns = [batch.column(0), pc.split_pattern(batch.column(1), " "), batch.column(2)]  # no word holds a blank
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "a"])
+
+    def counted(batches: Iterator[pa.RecordBatch], totals: Counter) -> Iterator[pa.Table]:
         short, long = map(unpacked, spread.value)
         for lang, words, ids, fresh in word_streams(batches, longest - 1):
             if not len(ids):
@@ -224,7 +251,7 @@ def windows(documents: DataFrame, settings: Settings) -> DataFrame:
             own, last, size = words.table()[ids], len(ids) - 1, len(words)
             names = pa.array(list(words.ids), pa.binary()).cast(pa.string())
             good, link = links(ids, own, short, bits)
-            yield from rows(lang, names, np.zeros((1, 0), np.int64), np.array([(ids[:fresh] != END).sum()]))
+            totals[lang] += int((ids[:fresh] != END).sum())
             at = np.flatnonzero(good[:fresh])
             # The windows of k words that begin at ``at`` are numbered; ``grams`` holds the words of a number.
             number, grams, hashes = ids[at].astype(np.int64), np.arange(size)[:, None], own[at]
@@ -234,7 +261,7 @@ def windows(documents: DataFrame, settings: Settings) -> DataFrame:
                     tried = np.flatnonzero(going)
                     going[tried] = long[bucket(joined(hashes[tried], own[at[tried] + k]), bits)]
                 times = np.bincount(number[~going], minlength=len(grams))
-                yield from rows(lang, names, grams[times > 0], times[times > 0])
+                yield from tables(lang, names, grams[times > 0], times[times > 0])
                 at = at[going]
                 if not len(at):
                     break
@@ -242,6 +269,24 @@ def windows(documents: DataFrame, settings: Settings) -> DataFrame:
                 codes, next_number = np.unique(number[going] * size + ids[at + k], return_inverse=True)
                 number, grams = next_number, np.column_stack([grams[codes // size], codes % size])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Counter = Counter()
+        held: list[pa.Table] = []
+        size = 0
+        for table in counted(batches, totals):
+            held.append(table)
+            size += table.nbytes
+            if size >= SUMS_BYTES:
+                held = [summed(held)]
+                size = held[0].nbytes
+                if size >= SUMS_BYTES // 2:
+                    yield from rows(held.pop())
+                    size = 0
+        if held:
+            yield from rows(summed(held))
+        columns = [pa.array(list(totals), pa.string()), pa.array([[] for _ in totals], pa.list_(pa.string())), pa.array(list(totals.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "a"])
+
     return documents.mapInArrow(run, "lang string, words array<string>, a bigint")
 
 

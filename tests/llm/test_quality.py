@@ -258,6 +258,29 @@ def test_phrases_against_brute_force(spark, monkeypatch, flush, bits, partitions
             spark.conf.set(k, v)
 
 
+def test_phrases_windows_are_added_up_by_task(spark, monkeypatch):
+    """Neither more partitions of the input nor more parts of a task give more rows of a phrase."""
+    monkeypatch.setattr(phrases, "FLUSH_WORDS", 20)
+    cores = spark.sparkContext.defaultParallelism
+    frame = spark.createDataFrame([("en", f"the city hall is open now. only{i}") for i in range(40 * cores)], "lang string, text string").repartition(10 * cores)
+    windows = phrases.windows(frame, phrases.Settings(min_count=100, filter_bits=16)).collect()
+    sums = Counter()
+    for row in windows:
+        sums[tuple(row.words)] += row.a
+    text = "the city hall is open now".split()
+    assert sums == {(): 7 * 40 * cores, **{tuple(text[i : i + 5]): 40 * cores for i in range(6)}}
+    assert len(windows) <= 7 * cores
+
+
+def test_phrases_windows_beyond_what_a_task_holds(spark, monkeypatch):
+    rows = phrase_rows()
+    monkeypatch.setattr(phrases, "FLUSH_WORDS", 50)
+    monkeypatch.setattr(phrases, "SUMS_BYTES", 2000)
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    ranked = phrases.top_phrases(phrases.collocations(frame, phrases.Settings(min_count=7, filter_bits=12)), 2000)
+    assert sorted(map(tuple, ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == brute_phrases(rows, 7, 2000)
+
+
 def test_phrases_empty_table(spark):
     empty = spark.createDataFrame([], "text string, lang string")
     assert phrases.top_phrases(phrases.collocations(empty), 10).count() == 0
