@@ -271,3 +271,10 @@ def test_leaves_of_a_forest_are_bounded(halves, monkeypatch):
     forest = build_estimator("random_forest", "baseline", M.feature_columns(train), 1)
     fitted = forest.fit(train, M.grid_for(forest, [{"numTrees": 5}])[0]).stages[-1]
     assert all(tree.numNodes <= 2 * 4 - 1 for tree in fitted.trees)
+
+
+def test_a_forest_has_its_own_parameters_whatever_the_rows(spark):
+    rows = spark.range(6_000).selectExpr("id as row_id", "id % 97 * 1.0 as a", "id % 11 * 1.0 as b", "int(id % 3 = 0) as target")
+    forest = build_estimator("random_forest", "baseline", ["a", "b"], 1)
+    fitted = forest.fit(rows, M.grid_for(forest, [{"numTrees": 2, "maxDepth": 2}])[0]).stages[-1]
+    assert fitted.getOrDefault("minInstancesPerNode") == 1
